@@ -238,3 +238,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return base.join(found, on, "left").select(
         base["id"]["id"].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", empty_str).alias("items")
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all its columns, without the rows in which a window of an item occurs; block by block."""
+    at = docs.columns.index(text_col)
+
+    def scan(index):
+        def run(batches):
+            for batch in batches:
+                for _, part in tk.row_slices(batch, text_col):
+                    h, row = _words(part.column(at))
+                    clean = np.ones(part.num_rows, bool)
+                    if len(h):
+                        clean[row[index.value.contained(h, row)[0]]] = False
+                    yield part.filter(pa.array(clean))
+
+        return run
+
+    out = docs
+    for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        index = _index(docs.sparkSession, docs, text_col, ids, texts, window)
+        if index is not None:
+            out = out.mapInArrow(scan(index), docs.schema)
+    return out

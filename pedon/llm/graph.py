@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir, which executors share; lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only where none is set (tests on one machine), a folder under the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
-    The session's setting is used. Only where none is set (tests on one
-    machine) a folder under the warehouse is.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder; lineage ends there, so a lost executor takes nothing along."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -183,3 +183,16 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return score(docs, net, id_col, text_col).select(
         id_col, (fold(F.col(id_col), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def keep(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without the rows that score under 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, text_col, 1 << 16):
+                yield part.filter(pa.array(probability(held.value, *tk.buffers(part.column(at))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedon.llm import decontaminate, exact_dedup, langid, license_scan, lm_score, packing, quality, simhash
+from pedon.llm import decontaminate, exact_dedup, langid, license_scan, lm_score, packing, quality, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +77,21 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"), path_col="source")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.url_filter(pages, url_filter.seed_labels(pages))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_table(spark, sf_dir, "documents"))
 
@@ -92,7 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_decontamination, op3_lm_scoring, op4_exact_dedup, op5_simhash_near_dedup, op7_packing, op9_language_id, op10_quality]
+    found = [op1_license_scan, op2_decontamination, op3_lm_scoring, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_scan, op7_packing, op8_url_filter, op9_language_id, op10_quality]
     return {f.__name__: f for f in found}
 
 

@@ -105,3 +105,113 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints: 32-bit segments, differing bits of two fingerprints that are looked at closer.
+SEGMENTS, NEAR_BITS = 6, 44
+_LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, segments array<long>) of each row with words: a 192-bit fingerprint of its distinct word pairs, in segments tagged with their number.
+
+    Word pairs, because an edit spoils two of them but five shingles of five words.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                data, offs = tk.buffers(part.column(1))
+                data = tk.FOLD[data]
+                s, e, row = tk.words(data, offs, tk.NOT_SPACE)
+                h = tk.span_hashes(data, s, e)
+                n = part.num_rows
+                pair = h.copy()
+                same = row[1:] == row[:-1]
+                pair[:-1] = np.where(same, tk.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]), h[:-1])
+                # a row's last word stands alone only if the row has no other
+                use = np.append(same, False) | (np.diff(tk.rows_of(row, n))[row] == 1)
+                pair, row = pair[use], row[use]
+                order = np.lexsort((pair, row))
+                pair, row = pair[order], row[order]
+                if len(pair):
+                    first = np.append(True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1]))
+                    pair, row = pair[first], row[first]
+                prints = np.stack([majority(tk.mix(pair ^ np.uint64(x)), row, n) for x in _LANES], axis=1)
+                segs = prints.view(np.uint32).reshape(n, SEGMENTS).astype(np.int64) | (np.arange(SEGMENTS) << 32)
+                full = np.flatnonzero(np.diff(tk.rows_of(row, n)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(full)), pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * SEGMENTS, pa.array(segs[full].ravel()))], names=["id", "segments"]
+                )
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, segments array<long>")
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(a, b) of ids whose fingerprints have segments two or fewer bits apart.
+
+    Rows that share a segment's value are represented by the one whose segments
+    are the most common (the text that near copies were made from), and linked
+    to it. Values enter the segment's table under the 33 members of their ball,
+    so that a key has 33 values at most; six or fewer are linked pairwise, more
+    to the representative that is the most common.
+    """
+    values = rows.select("id", F.explode("segments").alias("v"))
+    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = durable(values.join(shared, "v").groupBy("id").agg(F.sum(F.log("n")).alias("common")))
+    ranked = values.join(common, "id", "left").select("v", "id", F.coalesce("common", F.lit(0.0)).alias("common"))
+    rep = durable(ranked.groupBy("v").agg(F.max_by("id", F.struct("common", F.xxhash64("id"))).alias("rep")))
+    to_rep = values.join(rep, "v").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    balls = F.concat(F.array("v"), F.expr("transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))"))
+    keys = rep.select("rep", F.explode(balls).alias("key"))
+    met = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    few = met.where("n <= 6").groupBy("key").agg(F.collect_set("rep").alias("ids"))
+    pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
+    many = met.where("n > 6").join(common.withColumnRenamed("id", "rep"), "rep", "left")
+    centre = F.max_by("rep", F.struct(F.coalesce("common", F.lit(0.0)), F.xxhash64("rep"))).over(Window.partitionBy("key"))
+    star = many.select(F.col("rep").alias("a"), centre.alias("b")).where("a <> b")
+    return to_rep.unionByName(pairs).unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, shingles array<long>): the distinct shingle hashes of each row."""
+
+    def run(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, row = shingle_hashes(*tk.buffers(part.column(1)), shingle)
+                bounds = tk.rows_of(row, part.num_rows)
+                sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["id", "shingles"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles array<long>")
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b): ids of candidate pairs whose sets of shingles have that Jaccard similarity or more."""
+    rows = durable(wide_fingerprints(docs, id_col, text_col))
+    pairs = _candidates(rows)
+    one = lambda side, col: rows.select(F.col("id").alias(side), F.col("segments").alias(col))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
+    ids = near.select(F.explode(F.array("a", "b")).alias("_near")).distinct()
+    named = docs.select(F.col(id_col).alias("_near"), F.col(text_col).alias("text")).join(ids, "_near", "left_semi")
+    sets = durable(_shingle_sets(named, "_near", "text", shingle))
+    both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    common = F.size(F.array_intersect("ha", "hb"))
+    return both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with all its columns, without the rows that have a smaller id in their group of near copies.
+
+    Rows whose shingles have the similarity link, and groups are closed over
+    links. Rows without words and rows with a null id stay. Rows that share an
+    id stay or go together.
+    """
+    groups = components(similar_links(docs, id_col, text_col, shingle, similarity))
+    gone = groups.where("node <> component").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
