@@ -24,7 +24,7 @@ END_ID = 1
 #: Pieces in a group, about.
 GROUP_PIECES = 16_384
 #: Distinct chunks that a worker remembers the ids of, twice.
-CACHE = 150_000
+CACHE = 500_000
 
 
 class ChunkTokenizer:
