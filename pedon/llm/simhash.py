@@ -108,29 +108,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 #: Wide fingerprints: 32-bit segments, differing bits of two fingerprints that are looked at closer.
-SEGMENTS, NEAR_BITS = 6, 44
-_LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+SEGMENTS, NEAR_BITS = 8, 58
+_LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
+#: Orders, besides the commonest, by which a segment's value picks one more row to link to.
+CENTRES = 3
+#: Rows that meet under one key and are linked pairwise; of more, each is linked to centres.
+FEW = 8
+
+
+def _plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each row's words without punctuation; a row of nothing but punctuation has its runs between white space."""
+    data = tk.FOLD[data]
+    s, e, row = tk.words(data, offs, tk.ALNUM)
+    bare = np.diff(tk.rows_of(row, len(offs) - 1)) == 0
+    if bare.any():
+        s2, e2, row2 = tk.words(data, offs, tk.NOT_SPACE)
+        own = bare[row2]
+        order = np.argsort(np.concatenate([s, s2[own]]), kind="stable")
+        s, e, row = (np.concatenate([x, y[own]])[order] for x, y in ((s, s2), (e, e2), (row, row2)))
+    return tk.span_hashes(data, s, e), row
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, segments array<long>) of each row with words: a 192-bit fingerprint of its distinct word pairs, in segments tagged with their number.
+    """(id, segments array<long>) of each row with words: a 256-bit fingerprint of its distinct word pairs, in segments tagged with their number.
 
-    Word pairs, because an edit spoils two of them but five shingles of five words.
+    Word pairs without punctuation, because an edit spoils two of them at most but five shingles of five words.
     """
 
     def run(batches):
         for batch in batches:
             for _, part in tk.row_slices(batch, "text"):
-                data, offs = tk.buffers(part.column(1))
-                data = tk.FOLD[data]
-                s, e, row = tk.words(data, offs, tk.NOT_SPACE)
-                h = tk.span_hashes(data, s, e)
+                h, row = _plain_words(*tk.buffers(part.column(1)))
                 n = part.num_rows
                 pair = h.copy()
                 same = row[1:] == row[:-1]
                 pair[:-1] = np.where(same, tk.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]), h[:-1])
                 # a row's last word stands alone only if the row has no other
-                use = np.append(same, False) | (np.diff(tk.rows_of(row, n))[row] == 1)
+                use = np.append(same, False)[: len(row)] | (np.diff(tk.rows_of(row, n))[row] == 1)
                 pair, row = pair[use], row[use]
                 order = np.lexsort((pair, row))
                 pair, row = pair[order], row[order]
@@ -151,27 +165,39 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _candidates(rows: DataFrame) -> DataFrame:
     """(a, b) of ids whose fingerprints have segments two or fewer bits apart.
 
-    Rows that share a segment's value are represented by the one whose segments
-    are the most common (the text that near copies were made from), and linked
-    to it. Values enter the segment's table under the 33 members of their ball,
-    so that a key has 33 values at most; six or fewer are linked pairwise, more
-    to the representative that is the most common.
+    Rows that share a segment's value are linked to centres: the row whose
+    segments are the most common (the text that near copies were made from)
+    and CENTRES rows by other orders. Rows that share two segments' values are
+    linked to the commonest of them too, so that a large group is covered by
+    many centres near its members without a list of its pairs. Each value's
+    commonest row enters the segment's table under the 33 members of the
+    value's ball, so that a key has 33 rows at most; FEW or fewer are linked
+    pairwise, more to the commonest.
     """
     values = rows.select("id", F.explode("segments").alias("v"))
-    shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = durable(values.join(shared, "v").groupBy("id").agg(F.sum(F.log("n")).alias("common")))
-    ranked = values.join(common, "id", "left").select("v", "id", F.coalesce("common", F.lit(0.0)).alias("common"))
-    rep = durable(ranked.groupBy("v").agg(F.max_by("id", F.struct("common", F.xxhash64("id"))).alias("rep")))
-    to_rep = values.join(rep, "v").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    shared = durable(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    common = durable(values.join(shared, "v").groupBy("id").agg(F.sum(F.log("n")).alias("common"), F.array_sort(F.collect_list("v")).alias("vs")))
+    weighed = values.join(common.select("id", "common"), "id", "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
+    by = lambda *cols: F.max_by("id", F.struct(*cols))
+    rep = durable(weighed.groupBy("v").agg(by("common", F.xxhash64("id")).alias("rep"), F.max("common").alias("common")))
+    meet = weighed.join(shared.select("v"), "v", "left_semi")
+    centres = meet.groupBy("v").agg(*[by(F.xxhash64("id", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)])
+    centres = centres.join(rep, "v").select("v", F.explode(F.array_distinct(F.array("rep", *[f"c{i}" for i in range(CENTRES)]))).alias("b"))
+    to_centre = values.join(centres, "v").select(F.col("id").alias("a"), "b")
+    # two segments at once: at most SEGMENTS * (SEGMENTS - 1) / 2 for each row
+    twos = F.expr("flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")
+    two = common.where("size(vs) > 1").select("id", "common", F.explode(twos).alias("w"))
+    own = two.groupBy("w").agg(by("common", F.xxhash64("id", "w")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    to_own = two.join(own, "w").select(F.col("id").alias("a"), "b")
     balls = F.concat(F.array("v"), F.expr("transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))"))
-    keys = rep.select("rep", F.explode(balls).alias("key"))
+    keys = rep.select("rep", "common", F.explode(balls).alias("key"))
     met = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    few = met.where("n <= 6").groupBy("key").agg(F.collect_set("rep").alias("ids"))
-    pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-    many = met.where("n > 6").join(common.withColumnRenamed("id", "rep"), "rep", "left")
-    centre = F.max_by("rep", F.struct(F.coalesce("common", F.lit(0.0)), F.xxhash64("rep"))).over(Window.partitionBy("key"))
-    star = many.select(F.col("rep").alias("a"), centre.alias("b")).where("a <> b")
-    return to_rep.unionByName(pairs).unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_set("rep").alias("ids"))
+    pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
+    many = met.where(F.col("n") > FEW)
+    star = many.select(F.col("rep").alias("a"), F.max_by("rep", F.struct("common", F.xxhash64("rep"))).over(Window.partitionBy("key")).alias("b"))
+    found = to_centre.unionByName(to_own).unionByName(pairs).unionByName(star).where("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
