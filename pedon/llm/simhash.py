@@ -162,17 +162,18 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, segments array<long>")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of ids whose fingerprints have segments two or fewer bits apart.
-
-    Rows that share a segment's value are linked to centres: the row whose
-    segments are the most common (the text that near copies were made from)
-    and CENTRES rows by other orders. Rows that share two segments' values are
-    linked to the commonest of them too, so that a large group is covered by
-    many centres near its members without a list of its pairs. Each value's
-    commonest row enters the segment's table under the 33 members of the
-    value's ball, so that a key has 33 rows at most; FEW or fewer are linked
-    pairwise, more to the commonest.
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables (a, b) of ids whose fingerprints have segments two or fewer bits apart.
+
+    The first is enough for all but the largest groups. Rows that share a
+    segment's value are linked to the row whose segments are the most common
+    (the text that near copies were made from), and that row enters the
+    segment's table under the 33 members of the value's ball, so that a key has
+    33 rows at most; FEW or fewer are linked pairwise, more to the commonest.
+    The second links rows that share a value to CENTRES more of them, and rows
+    that share two segments' values to the commonest of those, so that a large
+    group is covered by many centres near its members without a list of its
+    pairs.
     """
     values = rows.select("id", F.explode("segments").alias("v"))
     shared = durable(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -182,8 +183,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
     rep = durable(weighed.groupBy("v").agg(by("common", F.xxhash64("id")).alias("rep"), F.max("common").alias("common")))
     meet = weighed.join(shared.select("v"), "v", "left_semi")
     centres = meet.groupBy("v").agg(*[by(F.xxhash64("id", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)])
-    centres = centres.join(rep, "v").select("v", F.explode(F.array_distinct(F.array("rep", *[f"c{i}" for i in range(CENTRES)]))).alias("b"))
+    centres = centres.select("v", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("b"))
     to_centre = values.join(centres, "v").select(F.col("id").alias("a"), "b")
+    to_rep = values.join(rep, "v").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # two segments at once: at most SEGMENTS * (SEGMENTS - 1) / 2 for each row
     twos = F.expr("flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")
     two = common.where("size(vs) > 1").select("id", "common", F.explode(twos).alias("w"))
@@ -196,8 +198,8 @@ def _candidates(rows: DataFrame) -> DataFrame:
     pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
     many = met.where(F.col("n") > FEW)
     star = many.select(F.col("rep").alias("a"), F.max_by("rep", F.struct("common", F.xxhash64("rep"))).over(Window.partitionBy("key")).alias("b"))
-    found = to_centre.unionByName(to_own).unionByName(pairs).unionByName(star).where("a <> b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return once(to_rep.unionByName(pairs).unionByName(star)), once(to_centre.unionByName(to_own))
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -216,19 +218,34 @@ def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): ids of candidate pairs whose sets of shingles have that Jaccard similarity or more."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of the ids that have a link: candidates whose sets of shingles have that Jaccard similarity or more.
+
+    Candidates of the second table are looked at only where the first hasn't
+    joined their groups already.
+    """
     rows = durable(wide_fingerprints(docs, id_col, text_col))
-    pairs = _candidates(rows)
     one = lambda side, col: rows.select(F.col("id").alias(side), F.col("segments").alias(col))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
-    ids = near.select(F.explode(F.array("a", "b")).alias("_near")).distinct()
-    named = docs.select(F.col(id_col).alias("_near"), F.col(text_col).alias("text")).join(ids, "_near", "left_semi")
-    sets = durable(_shingle_sets(named, "_near", "text", shingle))
-    both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
+        ids = near.select(F.col("a").alias("_near")).unionByName(near.select(F.col("b").alias("_near"))).distinct()
+        named = docs.select(F.col(id_col).alias("_near"), F.col(text_col).alias("text")).join(ids, "_near", "left_semi")
+        sets = durable(_shingle_sets(named, "_near", "text", shingle))
+        both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+        common = F.size(F.array_intersect("ha", "hb"))
+        return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
+
+    first, more = _candidates(rows)
+    links = verified(first)
+    groups = durable(components(links))
+    at = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    apart_yet = more.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    links = verified(apart_yet.select("a", "b"))
+    if links.isEmpty():
+        return groups
+    return components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -238,6 +255,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links. Rows without words and rows with a null id stay. Rows that share an
     id stay or go together.
     """
-    groups = components(similar_links(docs, id_col, text_col, shingle, similarity))
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     gone = groups.where("node <> component").select(F.col("node").alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
