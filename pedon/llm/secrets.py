@@ -60,7 +60,7 @@ def candidates(raw: bytes, data: np.ndarray) -> list[tuple[int, int, str]]:
         if b - a >= LONG:
             found[a] = (b, next((k for k, p in FORMS if p.match(raw[a:b])), "long_run"))
     for i in np.flatnonzero((data == 0x3D) | (data == 0x3A)).tolist():
-        if NAMED.search(raw[max(0, i - 40) : i]) and (m := VALUE.match(raw, i, i + 4096)):
+        if NAMED.search(raw[max(0, i - 40) : i]) and (m := VALUE.match(raw, i)):
             a, b = m.span(1)
             if a not in found or found[a][1] == "long_run":
                 found[a] = (max(b, found[a][0]) if a in found else b, "named_value")
@@ -88,7 +88,7 @@ class Detector:
     def features(self, values: list[bytes], before: list[bytes], paths: list[str], kinds: list[str]) -> np.ndarray:
         rows = []
         for v, left, path, kind in zip(values, before, paths, kinds, strict=True):
-            b = np.frombuffer(v[:512], np.uint8)
+            b = np.frombuffer(v, np.uint8)
             n = len(b)
             counts = np.bincount(b, minlength=256)
             p = counts[counts > 0] / n
@@ -102,7 +102,7 @@ class Detector:
                     *(float((cls == k).mean()) for k in range(4)),
                     float((cls[1:] != cls[:-1]).mean()) if n > 1 else 0.0,
                     float(self.transition[b[:-1], b[1:]].mean()) if n > 1 else 0.0,
-                    self.coverage(v[:512]),
+                    self.coverage(v),
                     float(any(w in left for w in FOR)),
                     float(any(w in left for w in AGAINST)),
                     float(bool(GOOD_PATH.search(path))) - float(bool(BAD_PATH.search(path))),
@@ -119,18 +119,14 @@ class Detector:
         n = len(data)
         if not len(self.words) or n < 3:
             return 0.0
-        size = np.arange(3, 13)
-        s = np.repeat(np.arange(n), len(size))
-        e = s + np.tile(size, n)
-        s, e = s[e <= n], e[e <= n]
-        h = np.concatenate([tk.span_hashes(data, np.sort(s[e - s == k]), np.sort(e[e - s == k])) for k in size])
-        s = np.concatenate([np.sort(s[e - s == k]) for k in size])
-        length = np.concatenate([np.full(max(0, n - k + 1), k) for k in size])
-        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        hit = self.words[i] == h
         inside = np.zeros(n + 1, np.int64)
-        np.add.at(inside, s[hit], 1)
-        np.add.at(inside, s[hit] + length[hit], -1)
+        for k in range(3, 13):
+            for i in range(0, n - k + 1, 1 << 16):
+                at = np.arange(i, min(i + (1 << 16), n - k + 1))
+                h = tk.span_hashes(data, at, at + k)
+                at = at[self.words[np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)] == h]
+                inside[at] += 1
+                inside[at + k] -= 1
         return float((np.cumsum(inside)[:n] > 0).mean())
 
 
