@@ -25,6 +25,10 @@ END_ID = 1
 GROUP_PIECES = 16_384
 #: Distinct chunks that a worker remembers the ids of, twice.
 CACHE = 500_000
+#: Bytes of text tokenised at once.
+SLICE = 8 << 20
+#: Signs after a run of letters that the tokenizer cuts from it.
+TAIL = b".,;:!?"
 
 
 class ChunkTokenizer:
@@ -38,7 +42,10 @@ class ChunkTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        own = Tokenizer.from_file(path)
+        self.encode = own.encode_batch_fast
+        #: ids that end a run of letters, as the tokenizer cuts them.
+        self.ends = np.array([(own.id_to_token(i) or "").endswith("</w>") for i in range(own.get_vocab_size())])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -54,12 +61,31 @@ class ChunkTokenizer:
                 fresh.append(c)
             else:
                 self.young[c] = v
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
+        ids = self.young
+        worded = [(c, w) for c in fresh if (w := c.rstrip(TAIL)).decode().isalpha()]
+        self._letters([w for w in {w for _, w in worded} if w not in ids])
+        self._one_by_one([t for t in {c[len(w) :] for c, w in worded} if t and t not in ids])
+        ids.update((c, ids[w] + ids[c[len(w) :]]) for c, w in worded if len(c) > len(w))
+        self._one_by_one([c for c in fresh if c not in ids])
+        return [b"".join(map(ids.__getitem__, row)) for row in rows]
+
+    def _one_by_one(self, chunks: list[bytes]) -> None:
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
             got = self.encode([c.decode() for c in part], add_special_tokens=False)
             self.young.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(part, got, strict=True))
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, row)) for row in rows]
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of letters only, many in one text; each has one id that ends it."""
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
+            got = np.array(self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[got]) + 1)).tolist()
+            if len(ends) != len(part):
+                self._one_by_one(part)
+                continue
+            raw = got.tobytes()
+            self.young.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -76,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             _TOKENIZERS[tokenizer] = ChunkTokenizer(tokenizer)
         end, seq = np.array([end_id], "<u4").tobytes(), None
         for batch in batches:
-            for _, part in tk.row_slices(batch, "text"):
+            for _, part in tk.row_slices(batch, "text", SLICE):
                 data, offs = tk.buffers(part.column(1))
                 raw = data.tobytes()
                 bounds = offs.tolist()
