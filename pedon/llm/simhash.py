@@ -193,7 +193,8 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     to_own = two.join(own, "w").select(F.col("id").alias("a"), "b")
     balls = F.concat(F.array("v"), F.expr("transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))"))
     keys = rep.select("rep", "common", F.explode(balls).alias("key"))
-    met = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    # what meets is little; kept, so that all keys are dealt out once
+    met = durable(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
     few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_set("rep").alias("ids"))
     pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
     many = met.where(F.col("n") > FEW)
