@@ -154,7 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .toPandas()
         .sort_values("id")
     )
-    rows = rows[rows["text"].map(lambda t: t is not None and len(t) > 0)]
+    rows = rows[rows["text"].map(lambda t: t is not None and len(t) > 0).astype(bool)]
     total = sum(n.values())
     return train([bytes(t) for t in rows["text"]], rows["label"].to_numpy(np.float64), n.get(1, 0) / total if total else 0.5)
 

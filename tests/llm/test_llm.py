@@ -1,0 +1,188 @@
+"""Operators of the llm subpackage: brute force on small tables, and odd input."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from pedon.llm import decontaminate, exact_dedup, graph, langid, license_scan, lm_score, packing, quality, secrets, simhash, url_filter
+
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
+WORDS = [f"{a}{b}" for a in "mi ra to lu ke so na pe".split() for b in "ba di fo gu la ne vi xo".split()]
+SCHEMA = "doc_id long, text string, lang string, source string, id string, kept string, label int, fp int"
+
+
+def prose(seed, n):
+    return " ".join(np.random.default_rng(seed).choice(WORDS, n))
+
+
+ODD = [None, "", " ", "\n\t ", "!!! ???", "x", "İé ß 中文", prose(1, 12), prose(1, 12), prose(2, 60_000), "Don't stop!! it's... <|endoftext|> é"]
+
+
+def table(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "en" if i % 2 else None, "s", "clash", "clash", 7, 7) for i, t in enumerate(texts)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, "en" if i % 2 else None, "s", "clash", "clash", 7, 7) for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[7], (None, None, None, None, None, None, None, None), (None, prose(3, 9), "fr", None, None, None, None, None)], SCHEMA)
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+BENCH = "item_id long, text string, doc_id int"
+OPS = {
+    "license": lambda s, d: license_scan.license_scan(d, license_scan.known_licences(s)),
+    "leaks": lambda s, d: decontaminate.contamination(d, s.createDataFrame([(1, prose(2, 40), 1), (2, None, 1), (3, "", 1)], BENCH)),
+    "lm": lambda s, d: lm_score.lm_scores(d),
+    "exact": lambda s, d: exact_dedup.exact_groups(d),
+    "simhash": lambda s, d: simhash.near_groups(d),
+    "language": lambda s, d: langid.language_id(d),
+    "quality": lambda s, d: quality.quality(d, labels(s, [(7, 1, 0), (4, 0, 0), (9, 1, None), (None, 1, 1), (5, None, 0)])),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPS))
+def test_odd_rows_each_have_one_row(spark, odd, name):
+    assert OPS[name](spark, odd).count() == odd.count()
+    assert OPS[name](spark, odd.limit(0)).count() == 0
+
+
+def test_other_outputs_on_odd_rows(spark, odd):
+    assert secrets.secret_scan(odd).count() >= 0 and secrets.secret_scan(odd.limit(0)).count() == 0
+    assert packing.pack(odd.limit(0), TOKENIZER).count() == 0
+    near = simhash.drop_near_copies(odd)
+    assert near.columns == odd.columns and near.where("doc_id is null").count() == 2
+    assert simhash.drop_near_copies(odd.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(odd, spark.createDataFrame([], BENCH)).count() == odd.count()
+    pages = spark.createDataFrame([(1, None, "a"), (2, "no scheme", "b"), (3, "http://A.example.NET/en/x?y", "c"), (3, "http://A.example.NET/en/x?y", "c"), (None, "https://fr.wiki.org/fr/#t", "d")], "page_id long, url string, host string")
+    got = url_filter.url_filter(pages, url_filter.seed_labels(pages)).collect()
+    assert sorted((r["page_id"] or 0, r["host"], r["path"], r["rule"], r["verdict"]) for r in got if r["rule"]) == [(0, "fr.wiki.org", "/fr/", "org/fr/", "allow"), (3, "a.example.net", "/en/x", "example.net/en/", "allow"), (3, "a.example.net", "/en/x", "example.net/en/", "allow")]
+    assert {r["host"] for r in got if not r["rule"]} == {""} and url_filter.url_filter(pages.limit(0), url_filter.seed_labels(pages.limit(0))).count() == 0
+
+
+def test_exact_groups(spark):
+    d = table(spark, ["a  b", "a\tb", " a b", None, "", "a b"])
+    got = {r["doc_id"]: r for r in exact_dedup.exact_groups(d).collect()}
+    assert [got[i]["keep_id"] for i in range(6)] == [0, 0, 2, 3, 3, 0] and got[5]["group_size"] == 3 and not got[5]["kept"]
+    assert got[1]["text_sha256"] == hashlib.sha256(b"a b").hexdigest() and exact_dedup.drop_copies(d).count() == 3
+
+
+def test_simhash_against_brute_force(spark):
+    base = prose(5, 400)
+    texts = [prose(i, 30 + i) for i in range(150)] + [base + f" {w}" for w in WORDS[:20]] + ["", None, "a b", "A  B"]
+    ids, fps = list(range(len(texts))), []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        hs = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+    low = ids[:]
+    for _ in ids:
+        low = [min(low[j] for j in ids if (fps[i] ^ fps[j]).bit_count() <= 2) for i in ids]
+    got = {r["doc_id"]: r for r in simhash.near_groups(table(spark, texts)).collect()}
+    assert [got[i]["fingerprint"] for i in ids] == [f"{f:016x}" for f in fps] and [got[i]["component_id"] for i in ids] == low
+
+
+def test_near_copies_go(spark):
+    long = prose(8, 300).split()
+    copies = [" ".join(long[:i] + ["new"] + long[i + 1 :]) for i in range(0, 300, 30)]
+    d = table(spark, [" ".join(long), *copies, *[prose(100 + i, 120) for i in range(40)]])
+    assert {r[0] for r in simhash.drop_near_copies(d).select("doc_id").collect()} == {0, *range(11, 51)}
+
+
+def test_components(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (5, 5), (100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in graph.components(chain).collect()}
+    assert {got[i] for i in range(41)} == {0} and got[101] == got[100] == 100
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_decontamination_against_brute_force(spark, block):
+    items = {1: prose(20, 25), 2: "Short item, here", 3: None, 4: "", 11: prose(21, 10)}
+    a, c = items[1].split(), items[11]
+    docs = [prose(i, 80) for i in range(10)] + ["x " + " ".join(a[3:15]) + " y SHORT-item HERE", c.upper() + "! " + c, " ".join(a[:9]), None, ""]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    want = {}
+    for i, t in enumerate(docs):
+        w, hit, found = words(t), set(), set()
+        for k, item in items.items():
+            v = words(item)
+            for p in range(max(1, len(v) - 9)) if v else ():
+                win = v[p : p + 10]
+                for q in range(len(w) - len(win) + 1):
+                    if w[q : q + len(win)] == win:
+                        hit.update(range(q, q + len(win)))
+                        found.add(str(k))
+        want[i] = (len(w), len(hit), sorted(found))
+    d, b = table(spark, docs), spark.createDataFrame([(k, v, 0) for k, v in items.items()], BENCH)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.contamination(d, b, block_bytes=block).collect()}
+    assert got == want
+    assert {r[0] for r in decontaminate.drop_contaminated(d, b, block_bytes=block).select("doc_id").collect()} == {i for i, x in want.items() if not x[1]}
+
+
+def test_packing_round_trip(spark, odd):
+    own = Tokenizer.from_file(TOKENIZER)
+    d = table(spark, [*ODD, *[prose(i, 50 + 40 * i) for i in range(60)]])
+    got = packing.pack(d, TOKENIZER, with_ids=True).toPandas()
+    assert packing.pack(odd, TOKENIZER).where("start = 0").count() == odd.count()
+    for i, t in {r["doc_id"]: r["text"] for r in d.collect()}.items():
+        p = got[got["doc_id"] == i].sort_values("start")
+        assert [x for ids in p["ids"] for x in ids] == [*own.encode(t or "", add_special_tokens=False).ids, 1] and set(p["doc_tokens"]) == {p["length"].sum()}
+        assert all(zlib.crc32(np.array(x, "<u4").tobytes()) == c for x, c in zip(p["ids"], p["ids_crc32"], strict=True))
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert list(s["offset"]) == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 2048
+    seq, off = packing.best_fit_decreasing(np.array([5, 5, 4, 3, 2, 1]), 8)
+    assert len(set(seq.tolist())) == 3 and off.tolist().count(0) == 3
+
+
+def test_lm_base_and_carried_state(spark):
+    texts = [prose(i, 200 + i) for i in range(60)] + [None]
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(table(spark, texts)).collect()}
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), None]
+    counts: dict = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            for w in split(t):
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        want = sum(np.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in split(t))
+        assert got[i]["base_score"] == pytest.approx(want) and got[i]["train_tokens"] == n and got[i]["score"] < 0
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0) and got[i]["n_tokens"] == len(split(t))
+    gru = lm_score.Gru.fresh(np.ones(100), 1.0)
+    word = np.random.default_rng(0).integers(0, 101, 1000)
+    h, last, total = np.zeros((1, lm_score.HIDDEN), np.float32), np.zeros(1, np.int64), 0.0
+    for w in word:
+        h = gru.step(last, h)[0]
+        last = np.array([w])
+        total += gru.log_probs(h, last)[0]
+    assert gru.score(word, np.array([0, 1000]))[0] == pytest.approx(total, rel=1e-4)
+
+
+def test_language_and_quality_learn(spark):
+    en, fr = "the house with the garden and this thing ".split(), "le jardin avec des maisons et cette chose ".split()
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(fr if i % 2 else en, 40)), "fr" if i % 2 else "en", "s", "", "", 0, 0) for i in range(200)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    assert all(r["lang_pred"] == ("fr" if r["doc_id"] % 2 else "en") for r in langid.language_id(d).collect())
+    got = quality.quality(d, labels(spark, [(i, i % 2, 0) for i in range(200)])).where("held_out").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.9 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_licence_and_secret(spark):
+    name, text = next(iter(sorted(license_scan.LICENCES.items())))
+    changed = "Copyright (c) 2001 Somebody\n" + text.upper().replace(",", " ;")
+    got = [r["license_id"] for r in license_scan.license_scan(table(spark, [changed, text + " more", None]), license_scan.known_licences(spark)).orderBy("doc_id").collect()]
+    assert got == [name, None, None]
+    key = "3f9a0c77e1b2d4586a90bc13de24f57a8890abcd"
+    found = secrets.secret_scan(table(spark, [f'api token = "{key}"', f"commit {key} of the tree", prose(1, 50)])).collect()
+    assert {(r["doc_id"], r["is_secret"]) for r in found} == {(0, True), (1, False)}
