@@ -141,7 +141,7 @@ def krige_points(x: np.ndarray, y: np.ndarray, z: np.ndarray, xc: np.ndarray, yc
     return weights[:-1].T @ z, (weights * right).sum(axis=0)
 
 
-def leave_one_out(points: DataFrame, models: DataFrame, most: int = 2000) -> DataFrame:
+def leave_one_out(points: DataFrame, models: DataFrame, most: int = 1000) -> DataFrame:
     """(element, model, rmse_loo, me_loo): errors of predicting each point from the others, by one inversion for each block of about ``most`` neighbouring points.
 
     An element of up to ``most`` points is one block, and exact; more are cut
