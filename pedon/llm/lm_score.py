@@ -4,9 +4,10 @@ Words and one end per document are tokens. The model is a GRU over the commonest
 words: its output is factored into a softmax over classes of words and one over
 the words of a class, and one more class stands for all other words, which share
 its probability in proportion to their smoothed corpus frequency. It is trained
-by truncated back-propagation on a bounded sample of training documents; counts
-cover every training document. Scoring carries the state across windows, so a
-document's score is that of its whole text.
+by truncated back-propagation on the whole text of every training document, in
+rounds: each task trains on its rows from the weights of the round before, and
+the tasks' weights are averaged by tokens. Training and scoring carry the state
+across windows, so a document's score is that of its whole text.
 
 Words whose relative frequency is at least ``HEAD`` number at most 1 / HEAD and
 travel to the tasks; the others' counts are joined by word.
@@ -14,9 +15,11 @@ travel to the tasks; the others' counts are joined by word.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +33,13 @@ FOLDS = 10
 HEAD = 2.5e-7
 #: Words of the model, words of a class, size of the state.
 VOCABULARY, CLASS, HIDDEN = 4096, 64, 32
-#: Training documents hold so many tokens, about; bytes of each that training reads.
-SAMPLE_TOKENS, TRAIN_BYTES = 250_000, 16_384
-WINDOW, LANES, TRAIN_LANES, TRAIN_WINDOW = 64, 256, 32, 32
+#: Rounds that a pass over the training rows is split into; tokens of a round that make one more task, and most tasks of a round.
+ROUNDS, TASK_TOKENS, MOST_TASKS = 2, 1_000_000, 256
+#: Inputs of fewer training tokens are passed over again, up to MOST_PASSES times.
+SMALL, MOST_PASSES = 1_000_000, 8
+#: Pieces that the weights are averaged in.
+PIECES = 256
+WINDOW, LANES, TRAIN_LANES, TRAIN_WINDOW = 64, 256, 64, 32
 #: Hash that stands for the end of a document.
 END = 0x5F0E0D0C0B0A0908
 SLICE = 4 << 20
@@ -58,6 +65,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def windows(size: np.ndarray, bounds: np.ndarray, lanes: int, steps: int):
+    """Number of lanes used, and an iterator of each window's (steps, live lanes) positions of words, -1 behind a lane's end.
+
+    Rows are dealt to lanes, longest first, and lie there one after another.
+    Lanes are in falling order of length, so that the live ones come first.
+    """
+    lanes = min(lanes, len(size))
+    load, lane = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
+    heap = [(0, i) for i in range(lanes)]
+    for r in np.argsort(-size, kind="stable").tolist():
+        got, i = heapq.heappop(heap)
+        lane[i].append(r)
+        heapq.heappush(heap, (got + int(size[r]), i))
+        load[i] += size[r]
+    order = np.argsort(-load, kind="stable")
+    load = load[order]
+    at = [np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in lane[i]] or [np.zeros(0, np.int64)]) for i in order]
+
+    def run():
+        length = int(load[0]) if lanes else 0
+        for t0 in range(0, length, steps):
+            live = int(np.searchsorted(-load, -t0, "left"))
+            where = np.full((min(steps, length - t0), live), -1)
+            for i in range(live):
+                part = at[i][t0 : t0 + steps]
+                where[: len(part), i] = part
+            yield where
+
+    return lanes, run()
+
+
 @dataclass
 class Gru:
     """Class of word i is i // CLASS; the word after the last stands for all others and is a class alone."""
@@ -113,38 +151,19 @@ class Gru:
     def score(self, word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Sum of log_probs over each row of words, bounds being the rows' offsets.
 
-        Rows are dealt to lanes, longest first, and lie there one after
-        another; the state is zero where a row begins and is carried from
-        window to window elsewhere.
+        The state is zero where a row begins and is carried from window to
+        window elsewhere.
         """
         size = np.diff(bounds)
-        lanes = min(LANES, len(size))
-        load, lane = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
-        import heapq
-
-        heap = [(0, i) for i in range(lanes)]
-        for r in np.argsort(-size, kind="stable").tolist():
-            got, i = heapq.heappop(heap)
-            lane[i].append(r)
-            heapq.heappush(heap, (got + int(size[r]), i))
-            load[i] += size[r]
-        order = np.argsort(-load, kind="stable")
-        load = load[order]
-        length = int(load[0]) if lanes else 0
         total = np.zeros(len(size))
-        at = [np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in lane[i]] or [np.zeros(0, np.int64)]) for i in order]
         begins = np.zeros(len(word), bool)
         begins[bounds[:-1][size > 0]] = True
         row = np.repeat(np.arange(len(size)), size)
+        lanes, parts = windows(size, bounds, LANES, WINDOW)
         h = np.zeros((lanes, HIDDEN), np.float32)
         last = np.full(lanes, 0)  # END is word 0
-        for t0 in range(0, length, WINDOW):
-            live = int(np.searchsorted(-load, -t0, "left"))
-            steps = min(WINDOW, length - t0)
-            where = np.full((steps, live), -1)
-            for i in range(live):
-                part = at[i][t0 : t0 + steps]
-                where[: len(part), i] = part
+        for where in parts:
+            steps, live = where.shape
             seen = where >= 0
             w = np.where(seen, word[np.maximum(where, 0)], 0)
             new = begins[np.maximum(where, 0)] & seen
@@ -161,84 +180,102 @@ class Gru:
             np.add.at(total, row[where[seen]], got)
         return total
 
-    def fit(self, word: np.ndarray, begins: np.ndarray, epochs: int = 2, rate: float = 0.1) -> None:
-        """Truncated back-propagation over the words as TRAIN_LANES parallel streams."""
-        n = len(word) // TRAIN_LANES
-        if n < 2:
-            return
-        w = word[: n * TRAIN_LANES].reshape(TRAIN_LANES, n).T
-        b = begins[: n * TRAIN_LANES].reshape(TRAIN_LANES, n).T
-        sq = {k: np.full(getattr(self, k).shape, 1e-2, np.float32) for k in ("x", "u", "c", "cb", "w", "wb")}
+    def fit(self, word: np.ndarray, bounds: np.ndarray, sq: dict[str, np.ndarray], rate: float = 0.1) -> None:
+        """One pass of truncated back-propagation over whole rows of words, bounds being the rows' offsets.
+
+        The state is carried as in score; sq holds the sums of squared gradients and is updated.
+        """
+        size = np.diff(bounds)
+        begins = np.zeros(len(word), bool)
+        begins[bounds[:-1][size > 0]] = True
+        scale = np.float32(1 / TRAIN_LANES)
 
         def update(k: str, grad: np.ndarray, at=slice(None)) -> None:
             grad = np.clip(grad, -1, 1)
             sq[k][at] += grad * grad
             getattr(self, k)[at] -= rate * grad / np.sqrt(sq[k][at])
 
-        for _ in range(epochs):
-            h, last = np.zeros((TRAIN_LANES, HIDDEN), np.float32), np.zeros(TRAIN_LANES, np.int64)
-            for t0 in range(0, n, TRAIN_WINDOW):
-                ww, bb = w[t0 : t0 + TRAIN_WINDOW], b[t0 : t0 + TRAIN_WINDOW]
-                tape = []
-                for t in range(len(ww)):
-                    h = np.where(bb[t][:, None], np.float32(0), h)
-                    last = np.where(bb[t], 0, last)
-                    before = h
-                    h, z, r, m, g = self.step(last, h)
-                    tape.append((last, before, z, r, m, g, h))
-                    last = ww[t]
-                hs, word_ = np.concatenate([x[-1] for x in tape]), ww.ravel()
-                scale = np.float32(1 / TRAIN_LANES)
-                k = np.where(word_ < self.n, word_ // CLASS, self.w.shape[0])
-                a = hs @ self.c + self.cb
-                p = np.exp(a - a.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(k)), k] -= 1
-                p *= scale
-                dh = p @ self.c.T
-                gc, gcb = hs.T @ p, p.sum(axis=0)
-                order = np.argsort(k, kind="stable")
-                edge = np.searchsorted(k[order], np.arange(self.w.shape[0] + 1))
-                for j in np.flatnonzero(np.diff(edge)):
-                    at = order[edge[j] : edge[j + 1]]
-                    q = hs[at] @ self.w[j] + self.wb[j]
-                    q = np.exp(q - q.max(axis=1, keepdims=True))
-                    q /= q.sum(axis=1, keepdims=True)
-                    q[np.arange(len(at)), word_[at] % CLASS] -= 1
-                    q *= scale
-                    dh[at] += q @ self.w[j].T
-                    update("w", hs[at].T @ q, j)
-                    update("wb", q.sum(axis=0), j)
-                update("c", gc)
-                update("cb", gcb)
-                dh = dh.reshape(len(ww), TRAIN_LANES, HIDDEN)
-                carry = np.zeros_like(h)
-                gu, gx, words_ = np.zeros_like(self.u), [], []
-                for t in range(len(ww) - 1, -1, -1):
-                    prev, before, z, r, m, g, _ = tape[t]
-                    d = dh[t] + carry
-                    dm = d * (1 - z) * (1 - m * m)
-                    dz = d * (before - m) * z * (1 - z)
-                    dr = dm * g[:, 2 * HIDDEN :] * r * (1 - r)
-                    dg = np.concatenate([dz, dr, dm * r], axis=1)
-                    gu += before.T @ dg
-                    carry = (d * z + dg @ self.u.T) * ~bb[t][:, None]
-                    gx.append(np.concatenate([dz, dr, dm], axis=1))
-                    words_.append(prev)
-                update("u", gu)
-                words_, gx = np.concatenate(words_), np.concatenate(gx)
-                rows, inv = np.unique(words_, return_inverse=True)
-                summed = np.zeros((len(rows), 3 * HIDDEN), np.float32)
-                np.add.at(summed, inv, gx)
-                update("x", summed, rows)
+        lanes, parts = windows(size, bounds, TRAIN_LANES, TRAIN_WINDOW)
+        h, last = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64)
+        for where in parts:
+            steps, live = where.shape
+            seen = where >= 0
+            ww = np.where(seen, word[np.maximum(where, 0)], 0)
+            new = begins[np.maximum(where, 0)] & seen
+            h, last, tape = h[:live], last[:live], []
+            for t in range(steps):
+                h = np.where(new[t][:, None], np.float32(0), h)
+                last = np.where(new[t], 0, last)
+                before = h
+                h, z, r, m, g = self.step(last, h)
+                tape.append((last, before, z, r, m, g, h))
+                last = ww[t]
+            hs, word_ = np.stack([x[-1] for x in tape])[seen], ww[seen]
+            k = np.where(word_ < self.n, word_ // CLASS, self.w.shape[0])
+            a = hs @ self.c + self.cb
+            p = np.exp(a - a.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(k)), k] -= 1
+            p *= scale
+            dh = p @ self.c.T
+            gc, gcb = hs.T @ p, p.sum(axis=0)
+            order = np.argsort(k, kind="stable")
+            edge = np.searchsorted(k[order], np.arange(self.w.shape[0] + 1))
+            for j in np.flatnonzero(np.diff(edge)):
+                at = order[edge[j] : edge[j + 1]]
+                own = hs[at]
+                q = own @ self.w[j] + self.wb[j]
+                q = np.exp(q - q.max(axis=1, keepdims=True))
+                q /= q.sum(axis=1, keepdims=True)
+                q[np.arange(len(at)), word_[at] % CLASS] -= 1
+                q *= scale
+                dh[at] += q @ self.w[j].T
+                update("w", own.T @ q, j)
+                update("wb", q.sum(axis=0), j)
+            update("c", gc)
+            update("cb", gcb)
+            full = np.zeros((steps, live, HIDDEN), np.float32)
+            full[seen] = dh
+            carry = np.zeros_like(h)
+            gu, gx, words_ = np.zeros_like(self.u), [], []
+            for t in range(steps - 1, -1, -1):
+                prev, before, z, r, m, g, _ = tape[t]
+                d = full[t] + carry
+                dm = d * (1 - z) * (1 - m * m)
+                dz = d * (before - m) * z * (1 - z)
+                dr = dm * g[:, 2 * HIDDEN :] * r * (1 - r)
+                dg = np.concatenate([dz, dr, dm * r], axis=1)
+                gu += before.T @ dg
+                carry = (d * z + dg @ self.u.T) * ~new[t][:, None]
+                gx.append(np.concatenate([dz, dr, dm], axis=1))
+                words_.append(prev)
+            update("u", gu)
+            words_, gx = np.concatenate(words_), np.concatenate(gx)
+            order = np.argsort(words_, kind="stable")
+            rows, first = np.unique(words_[order], return_index=True)
+            update("x", np.add.reduceat(gx[order], first, axis=0), rows)
+
+    def pack(self, sq: dict[str, np.ndarray]) -> np.ndarray:
+        """The weights and their sums of squared gradients as one array."""
+        return np.concatenate([a.ravel() for k in WEIGHTS for a in (getattr(self, k), sq[k])])
+
+    def unpack(self, flat: np.ndarray) -> tuple[Gru, dict[str, np.ndarray]]:
+        """A model of this one's shape, and the sums, from what pack gave."""
+        sizes = [getattr(self, k).size for k in WEIGHTS for _ in range(2)]
+        parts = iter(np.split(flat, np.cumsum(sizes)[:-1]))
+        got = {k: (next(parts).reshape(getattr(self, k).shape).copy(), next(parts).reshape(getattr(self, k).shape).copy()) for k in WEIGHTS}
+        return Gru(self.n, *(got[k][0] for k in WEIGHTS)), {k: v[1] for k, v in got.items()}
+
+
+WEIGHTS = ("x", "u", "c", "cb", "w", "wb")
 
 
 @dataclass
 class Model:
     head: np.ndarray  # sorted hashes of the frequent words
     log_count: np.ndarray  # log10(c + 0.1) of each
-    word: np.ndarray  # word of the GRU of each; its ``n`` for others
-    gru: Gru
+    word: np.ndarray  # word of the GRU of each; n for others
+    n: int  # words of the GRU
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in head, or -1."""
@@ -248,7 +285,7 @@ class Model:
         return np.where(self.head[i] == h, i, -1)
 
     def words(self, found: np.ndarray) -> np.ndarray:
-        return np.where(found >= 0, self.word[found], self.gru.n) if len(self.word) else np.full(len(found), self.gru.n)
+        return np.where(found >= 0, self.word[found], self.n) if len(self.word) else np.full(len(found), self.n)
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -263,26 +300,58 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _fit(docs: DataFrame, text_col: str, head: np.ndarray, c: np.ndarray, n: int, sample_tokens: int, train_bytes: int) -> Model:
-    """head and c: the frequent words, sorted by hash. docs: the training rows."""
+def _model(head: np.ndarray, c: np.ndarray, n: int) -> tuple[Model, Gru]:
+    """The look-up and the untrained GRU. head and c: the frequent words, sorted by hash, and their counts."""
     order = np.lexsort((head, -c))
     order = np.concatenate([order[head[order] == END], order[head[order] != END]])[:VOCABULARY]
     word = np.full(len(head), len(order))
     word[order] = np.arange(len(order))
-    gru = Gru.fresh(c[order].astype(np.float64), float(n - c[order].sum()))
-    model = Model(head, np.log10(c + 0.1), word, gru)
-    if len(order):
-        share = min(1.0, sample_tokens / max(1, n))
-        rows = docs.select(F.expr(f"substring(cast({text_col} as binary), 1, {train_bytes})").alias("text"), F.xxhash64(text_col).alias("k"))
-        texts = [bytes(t or b"") for t in rows.where(F.pmod("k", F.lit(1 << 30)) < F.lit(share * (1 << 30))).distinct().orderBy("k").toPandas()["text"]]
-        data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-        if len(texts):
-            h, row = tokens(data, offs)
-            gru.fit(model.words(model.find(h)), np.append(True, row[1:] != row[:-1]))
-    return model
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_tokens: int = SAMPLE_TOKENS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    return Model(head, np.log10(c + 0.1), word, len(order)), Gru.fresh(c[order].astype(np.float64), float(n - c[order].sum()))
+
+
+def _fit(rows: DataFrame, held, gru: Gru, n: int) -> Gru:
+    """``gru`` trained on every row's whole text (id, text), which have n tokens; held: the broadcast Model.
+
+    A row is read in one round of each pass. Every task starts from the weights
+    of the round before; of its tasks' weights a round keeps the mean by
+    tokens, made piece by piece, so that no task or driver holds many models.
+    """
+    sc = rows.sparkSession.sparkContext
+    flat = gru.pack({k: np.full(getattr(gru, k).shape, 1e-2, np.float32) for k in WEIGHTS})
+    tasks = int(min(MOST_TASKS, max(1, -(-n // (ROUNDS * TASK_TOKENS)))))
+    passes = int(min(MOST_PASSES, max(1, -(-SMALL // max(1, n)))))
+    for i in range(passes * ROUNDS):
+        start = sc.broadcast(flat)
+
+        def run(batches, start=start):
+            from pyspark import TaskContext
+
+            m, (own, sq), n_seen = held.value, gru.unpack(start.value), 0
+            for batch in batches:
+                for _, part in tk.row_slices(batch, "text", SLICE):
+                    h, row = tokens(*tk.buffers(part.column(0)))
+                    own.fit(m.words(m.find(h)), tk.rows_of(row, part.num_rows), sq)
+                    n_seen += len(h)
+            if n_seen:
+                pieces = [x.tobytes() for x in np.array_split(own.pack(sq), PIECES)]
+                same = lambda x, t: pa.array(np.full(PIECES, x), t)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), same(TaskContext.get().partitionId(), pa.int32()), same(n_seen, pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "part", "n", "weights"])
+
+        def mean(g):
+            g = g.sort_values("part")
+            share = g["n"].to_numpy(np.float64) / g["n"].sum()
+            total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(share, g["weights"], strict=True))
+            return pd.DataFrame({"piece": g["piece"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
+
+        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)) == i % ROUNDS).select("text").coalesce(tasks)
+        got = own.mapInArrow(run, "piece int, part int, n long, weights binary").groupBy("piece").applyInPandas(mean, "piece int, weights binary").collect()
+        if got:
+            flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(got, key=lambda r: r["piece"])])
+        start.unpersist()
+    return gru.unpack(flat)[0]
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     base_score is the log10 probability under smoothed word counts of the
@@ -300,16 +369,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     head = counts.where(frequent).toPandas()
     hashes = head["word"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(hashes)
-    model = _fit(train, "text", hashes[by], head["c"].to_numpy()[by], n, sample_tokens, train_bytes)
+    model, gru = _model(hashes[by], head["c"].to_numpy()[by], n)
     held = sc.broadcast(model)
+    net = sc.broadcast(_fit(train, held, gru, n))
     norm = float(np.log10(n + 0.1 * (v + 1)))
     # what the base leaves to the words that the GRU has no word for
-    in_gru = model.word < model.gru.n
+    in_gru = model.word < model.n
     others = 1 - ((10.0 ** model.log_count[in_gru]).sum() / 10**norm if len(in_gru) else 0.0)
     others = float(np.log10(max(others, 1e-300)))
 
     def score(batches):
-        m = held.value
+        m, gru = held.value, net.value
         for batch in batches:
             for _, part in tk.row_slices(batch, "text", SLICE):
                 h, row = tokens(*tk.buffers(part.column(1)))
@@ -327,7 +397,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array(add(known.astype(np.int64)), pa.int64()),
                         pa.array(add(log_c), pa.float64()),
-                        pa.array(m.gru.score(word, bounds) / np.log(10) + add(np.where(word == m.gru.n, log_c - norm - others, 0.0)), pa.float64()),
+                        pa.array(gru.score(word, bounds) / np.log(10) + add(np.where(word == m.n, log_c - norm - others, 0.0)), pa.float64()),
                     ],
                     names=["id", "key", "n_tokens", "head_known", "head_base", "model"],
                 )

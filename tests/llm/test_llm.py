@@ -186,3 +186,14 @@ def test_licence_and_secret(spark):
     key = "3f9a0c77e1b2d4586a90bc13de24f57a8890abcd"
     found = secrets.secret_scan(table(spark, [f'api token = "{key}"', f"commit {key} of the tree", prose(1, 50)])).collect()
     assert {(r["doc_id"], r["is_secret"]) for r in found} == {(0, True), (1, False)}
+
+
+def test_lm_learns_from_the_whole_of_long_texts(spark):
+    turns = ["zig zag", "zag zig zag zig zig zag zag zag zig zig"]
+    train = [(i, prose(200 + i, 3500) + " zig zag" * 1200) for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:12]
+    held = [i for i in range(1000) if not zlib.crc32(str(i).encode()) % 10][:2]
+    assert all(t.index("zig") > 16_384 for _, t in train)
+    rows = [(i, t, "", "", "", "", 0, 0) for i, t in [*train, (held[0], f"{turns[0]} " * 250), (held[1], f"{turns[1]} " * 50)]]
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # as many of each word, but in the order that only the ends of the long texts teach
+    assert got[held[0]] > got[held[1]] + 50
