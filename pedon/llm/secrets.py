@@ -8,6 +8,7 @@ before it. The dictionary is the corpus' own frequent words.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -33,49 +34,68 @@ _LETTERS = np.zeros(256, bool)
 _LETTERS[0x61:0x7B] = True
 _LETTERS[0x80:] = True
 NAMED = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[a-z_-]*|credentials?|private[_-]?key)[\"' ]{0,3}$")
-VALUE = re.compile(rb"[=:>]{0,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
-#: Published forms of keys (fixed values).
+VALUE = re.compile(rb"[=:>]{0,2}\s{0,3}[\"']?((?:(?!&[\w.-]+=)[^\s\"'<>,;]){6,})")
+#: Published forms of keys (fixed values), searched for inside runs.
 FORMS = [
-    ("aws_access_key", re.compile(rb"^(?:AKIA|ASIA)[0-9A-Z]{16}$")),
-    ("github_token", re.compile(rb"^gh[pousr]_[A-Za-z0-9]{36,}$")),
-    ("gitlab_token", re.compile(rb"^glpat-[A-Za-z0-9_-]{20,}$")),
-    ("slack_token", re.compile(rb"^xox[abprs]-[A-Za-z0-9-]{10,}$")),
-    ("google_api_key", re.compile(rb"^AIza[0-9A-Za-z_-]{35}$")),
-    ("stripe_key", re.compile(rb"^[rs]k_live_[0-9A-Za-z]{24,}$")),
-    ("json_web_token", re.compile(rb"^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*$")),
+    ("aws_access_key", re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")),
+    ("github_token", re.compile(rb"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}")),
+    ("gitlab_token", re.compile(rb"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}")),
+    ("slack_token", re.compile(rb"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}")),
+    ("google_api_key", re.compile(rb"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])")),
+    ("stripe_key", re.compile(rb"(?<![A-Za-z0-9])[rs]k_live_[0-9A-Za-z]{24,}")),
+    ("json_web_token", re.compile(rb"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")),
 ]
 _KEY = b"-----BEGIN "
+#: A private key's first line, and its header and base64 lines.
+_BODY = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s+[A-Za-z-]+: [^\r\n]+)*(?:\s+[A-Za-z0-9+/]{40,}={0,2})*(?:\r?\n[ \t]*[A-Za-z0-9+/]{2,}={0,2}(?=[ \t]*(?:[\r\n]|$)))?")
+_PART = re.compile(rb"[^=]+=*")
 FOR = [b"token", b"secret", b"password", b"passwd", b"pwd", b"key", b"auth", b"bearer", b"credential", b"passphrase"]
 AGAINST = [b"sha", b"md5", b"hash", b"commit", b"digest", b"checksum", b"uuid", b"guid", b"revision", b"integrity", b"example", b"placeholder", b"sample", b"etag", b"build", b"url", b"http", b"path"]
 GOOD_PATH, BAD_PATH = re.compile(r"(?i)config|\.env|credential|secret|settings|deploy|\.pem|\.key"), re.compile(r"(?i)test|example|fixture|sample|mock|doc|\.lock|vendor")
 
 
 def candidates(raw: bytes, data: np.ndarray) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each candidate in a text, in order, without overlaps."""
-    found: dict[int, tuple[int, str]] = {}
+    """(start, end, kind) of each candidate in a text, in order, without overlaps.
+
+    Private keys go before known forms, these before named values and these
+    before long runs, which end at "=" unless it closes them; what a better
+    kind leaves of a candidate is a long run if it is long enough.
+    """
+    keys, forms, named, runs = [], [], [], []
     s, e, _ = tk.words(data, np.array([0, len(data)]), _RUN)
     for a, b in zip(*(x[e - s >= LONG].tolist() for x in (s, e)), strict=True):
-        a += len(raw[a:b]) - len(raw[a:b].lstrip(b"=.-"))
-        b -= len(raw[a:b]) - len(raw[a:b].rstrip(b".-"))
-        if b - a >= LONG:
-            found[a] = (b, next((k for k, p in FORMS if p.match(raw[a:b])), "long_run"))
+        run = raw[a:b]
+        forms += [(a + m.start(), a + m.end(), kind) for kind, p in FORMS for m in p.finditer(run)]
+        for m in _PART.finditer(run):
+            runs.append((a + m.start(), a + (m.end() if m.end() == len(run) else m.start() + len(m[0].rstrip(b"="))), "long_run"))
     for i in np.flatnonzero((data == 0x3D) | (data == 0x3A)).tolist():
         if NAMED.search(raw[max(0, i - 40) : i]) and (m := VALUE.match(raw, i)):
-            a, b = m.span(1)
-            if a not in found or found[a][1] == "long_run":
-                found[a] = (max(b, found[a][0]) if a in found else b, "named_value")
+            named.append((*m.span(1), "named_value"))
     i = raw.find(_KEY)
     while i >= 0:
-        j = raw.find(b"-----END ", i)
+        after = raw.find(_KEY, i + 1)
         if b"PRIVATE KEY-----" in raw[i : i + 60]:
-            found[i] = (j if j > 0 else min(len(raw), i + 64), "private_key")
-        i = raw.find(_KEY, i + 1)
-    out, last = [], -1
-    for a in sorted(found):
-        b, kind = found[a]
-        if a >= last:
-            out.append((a, b, kind))
-            last = b
+            j = raw.find(b"-----END ", i, after if after >= 0 else len(raw))
+            m = _BODY.match(raw, i)
+            keys.append((i, j if j > 0 else m.end() if m else min(len(raw), i + 64), "private_key"))
+        i = after
+    out: list[tuple[int, int, str]] = []
+    for found in (keys, sorted(forms), sorted(named), runs):
+        for a, b, kind in found:
+            at = bisect.bisect_right(out, a, key=lambda x: x[1])
+            free, whole = [], a
+            while at < len(out) and out[at][0] < b:
+                free.append((whole, out[at][0]))
+                whole, at = out[at][1], at + 1
+            free.append((whole, b))
+            alone = len(free) == 1
+            for c, d in free:
+                if kind == "long_run" or not alone:
+                    c += len(raw[c:d]) - len(raw[c:d].lstrip(b"=.-"))
+                    d -= len(raw[c:d]) - len(raw[c:d].rstrip(b".-"))
+                    if d - c < LONG:
+                        continue
+                bisect.insort(out, (c, d, kind if alone else "long_run"))
     return out
 
 
