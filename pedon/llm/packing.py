@@ -8,6 +8,7 @@ fills most, found in a segment tree over remaining capacities.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,6 +32,13 @@ SLICE = 8 << 20
 TAIL = b".,;:!?"
 
 
+def _letters_only(word: bytes) -> bool:
+    """Whether the tokenizer's normal form of a word (composed, then in small letters) is letters and nothing else, marks included."""
+    if word.isascii():
+        return word.isalpha()
+    return unicodedata.normalize("NFC", word.decode()).lower().isalpha()
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizer whose pieces never span white space, with a bounded memory of chunks between white space.
 
@@ -62,7 +70,7 @@ class ChunkTokenizer:
             else:
                 self.young[c] = v
         ids = self.young
-        worded = [(c, w) for c in fresh if (w := c.rstrip(TAIL)).decode().isalpha()]
+        worded = [(c, w) for c in fresh if _letters_only(w := c.rstrip(TAIL))]
         self._letters([w for w in {w for _, w in worded} if w not in ids])
         self._one_by_one([t for t in {c[len(w) :] for c, w in worded} if t and t not in ids])
         ids.update((c, ids[w] + ids[c[len(w) :]]) for c, w in worded if len(c) > len(w))
