@@ -6,16 +6,18 @@ window is a set of shingles of up to three words, and a document that contains
 it has them all, so the join needs one of them: the window's prefix under an
 order by rarity in the documents is its rarest shingle. Each occurrence of that
 shingle fixes where the window would begin; length and position are checked
-against the document's ends and the words are then compared one by one.
+against the document's ends, the words' hashes are compared one by one, and what
+is left is compared byte by byte, so that no collision counts.
 
 The items are the stated query set and go to the tasks in blocks of bounded
-size; documents never leave their task, so no key can be hot.
+size, one block at a time; documents never leave their task, so no key can be
+hot.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedon.llm import textkit as tk
+from pedon.llm.graph import durable
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of benchmark text in a block; a larger benchmark takes more passes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in a block, whose index takes some ten times as much; a larger benchmark takes more passes.
+BLOCK_BYTES = 4 << 20
 _BITS = 20
 
 
@@ -50,46 +53,36 @@ def _fits(row: np.ndarray, k: int) -> np.ndarray:
     return ok
 
 
-def _words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start, end) of the words, and the folded bytes that they stand in."""
     data, offs = tk.buffers(arr)
     data = tk.FOLD[data]
     s, e, row = tk.words(data, offs, tk.ALNUM)
-    return tk.span_hashes(data, s, e), row
+    return tk.span_hashes(data, s, e), row, s, e, data
 
 
 class _Index:
-    """Windows of a block of items: their words, the items they come from and their shingles."""
+    """Words of a block of items, and the windows that begin at them.
+
+    A window is the number of its first word; its shingles are hashes of the
+    words that begin there and after.
+    """
 
     def __init__(self, ids: list, texts: list, size: int) -> None:
-        h, row = _words(pa.array(texts, pa.large_string()))
-        bounds = tk.rows_of(row, len(ids))
-        found: dict[bytes, tuple[int, set[str]]] = {}
-        wins: list[np.ndarray] = []
-        for i, item in enumerate(ids):
-            a, b = bounds[i], bounds[i + 1]
-            for p in range(a, max(a, b - size) + 1) if b > a else ():
-                w = h[p : min(p + size, b)]
-                k = found.setdefault(w.tobytes(), (len(wins), set()))
-                if k[0] == len(wins):
-                    wins.append(w)
-                k[1].add("" if item is None else str(item))
-        self.items = [s for _, s in sorted(found.values(), key=lambda x: x[0])]
-        self.length = np.array([len(w) for w in wins], np.int64)
-        self.words = np.zeros((len(wins), size), np.uint64)
-        for i, w in enumerate(wins):
-            self.words[i, : len(w)] = w
-        # every shingle of every window: (hash, window, offset)
-        hs, ws, os_ = [], [], []
-        for n in np.unique(self.length):
-            at = np.flatnonzero(self.length == n)
-            k = min(SHINGLE, int(n))
-            for o in range(int(n) - k + 1):
-                hs.append(_shingles(self.words[at, o : o + k].ravel(), np.repeat(at, k), k)[::k])
-                ws.append(at)
-                os_.append(np.full(len(at), o))
-        self.sh, self.sw, self.so = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((hs, np.uint64), (ws, np.int64), (os_, np.int64)))
-        self.sizes = sorted({min(SHINGLE, int(n)) for n in np.unique(self.length)})
-        self.keys = np.unique(self.sh)
+        self.h, row, self.s, self.e, data = _words(pa.array(texts, pa.large_string()))
+        self.data = data.copy()
+        self.items = ["" if i is None else str(i) for i in ids]
+        n = np.diff(tk.rows_of(row, len(ids)))
+        if not len(self.h):
+            return
+        # an item of fewer words than a window is one window
+        left = np.cumsum(n)[row] - np.arange(len(row))
+        self.first = np.flatnonzero((left >= size) | ((n[row] < size) & (left == n[row])))
+        self.length = np.minimum(n[row[self.first]], size)
+        self.item = row[self.first]
+        self.sizes = sorted({min(SHINGLE, int(x)) for x in np.unique(self.length)})
+        self.of = {k: _shingles(self.h, row, k) for k in self.sizes}
+        self.keys = np.unique(np.concatenate([self.of[k][_fits(row, k)] for k in self.sizes]))
         self._table(self.keys)
 
     def _table(self, keys: np.ndarray) -> None:
@@ -107,36 +100,70 @@ class _Index:
             ok = self.at[i] == g[p]
             pos.append(p[ok])
             key.append(i[ok])
-        return (np.concatenate(pos), np.concatenate(key)) if pos else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return np.concatenate(pos), np.concatenate(key)
 
     def keep_prefixes(self, counts: np.ndarray) -> None:
         """counts: how often the documents have each of ``keys``; keep each window's rarest shingle."""
-        i = np.searchsorted(self.keys, self.sh)
-        order = np.lexsort((self.so, self.sh, counts[i], self.sw))
-        order = order[np.unique(self.sw[order], return_index=True)[1]]
-        order = order[np.argsort(self.sh[order], kind="stable")]
-        self.sh, self.sw, self.so = self.sh[order], self.sw[order], self.so[order]
-        keys, first = np.unique(self.sh, return_index=True)
-        self.first = np.append(first, len(self.sh))
-        self._table(keys)
-
-    def contained(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rarest = np.full(len(self.first), -1)
+        offset = np.zeros(len(self.first), np.int64)
+        for n in np.unique(self.length):
+            at = np.flatnonzero(self.length == n)
+            k = min(SHINGLE, int(n))
+            for o in range(int(n) - k + 1):
+                key = np.searchsorted(self.keys, self.of[k][self.first[at] + o])
+                # equal windows choose alike: by count, then by hash
+                better = (rarest[at] < 0) | (counts[key] < counts[rarest[at]]) | ((counts[key] == counts[rarest[at]]) & (key < rarest[at]))
+                rarest[at[better]], offset[at[better]] = key[better], o
+        order = np.argsort(rarest, kind="stable")
+        self.first, self.length, self.item, self.offset = self.first[order], self.length[order], self.item[order], offset[order]
+        used, begin = np.unique(rarest[order], return_index=True)
+        self.begin = np.append(begin, len(order))
+        self._table(self.keys[used])
+        del self.keys, self.of
+
+    def contained(self, h: np.ndarray, row: np.ndarray, s: np.ndarray, e: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, window) of every occurrence of a window."""
         pos, key = self.hits(h, row)
-        n = self.first[key + 1] - self.first[key]
+        n = self.begin[key + 1] - self.begin[key]
         pos = np.repeat(pos, n)
-        at = np.repeat(self.first[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        win, start = self.sw[at], pos - self.so[at]
+        win = np.repeat(self.begin[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = pos - self.offset[win]
         size = self.length[win]
         ok = (start >= 0) & (start + size <= len(h))
         start, win, size, pos = start[ok], win[ok], size[ok], pos[ok]
         ok = (row[start] == row[pos]) & (row[start + size - 1] == row[pos])
         start, win, size = start[ok], win[ok], size[ok]
         ok = np.ones(len(start), bool)
-        for j in range(self.words.shape[1]):
-            ok &= (j >= size) | (h[np.minimum(start + j, len(h) - 1)] == self.words[win, j])
+        for j in range(int(size.max()) if len(size) else 0):
+            inside = j < size
+            ok &= ~inside | (h[np.minimum(start + j, len(h) - 1)] == self.h[np.minimum(self.first[win] + j, len(self.h) - 1)])
+        start, win, size = start[ok], win[ok], size[ok]
+        ok = self._same_bytes(start, self.first[win], size, s, e, data)
         return start[ok], win[ok]
 
+    def _same_bytes(self, mine: np.ndarray, its: np.ndarray, size: np.ndarray, s: np.ndarray, e: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Whether the words from ``mine`` on have the bytes of the items' words from ``its`` on; each pair of words is compared once."""
+        if not len(mine):
+            return np.zeros(0, bool)
+        of = np.repeat(np.arange(len(mine)), size)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        pair = (mine[of] + step) * len(self.h) + its[of] + step
+        pairs, back = np.unique(pair, return_inverse=True)
+        a, b = pairs // len(self.h), pairs % len(self.h)
+        n = e[a] - s[a]
+        same = n == self.e[b] - self.s[b]
+        i = 0
+        while i < len(pairs):  # by blocks of bytes
+            j = max(i + 1, int(np.searchsorted(np.cumsum(n[i:]), tk.BLOCK_BYTES, "right")) + i)
+            at = np.flatnonzero(same[i:j]) + i
+            m = n[at]
+            shift = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            equal = data[np.repeat(s[a[at]], m) + shift] == self.data[np.repeat(self.s[b[at]], m) + shift]
+            if len(at):
+                same[at] = np.logical_and.reduceat(equal, np.cumsum(m) - m)
+            i = j
+        return np.logical_and.reduceat(same[back], np.cumsum(size) - size)
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[tuple[list, list]]:
     """Items in blocks of about ``most`` bytes, one on the driver at a time."""
@@ -151,7 +178,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
 def _index(spark: SparkSession, docs: DataFrame, text_col: str, ids: list, texts: list, size: int):
     """The block's index with its prefixes chosen, as a broadcast variable; None if no item has words."""
     index = _Index(ids, texts, size)
-    if not len(index.length):
+    if not len(index.h):
         return None
     whole = spark.sparkContext.broadcast(index)
 
@@ -159,7 +186,7 @@ def _index(spark: SparkSession, docs: DataFrame, text_col: str, ids: list, texts
         total = np.zeros(len(whole.value.keys), np.int64)
         for batch in batches:
             for _, part in tk.row_slices(batch, "text"):
-                total += np.bincount(whole.value.hits(*_words(part.column(0)))[1], minlength=len(total))
+                total += np.bincount(whole.value.hits(*_words(part.column(0))[:2])[1], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["key", "n"])
 
@@ -171,6 +198,38 @@ def _index(spark: SparkSession, docs: DataFrame, text_col: str, ids: list, texts
     return spark.sparkContext.broadcast(index)
 
 
+def _scan(index, spans: bool):
+    """A task's function: (id, n_words, hit, items) of each row; hit has the words hit, or their number alone."""
+
+    def run(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, row, s, e, data = _words(part.column(1))
+                n = part.num_rows
+                bounds = tk.rows_of(row, n)
+                items: list[list[str]] = [[] for _ in range(n)]
+                hit = np.zeros(len(h) + 1, np.int64)
+                if index is not None and len(h):
+                    ix = index.value
+                    start, win = ix.contained(h, row, s, e, data)
+                    np.add.at(hit, start, 1)
+                    np.add.at(hit, start + ix.length[win], -1)
+                    found = np.unique(row[start] * len(ix.items) + ix.item[win])
+                    for r, i in zip((found // len(ix.items)).tolist(), (found % len(ix.items)).tolist(), strict=True):
+                        items[r].append(ix.items[i])
+                inside = np.cumsum(hit)[: len(h)] > 0
+                if spans:
+                    hits = [np.flatnonzero(inside[a:b]).tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                else:
+                    hits = [[x] for x in np.diff(np.concatenate([[0], np.cumsum(inside)])[bounds]).tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
+                    names=["id", "n_words", "hit", "items"],
+                )
+
+    return run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_words, n_hit, items array<string>).
 
@@ -178,87 +237,70 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (as strings, sorted as such) of the items with an occurring window. Null
     and empty texts have no words; items without words match nothing; items
     with one text share its windows. A null item id counts as ''. Rows of
-    ``docs`` that repeat get the same result each.
+    ``docs`` that repeat get the same result each. Of a benchmark of several
+    blocks one index exists at a time: each block's hits are written before
+    the next index is built.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    indexes = [x for x in (_index(spark, docs, "text", i, t, window) for i, t in _blocks(benchmark, item_col, item_text_col, block_bytes)) if x]
-    whole = f"id {kind}, n_words long, hit array<long>, items array<string>"
-
-    def scan(index, spans: bool):
-        def run(batches):
-            for batch in batches:
-                for _, part in tk.row_slices(batch, "text"):
-                    h, row = _words(part.column(1))
-                    n = part.num_rows
-                    bounds = tk.rows_of(row, n)
-                    items: list[list[str]] = [[] for _ in range(n)]
-                    hit = np.zeros(len(h) + 1, np.int64)
-                    if index is not None and len(h):
-                        ix = index.value
-                        start, win = ix.contained(h, row)
-                        np.add.at(hit, start, 1)
-                        np.add.at(hit, start + ix.length[win], -1)
-                        got: dict[int, set[str]] = {}
-                        for r, w in zip(row[start].tolist(), win.tolist(), strict=True):
-                            got.setdefault(r, set()).update(ix.items[w])
-                        for r, x in got.items():
-                            items[r] = sorted(x)
-                    inside = np.cumsum(hit)[: len(h)] > 0
-                    if spans:
-                        hits = [np.flatnonzero(inside[a:b]).tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    else:
-                        hits = [[x] for x in np.diff(np.concatenate([[0], np.cumsum(inside)])[bounds]).tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                        names=["id", "n_words", "hit", "items"],
-                    )
-
-        return run
-
-    if len(indexes) <= 1:
-        out = docs.mapInArrow(scan(indexes[0] if indexes else None, False), whole)
-        return out.select(F.col("id").alias(id_col), "n_words", F.col("hit")[0].alias("n_hit"), "items")
+    out = "id {}, n_words long, hit array<long>, items array<string>"
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = docs.mapInArrow(_scan(_index(spark, docs, "text", *first, window), False), out.format(kind))
+        return found.select(F.col("id").alias(id_col), "n_words", F.col("hit")[0].alias("n_hit"), "items")
     # several blocks: positions that they hit are united by row
     key = docs.select("id", F.xxhash64("text").alias("_h1"), F.md5(F.coalesce("text", F.lit(""))).alias("_h2"), "text")
     key = key.select(F.struct("id", "_h1", "_h2").alias("id"), "text")
     kind = key.schema["id"].dataType.simpleString()
-    whole = f"id {kind}, n_words long, hit array<long>, items array<string>"
-    parts = key.mapInArrow(scan(indexes[0], True), whole)
-    for x in indexes[1:]:
-        parts = parts.unionByName(key.mapInArrow(scan(x, True), whole).where("size(items) > 0"))
-    empty_long, empty_str = F.array().cast("array<long>"), F.array().cast("array<string>")
-    found = parts.where("size(items) > 0").groupBy("id").agg(
+    parts = None
+    for ids, texts in chain([first, second], blocks):
+        index = _index(spark, docs, "text", ids, texts, window)
+        if index is not None:
+            part = durable(key.mapInArrow(_scan(index, True), out.format(kind)).where("size(items) > 0"))
+            parts = part if parts is None else parts.unionByName(part)
+            index.destroy()
+    base = key.mapInArrow(_scan(None, False), out.format(kind)).select("id", "n_words")
+    if parts is None:
+        return base.select(base["id"]["id"].alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    found = parts.groupBy("id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("hit")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    base = key.mapInArrow(scan(None, False), whole).select("id", "n_words")
-    on = base["id"].eqNullSafe(found["id"])
-    return base.join(found, on, "left").select(
-        base["id"]["id"].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", empty_str).alias("items")
+    return base.join(found, base["id"].eqNullSafe(found["id"]), "left").select(
+        base["id"]["id"].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with all its columns, without the rows in which a window of an item occurs; block by block."""
+    """``docs`` with all its columns, without the rows in which a window of an item occurs; block by block.
+
+    Rows with null or empty text stay, and so do rows with null ids, for ids
+    aren't looked at; rows that repeat stay or go together. Of a benchmark of
+    several blocks one index exists at a time: what each block leaves is
+    written before the next index is built.
+    """
     at = docs.columns.index(text_col)
 
     def scan(index):
         def run(batches):
             for batch in batches:
                 for _, part in tk.row_slices(batch, text_col):
-                    h, row = _words(part.column(at))
+                    words = _words(part.column(at))
                     clean = np.ones(part.num_rows, bool)
-                    if len(h):
-                        clean[row[index.value.contained(h, row)[0]]] = False
+                    if len(words[0]):
+                        clean[words[1][index.value.contained(*words)[0]]] = False
                     yield part.filter(pa.array(clean))
 
         return run
 
-    out = docs
+    out, before = docs, None
     for ids, texts in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = _index(docs.sparkSession, docs, text_col, ids, texts, window)
-        if index is not None:
-            out = out.mapInArrow(scan(index), docs.schema)
+        if before is not None:
+            out = durable(out)
+            before.destroy()
+        before = _index(docs.sparkSession, out, text_col, ids, texts, window)
+        if before is not None:
+            out = out.mapInArrow(scan(before), docs.schema)
     return out

@@ -1,14 +1,18 @@
 """SimHash near-duplicate groups by multi-index hashing.
 
-A fingerprint has 64 bits. Two fingerprints that differ in at most two bits
-have one in common among the values at distance one or less from each, and
-such a value keeps one 32-bit segment of the fingerprint whole while the other
-segment goes through its Hamming ball of radius one. So each distinct
-fingerprint is entered into the tables of the two segments under the 33 members
-of that segment's ball, together with the segment that stays: 65 different
-keys. The matches of a key are linked to the key's smallest fingerprint after
-their complete distances are verified. A key has 65 fingerprints at most and no
-list of pairs is built, however many near copies there are.
+A fingerprint has 64 bits in two segments of 32. Of two fingerprints that differ
+in two bits at most, either the first segments differ in one bit at most or the
+second segments are equal. So every distinct fingerprint stands in one table for
+each segment, under the segment's value; it looks up the Hamming ball of radius
+one around its first segment (the values with one bit more, as those with one
+bit less find it themselves) and the value of its second. What a look-up finds
+is verified by the complete distance.
+
+A value that more than ``HOT`` fingerprints share is split: its fingerprints are
+tabled anew under that value and the ball of radius one around their other
+segment, and what meets there is linked to the smallest fingerprint of the
+entry, not pairwise, so that no list of pairs is built however many near copies
+there are.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pedon.llm import textkit as tk
 from pedon.llm.graph import components, durable
 
 SEED = 42
+#: Fingerprints under one value of a segment that are compared pairwise; a value of more is split.
+HOT = 32
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +54,9 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
     first = np.flatnonzero(full)
     last = np.minimum(first + k, bounds[row[first] + 1]) - 1
     raw, digest = packed.tobytes(), xxhash.xxh64_intdigest
-    spans = zip(new_s[first].tolist(), (new_s[last] + size[last]).tolist(), strict=True)
-    return np.array([digest(raw[a:b], SEED) for a, b in spans], np.uint64), row[first]
+    begin, stop = new_s[first], new_s[last] + size[last]
+    spans = ((a, b) for i in range(0, len(first), 1 << 16) for a, b in zip(begin[i : i + (1 << 16)].tolist(), stop[i : i + (1 << 16)].tolist(), strict=True))
+    return np.fromiter((digest(raw[a:b], SEED) for a, b in spans), np.uint64, len(first)), row[first]
 
 
 def majority(h: np.ndarray, row: np.ndarray, n: int, words64: int = 1) -> np.ndarray:
@@ -78,14 +85,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) over the distinct values of ``fp``: a star for each key of the segment tables, verified."""
-    flips = F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))")
-    keys = fps.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("key"))
-    # one shuffle; a key's rows are 65 at most
-    centred = keys.withColumn("a", F.min("fp").over(Window.partitionBy("key")))
-    near = centred.where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
-    return near.where("bit_count(a ^ b) <= 2")
+_BALL = "transform(sequence(0, 31), i -> {0} ^ shiftleft(1L, i))"
+
+
+def segment_table(fps: DataFrame) -> DataFrame:
+    """(segment, value, fp): each distinct fingerprint in the tables of both segments."""
+    halves = F.array(F.struct(F.lit(0).alias("segment"), F.expr("shiftrightunsigned(fp, 32)").alias("value")), F.struct(F.lit(1).alias("segment"), F.expr("fp & 4294967295L").alias("value")))
+    return fps.select("fp", F.inline(halves)).select("segment", "value", "fp")
+
+
+def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b) over the distinct values of ``fp``: enough verified pairs at distance two or less to connect all that such pairs connect."""
+    table = segment_table(fps)
+    # values that a flip of one bit 0 leads to, so that each pair of neighbours meets once
+    up = F.filter(F.expr(_BALL.format("value")), lambda v: v > F.col("value"))
+    looks = table.select("segment", F.explode(F.when(F.col("segment") == 0, F.concat(F.array("value"), up)).otherwise(F.array("value"))).alias("value"), "fp", F.col("value").alias("own"))
+    looks = looks.select("segment", "value", "fp", (F.col("own") == F.col("value")).alias("own"))
+    many = durable(table.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("segment", "value"))
+    keys = ["segment", "value"]
+    cold = table.join(many, keys, "left_anti").select(*keys, F.col("fp").alias("b"))
+    near = looks.join(cold, keys).where("own = false or fp < b").select(F.col("fp").alias("a"), "b").where("bit_count(a ^ b) <= 2")
+    # hot values: a member's other segment with its ball; a look-up from a neighbour has one bit less to spend
+    other = F.when(F.col("segment") == 0, F.expr("fp & 4294967295L")).otherwise(F.expr("shiftrightunsigned(fp, 32)"))
+    split = looks.join(many, keys, "left_semi").withColumn("other", other)
+    split = split.select(*keys, F.explode(F.when(F.col("own"), F.concat(F.array("other"), F.expr(_BALL.format("other")))).otherwise(F.array("other"))).alias("other"), "fp", "own")
+    # a window's rows are 33 members and 32 look-ups at most
+    star = split.withColumn("a", F.min(F.when(F.col("own"), F.col("fp"))).over(Window.partitionBy(*keys, "other"))).where("a <> fp")
+    star = star.select("a", F.col("fp").alias("b")).where("bit_count(a ^ b) <= 2")
+    return near.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

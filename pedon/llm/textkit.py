@@ -2,8 +2,9 @@
 
 Texts are read straight from Arrow's UTF-8 buffers: a batch is one ``uint8``
 array plus row offsets, so finding words, folding case and hashing are numpy
-operations over bytes and no Python string is made. Work is cut into blocks of
-bounded size, whatever the length of one text.
+operations over bytes and no Python string is made. Batches are cut into runs of
+rows, and ``cut`` cuts a long text further where an operator's working memory is
+many times the text.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes handled at once by one numpy step.
 BLOCK_BYTES = 1 << 20
+LONG_SPAN = 64
 
 _MULT = 0x9E3779B97F4A7C15 | 1
 _U64 = (1 << 64) - 1
@@ -105,8 +108,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["q"]
 
 
+def cut(data: np.ndarray, offs: np.ndarray, most: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row of each piece) of runs of rows of about ``most`` bytes; a longer row comes in pieces, each with ``overlap`` bytes of the next."""
+    n = np.diff(offs)
+    pieces = np.maximum(-(-n // most), 1)
+    row = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = offs[:-1][row] + nth * most
+    stop = np.minimum(begin + most, offs[1:][row])
+    i = 0
+    while i < len(row):
+        j = max(i + 1, int(np.searchsorted(stop, begin[i] + most, "right")))
+        # a piece that its row goes on behind stands last, so the overlap is of no other row
+        more = int(min(overlap, offs[row[j - 1] + 1] - stop[j - 1]))
+        yield data[begin[i] : stop[j - 1] + more], np.append(begin[i:j], stop[j - 1] + more) - begin[i], row[i:j]
+        i = j
+
+
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes give equal values wherever they stand."""
+    """64-bit hash of each span of bytes; equal bytes give equal values wherever they stand.
+
+    A polynomial modulo 2^64 for spans of LONG_SPAN bytes or fewer; it has weak
+    spots in longer ones, which have XXH64 instead.
+    """
     out = np.empty(len(s), np.uint64)
     i = 0
     while i < len(s):
@@ -118,6 +142,8 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         a, b = s[i:j] - lo, e[i:j] - lo
         out[i:j] = mix((acc[b] - acc[a]) * q[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
+    for k in np.flatnonzero(e - s > LONG_SPAN).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[s[k] : e[k]].tobytes(), 7)
     return out
 
 

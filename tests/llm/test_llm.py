@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pedon.llm import decontaminate, exact_dedup, graph, langid, license_scan, lm_score, packing, quality, secrets, simhash, url_filter
+from pedon.llm import decontaminate, exact_dedup, graph, langid, license_scan, lm_score, packing, quality, secrets, simhash, textkit, url_filter
 
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 WORDS = [f"{a}{b}" for a in "mi ra to lu ke so na pe".split() for b in "ba di fo gu la ne vi xo".split()]
@@ -217,3 +218,56 @@ def test_secrets_without_spaces_or_quotes():
     for text, want in cases:
         raw = text.encode()
         assert [(text[a:b], kind) for a, b, kind in secrets.candidates(raw, np.frombuffer(raw, np.uint8))] == want, text
+
+
+def test_decontamination_compares_bytes(monkeypatch):
+    # words of equal length have equal hashes here, so only their bytes can tell them apart
+    monkeypatch.setattr(decontaminate.tk, "span_hashes", lambda data, s, e: (e - s).astype(np.uint64))
+    ix = decontaminate._Index([1, 2], ["red green blue", "cat"], 10)
+    ix.keep_prefixes(np.zeros(len(ix.keys), np.int64))
+    words = decontaminate._words(pa.array(["x red green blue", "x rad green blue", "cat dog CAT"]))
+    start, win = ix.contained(*words)
+    assert sorted(zip(start.tolist(), ix.item[win].tolist(), strict=True)) == [(1, 0), (8, 1), (10, 1)]
+
+
+def test_hashes_of_long_words():
+    # two words of 1,024 letters that any polynomial modulo 2^64 hashes alike
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    data = np.frombuffer("".join("xy"[s ^ k] for k in (0, 1) for s in signs).encode(), np.uint8)
+    h = textkit.span_hashes(data, np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] != h[1]
+
+
+def test_packing_ids_of_every_letter_before_a_sign():
+    own, mine = Tokenizer.from_file(TOKENIZER), packing.ChunkTokenizer(TOKENIZER)
+    letters = [chr(c) for c in range(0x80, 0x110000) if chr(c).isalpha()]
+    rng = np.random.default_rng(0)
+    pool = [*"abKIiß .,;:!?'\n0", *rng.choice(letters, 2000)]
+    texts = [x + "." for x in letters] + ["ab" + x + "?!" for x in letters] + ["".join(rng.choice(pool, rng.integers(1, 12))) for _ in range(5000)]
+    want = own.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine([t.encode() for t in texts])] == [w.ids for w in want]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 32])
+def test_segment_tables_connect_what_brute_force_connects(spark, hot):
+    rng = np.random.default_rng(hot)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 30)]
+    fps = set(base)
+    for b in base:  # chains and clusters at distances 1 to 4, in one segment or both, and equal segments far apart
+        for _ in range(12):
+            fps.add(b ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(1, 5), replace=False)))
+        fps |= {b ^ (int(x) << int(s)) for x, s in zip(rng.integers(1, 1 << 31, 6), [0, 0, 0, 32, 32, 32], strict=True)}
+        fps |= {b ^ (1 << i) for i in range(20)}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    a = np.array(fps)
+    near = np.bitwise_count((a[:, None] ^ a).view(np.uint64)) <= 2
+    low = np.arange(len(a))
+    while True:
+        new = np.where(near, low, len(a)).min(axis=1)
+        if (new == low).all():
+            break
+        low = new
+    got = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot)
+    assert got.where("bit_count(a ^ b) > 2 or a >= b").count() == 0
+    comp = {r["node"]: r["component"] for r in graph.components(got).collect()}
+    assert [comp.get(x, x) for x in fps] == [fps[i] for i in low]
