@@ -17,16 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedon.llm import textkit as tk
 from pedon.llm.folds import fold
+from pedon.llm.graph import durable
 
-#: N-grams of each language in its filter; slots; hash functions.
-GRAMS, SLOTS, HASHES = 300, 1 << 13, 3
-MOST_LANGUAGES = 64
+#: Least share of a language's n-grams that puts one into its filter (so a filter has 1 / SUPPORT at most); slots for each n-gram of the fullest filter; hash functions.
+SUPPORT, SLOTS_EACH, HASHES = 5e-4, 8, 3
+#: Languages in one word of a slot; more take more words.
+WORD = 64
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams are handled at once.
+CUT = 1 << 18
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[0x61:0x7B] = np.arange(1, 27)
@@ -55,35 +59,40 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[at[whole]], row[whole]
 
 
-def _slots(code: np.ndarray) -> list[np.ndarray]:
+def _slots(code: np.ndarray, n: int) -> list[np.ndarray]:
+    """The slots of each n-gram, one for each hash function; n, a power of two up to 2^20, is the number of slots."""
     h = tk.mix(code.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    bits = np.uint64(SLOTS - 1)
+    bits = np.uint64(n - 1)
     return [((h >> np.uint64(20 * j)) & bits).astype(np.int64) for j in range(HASHES)]
 
 
 @dataclass
 class Filters:
     languages: list[str]  # sorted
-    slots: np.ndarray  # masks of languages
+    slots: np.ndarray  # (words, slots): masks of 64 languages each
     false_rate: np.ndarray  # by language
     fallback: str  # the commonest language
 
     def counts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts (row, language), and n-grams of each row."""
-        code, row = grams(data, offs)
         n = len(offs) - 1
-        bounds = tk.rows_of(row, n)
-        total = np.diff(bounds)
-        out = np.zeros((n, len(self.languages)))
-        if len(code):
-            a, *rest = _slots(code)
-            mask = self.slots[a]
-            for b in rest:
-                mask &= self.slots[b]
-            full = np.flatnonzero(total)
-            for i in range(len(self.languages)):
-                hit = (mask >> np.uint64(i)) & np.uint64(1)
-                out[full, i] = np.add.reduceat(hit.astype(np.int64), bounds[full])
+        total, out = np.zeros(n, np.int64), np.zeros((n, len(self.languages)))
+        for d, o, rows in tk.cut(data, offs, CUT, 2):
+            code, piece = grams(d, o)
+            if not len(code):
+                continue
+            bounds = tk.rows_of(piece, len(rows))
+            each = np.diff(bounds)
+            np.add.at(total, rows, each)
+            full = np.flatnonzero(each)
+            a, *rest = _slots(code, self.slots.shape[1])
+            for w, masks in enumerate(self.slots):
+                mask = masks[a]
+                for b in rest:
+                    mask &= masks[b]
+                for i in range(w * WORD, min((w + 1) * WORD, len(self.languages))):
+                    hit = (mask >> np.uint64(i % WORD)) & np.uint64(1)
+                    np.add.at(out[:, i], rows[full], np.add.reduceat(hit.astype(np.int64), bounds[full]))
         rate = np.minimum(self.false_rate, 0.999)
         return np.maximum(out - rate * total[:, None], 0) / (1 - rate), total
 
@@ -91,23 +100,23 @@ class Filters:
 def build(top: dict[str, np.ndarray], fallback: str) -> Filters:
     """Filters of the n-gram codes of each language."""
     languages = sorted(top)
-    slots = np.zeros(SLOTS, np.uint64)
+    most = max((len(x) for x in top.values()), default=0)
+    slots = np.zeros((max(1, -(-len(languages) // WORD)), 1 << min(20, max(10, int(SLOTS_EACH * most - 1).bit_length() if most else 0))), np.uint64)
     for i, lang in enumerate(languages):
-        for s in _slots(top[lang]):
-            slots[s] |= np.uint64(1 << i)
-    fill = np.array([((slots >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+        for s in _slots(top[lang], slots.shape[1]):
+            slots[i // WORD, s] |= np.uint64(1 << i % WORD)
+    fill = np.array([((slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Filters(languages, slots, fill**HASHES, fallback)
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n_grams: int = GRAMS) -> Filters:
-    """Count every n-gram of every row that has a language, and keep each language's commonest.
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", support: float = SUPPORT) -> Filters:
+    """Count every n-gram of every row that has a language, and keep those that make up ``support`` of their language's.
 
-    At most 64 languages; more raise an error.
+    Null texts count as empty. A language without n-grams is learned too, but
+    nothing is found in its filter.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != UNDETERMINED)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(size) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -119,20 +128,23 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n_gra
 
         for batch in batches:
             for _, part in tk.row_slices(batch, "text"):
-                code, row = grams(*tk.buffers(part.column(1)))
-                langs = np.array(part.column(0).to_pylist(), object)[row] if len(row) else np.zeros(0, object)
-                for lang in sorted(set(part.column(0).to_pylist())):
-                    if lang not in held and len(held) == 8:  # 15 MB each
-                        yield flush(next(iter(held)))
-                    n = held.setdefault(lang, np.zeros(_N**3, np.int32))
-                    mine, c = np.unique(code[langs == lang], return_counts=True)
-                    n[mine] += c.astype(np.int32)
+                names = part.column(0).to_pylist()
+                for data, offs, rows_ in tk.cut(*tk.buffers(part.column(1)), CUT, 2):
+                    code, row = grams(data, offs)
+                    own = [names[r] for r in rows_]
+                    for lang in sorted(set(own)):
+                        if lang not in held and len(held) == 8:  # 15 MB each
+                            yield flush(next(iter(held)))
+                        n = held.setdefault(lang, np.zeros(_N**3, np.int32))
+                        mine, c = np.unique(code[np.array([x == lang for x in own])[row]], return_counts=True)
+                        n[mine] += c.astype(np.int32)
         for lang in list(held):
             yield flush(lang)
 
     counted = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= n_grams)
-    got = best.select("lang", "code").toPandas()
+    counted = durable(counted)
+    total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    got = counted.join(F.broadcast(total), "lang").where(F.col("n") >= F.lit(support) * F.col("total")).select("lang", "code").toPandas()
     common = min(size, key=lambda r: (-r["n"], r["lang"]))["lang"] if size else UNDETERMINED
     return build({r["lang"]: got.loc[got["lang"] == r["lang"], "code"].to_numpy(np.int64) for r in size}, common)
 

@@ -21,8 +21,10 @@ from pedon.llm import textkit as tk
 from pedon.llm.folds import fold
 
 WIDTH, FILTERS, BLOCK = 6, 12, 256
-#: Labelled documents of each class that the network learns from, about; bytes of each that training reads.
-SAMPLE_PER_CLASS, TRAIN_BYTES = 1500, 16_384
+#: Labelled documents of each class that the network learns from, about; their whole texts are read.
+SAMPLE_PER_CLASS = 1500
+#: Blocks whose responses are held at once, so that memory doesn't grow with a text.
+RUN = 256
 
 
 @dataclass
@@ -34,28 +36,33 @@ class Net:
 
 
 def _pool(net: Net, data: np.ndarray, offs: np.ndarray, where: bool = False):
-    """Block maxima of the filters' responses: (block values, block start, row of each block[, position of each maximum])."""
+    """Block maxima of the filters' responses: (block values, row of each block[, position of each maximum, end of each block's row])."""
     n = np.diff(offs)
     blocks = -(-n // BLOCK)
     row = np.repeat(np.arange(len(n)), blocks)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = offs[:-1][row] + nth * BLOCK
-    ext = np.empty(len(data) + WIDTH, np.int64)
-    ext[: len(data)] = data
-    ext[len(data) :] = 256
-    r = net.table[0][ext[: len(data)]]
-    for k in range(1, WIDTH):
-        b = ext[k : k + len(data)].copy()
-        b[np.maximum(offs[1:, None] - np.arange(1, k + 1), 0) if len(data) else ()] = 256
-        r += net.table[k][b]
-    top = np.maximum.reduceat(r, begin, axis=0) if len(begin) else np.zeros((0, FILTERS), np.float32)
-    if not where:
-        return top, begin, row
-    pos = np.empty(top.shape, np.int64)
-    stop = np.append(begin[1:], len(data))
-    for i, (a, b) in enumerate(zip(begin, stop, strict=True)):
-        pos[i] = a + r[a:b].argmax(axis=0)
-    return top, begin, row, pos, ext, np.repeat(offs[1:], n)
+    end = np.repeat(offs[1:], blocks)
+    top = np.zeros((len(row), FILTERS), np.float32)
+    pos = np.empty(top.shape, np.int64) if where else None
+    for i in range(0, len(row), RUN):
+        own = begin[i : i + RUN]
+        a, b = int(own[0]), int(begin[i + RUN] if i + RUN < len(row) else len(data))
+        ext = np.full(b - a + WIDTH, 256)
+        more = min(len(data), b + WIDTH) - a
+        ext[:more] = data[a : a + more]
+        ends = np.unique(end[i : i + RUN])
+        r = net.table[0][ext[: b - a]]
+        for k in range(1, WIDTH):
+            x = ext[k : k + b - a].copy()
+            gone = (ends[:, None] - np.arange(1, k + 1) - a).ravel()  # what begins there would reach behind its row
+            x[gone[(gone >= 0) & (gone < b - a)]] = 256
+            r += net.table[k][x]
+        top[i : i + RUN] = np.maximum.reduceat(r, own - a, axis=0)
+        if where:
+            for j, (c, d) in enumerate(zip(own - a, np.append(own[1:], b) - a, strict=True)):
+                pos[i + j] = a + c + r[c:d].argmax(axis=0)
+    return (top, row, pos, end) if where else (top, row)
 
 
 def _features(net: Net, top: np.ndarray, row: np.ndarray, n: int):
@@ -76,7 +83,7 @@ def _features(net: Net, top: np.ndarray, row: np.ndarray, n: int):
 
 def probability(net: Net, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each row; a row without bytes has the bias alone."""
-    top, _, row = _pool(net, data, offs)
+    top, row = _pool(net, data, offs)
     feats = _features(net, top, row, len(offs) - 1)[0]
     return 1 / (1 + np.exp(-np.clip(feats.astype(np.float64) @ net.out + net.shift, -40, 40)))
 
@@ -109,7 +116,8 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7, e
             part = [texts[j] for j in pick]
             data = np.frombuffer(b"".join(part), np.uint8)
             offs = np.concatenate([[0], np.cumsum([len(t) for t in part])])
-            top, _, row, pos, ext, end = _pool(net, data, offs, where=True)
+            top, row, pos, end = _pool(net, data, offs, where=True)
+            ext = np.append(data, np.zeros(WIDTH, np.uint8))
             feats, act, chunk, nxt, same, first = _features(net, top, row, len(part))
             p = 1 / (1 + np.exp(-np.clip(feats @ net.out + net.shift, -40, 40)))
             err = (p - labels[pick]) / len(part)
@@ -124,7 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7, e
             grad = np.zeros(net.table.shape)
             col = np.broadcast_to(np.arange(FILTERS), pos.shape)
             for k in range(WIDTH):
-                b = np.where(pos + k >= end[np.minimum(pos, len(end) - 1)], 256, ext[pos + k])
+                b = np.where(pos + k >= end[:, None], 256, ext[pos + k])
                 np.add.at(grad[k], (b, col), d_act)
             net.table -= adam("table", grad, rate).astype(np.float32)
             net.bias -= adam("bias", d_act.sum(axis=0), rate).astype(np.float32)
@@ -136,11 +144,13 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 7, e
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, train_bytes: int = TRAIN_BYTES) -> Net:
-    """Fit the network on about ``per_class`` labelled documents of each class, picked by a hash of their id, ``train_bytes`` of each.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Net:
+    """Fit the network on the whole texts of about ``per_class`` labelled documents of each class, picked by a hash of their id.
 
-    An id with several labels counts with the largest. Without labels, or with
-    labels of one class, every document gets one probability.
+    An id with several labels counts with the largest, one with several texts
+    with the smallest; null and empty texts and null ids aren't learned from.
+    Without labels, or with labels of one class, every document gets one
+    probability.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,8 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
         .join(F.broadcast(picked), "id")
-        .select("id", "label", F.expr(f"substring(text, 1, {train_bytes})").alias("text"))
-        .dropDuplicates(["id"])
+        .groupBy("id")
+        .agg(F.first("label").alias("label"), F.min("text").alias("text"))
         .toPandas()
         .sort_values("id")
     )
@@ -186,7 +196,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that score under 0.5."""
+    """``docs`` with all its columns, without the rows that score under 0.5.
+
+    Null counts as empty, and an empty text has the network's constant, as all
+    texts have where there was nothing to learn from; rows that repeat stay or
+    go together, and ids aren't looked at.
+    """
     held = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text_col)
 
