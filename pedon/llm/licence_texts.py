@@ -1,4 +1,4 @@
-"""Public texts of short licences (fixed values)."""
+"""Public texts of short licences, and digests of long ones (fixed values)."""
 
 _MIT_GRANT = """\
 Permission is hereby granted, free of charge, to any person obtaining a copy
@@ -118,10 +118,19 @@ SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org/>
 """,
 }
-#: The notices that stand for a licence when they are a whole text (fixed values).
-LICENCES |= {
-    "LicenseRef-notice-Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "LicenseRef-notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "LicenseRef-notice-GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LicenseRef-notice-MIT": "Released under the MIT License.",
+#: SHA-256 of the canonical forms of public licences whose texts are long (fixed values); each covers the -only and -or-later variants.
+DIGESTS = {
+    "Apache-2.0": "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
 }

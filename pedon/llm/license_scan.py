@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedon.llm.licence_texts import LICENCES
+from pedon.llm.licence_texts import DIGESTS, LICENCES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that begins with a copyright statement, with its newline before.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;%-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that begins with a copyright statement (a year, sign, holder in brackets or "by" follows the word), with its newline before.
+COPYRIGHT_LINE = r"(^|\n)[ \t*#/;%-]*(copyright[ \t]*(\(c\)|©|[0-9\[<{(:]|by )|\(c\)|©|all rights reserved)[^\n]*"
 #: Runs of ASCII that are neither letter nor digit (after folding).
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Equivalent spellings (fixed values: the SPDX matching guidelines' list, as far as one word becomes one word).
@@ -66,6 +66,8 @@ SPELLINGS = {
 }
 #: Licence tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 100_000
+#: Digest of the empty form.
+EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 _SPACED = bytes(c if 0x30 <= c < 0x3A or 0x61 <= c < 0x7B or c >= 0x80 else 0x20 for c in (x + 32 if 0x41 <= x < 0x5B else x for x in range(256)))
@@ -99,20 +101,21 @@ def digests(rows: DataFrame, key: str, text_col: str) -> DataFrame:
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    """(license_id, text) of the built-in licences."""
-    return spark.createDataFrame(sorted(LICENCES.items()), "license_id string, text string")
+    """(license_id, canonical_sha256) of the built-in licences."""
+    return spark.createDataFrame(builtin_digests(), "license_id string, canonical_sha256 string")
 
 
 def license_scan(docs: DataFrame, licences: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id_col, canonical_sha256, license_id, is_license).
 
-    A text is a licence if its whole canonical form equals that of a text in
-    ``licences`` (license_id, text); the smallest license_id wins where two
-    share one form. Null and empty texts, and texts that are copyright lines
-    only, have the empty form, which matches nothing. Repeated rows each get
-    their row.
+    A text is a licence if its whole canonical form is that of one in
+    ``licences``, which has (license_id, text) or (license_id,
+    canonical_sha256); the smallest license_id wins where two share one form.
+    Null and empty texts, and texts that are copyright lines only, have the
+    empty form, which matches nothing. Repeated rows each get their row.
     """
-    known = digests(licences, "license_id", "text").where("not empty").groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
+    known = licences if "canonical_sha256" in licences.columns else digests(licences, "license_id", "text").where("not empty")
+    known = known.where(F.col("canonical_sha256") != EMPTY).groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
     rows = digests(docs, id_col, text_col)
     if licences.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
@@ -140,4 +143,4 @@ def sql(digests: list[tuple[str, str]]) -> str:
 
 def builtin_digests() -> list[tuple[str, str]]:
     """(license_id, SHA-256 of the canonical form) of the built-in licences."""
-    return [(i, hashlib.sha256(canonical(text.encode())).hexdigest()) for i, text in sorted(LICENCES.items())]
+    return sorted([*DIGESTS.items(), *((i, hashlib.sha256(canonical(text.encode())).hexdigest()) for i, text in LICENCES.items())])

@@ -89,7 +89,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.url_filter(pages, url_filter.seed_labels(pages))
+    return url_filter.url_filter(pages, url_filter.page_labels(pages))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Candidates are long runs of key characters and the values that secret-like
 names are set to. The forest looks at a candidate's length, character classes
 and transitions, how much of it dictionary words cover, the path, and the words
-before it. The dictionary is the corpus' own frequent words.
+before and after it. The dictionary is the corpus' own frequent words.
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ _KEY = b"-----BEGIN "
 #: A private key's first line, and its header and base64 lines.
 _BODY = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s+[A-Za-z-]+: [^\r\n]+)*(?:\s+[A-Za-z0-9+/]{40,}={0,2})*(?:\r?\n[ \t]*[A-Za-z0-9+/]{2,}={0,2}(?=[ \t]*(?:[\r\n]|$)))?")
 _PART = re.compile(rb"[^=]+=*")
-FOR = [b"token", b"secret", b"password", b"passwd", b"pwd", b"key", b"auth", b"bearer", b"credential", b"passphrase"]
+FOR = [b"token", b"secret", b"password", b"passwd", b"pwd", b"key", b"auth", b"bearer", b"credential", b"passphrase", b"apikey"]
 AGAINST = [b"sha", b"md5", b"hash", b"commit", b"digest", b"checksum", b"uuid", b"guid", b"revision", b"integrity", b"example", b"placeholder", b"sample", b"etag", b"build", b"url", b"http", b"path"]
+_whole = lambda words: re.compile(rb"(?<![a-z])(?:" + b"|".join(words) + rb")s?(?![a-z])")
+_FOR, _AGAINST = _whole(FOR), _whole(AGAINST)
 GOOD_PATH, BAD_PATH = re.compile(r"(?i)config|\.env|credential|secret|settings|deploy|\.pem|\.key"), re.compile(r"(?i)test|example|fixture|sample|mock|doc|\.lock|vendor")
 
 
@@ -105,15 +107,15 @@ class Detector:
     transition: np.ndarray  # log odds of two successive bytes, secret against not
     forest: Forest
 
-    def features(self, values: list[bytes], before: list[bytes], paths: list[str], kinds: list[str]) -> np.ndarray:
+    def features(self, values: list[bytes], before: list[bytes], after: list[bytes], paths: list[str], kinds: list[str]) -> np.ndarray:
         rows = []
-        for v, left, path, kind in zip(values, before, paths, kinds, strict=True):
+        for v, left, right, path, kind in zip(values, before, after, paths, kinds, strict=True):
             b = np.frombuffer(v, np.uint8)
             n = len(b)
             counts = np.bincount(b, minlength=256)
             p = counts[counts > 0] / n
             cls = np.select([(b >= 48) & (b < 58), (b >= 65) & (b < 91), (b >= 97) & (b < 123)], [0, 1, 2], 3)
-            left = left.lower()
+            left, right = left.lower(), right.lower()
             rows.append(
                 [
                     n,
@@ -123,15 +125,15 @@ class Detector:
                     float((cls[1:] != cls[:-1]).mean()) if n > 1 else 0.0,
                     float(self.transition[b[:-1], b[1:]].mean()) if n > 1 else 0.0,
                     self.coverage(v),
-                    float(any(w in left for w in FOR)),
-                    float(any(w in left for w in AGAINST)),
+                    *(min([len(left) - m.start() for m in words.finditer(left)], default=99) for words in (_FOR, _AGAINST)),
+                    *(m.start() if (m := words.search(right)) else 99 for words in (_FOR, _AGAINST)),
                     float(bool(GOOD_PATH.search(path))) - float(bool(BAD_PATH.search(path))),
                     float(kind not in ("long_run", "named_value")),
                     float(kind == "named_value"),
                     float(b"=" in left[-4:] or b":" in left[-4:]),
                 ]
             )
-        return np.array(rows, float).reshape(len(rows), 16)
+        return np.array(rows, float).reshape(len(rows), 18)
 
     def coverage(self, value: bytes) -> float:
         """Share of a value's bytes inside dictionary words of 3 to 12 letters."""
@@ -150,8 +152,14 @@ class Detector:
         return float((np.cumsum(inside)[:n] > 0).mean())
 
 
-def labelled_findings(n: int = 3000, seed: int = 3) -> pd.DataFrame:
-    """(value, before, path, kind, label): made-up findings of the usual sorts, half of them secrets."""
+def labelled_findings(n: int = 5000, seed: int = 3) -> pd.DataFrame:
+    """(value, before, after, path, kind, label): made-up findings of the usual sorts, half of them secrets.
+
+    Neither the form nor the words around it decide alone: a share of the
+    secrets stands in prose or behind a word that speaks against one, and a
+    share of the rest, digests and placeholders among them, behind the name of
+    a secret.
+    """
     rng = np.random.default_rng(seed)
     hexa, b62 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     b64, upper = b62 + "+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -164,7 +172,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> pd.DataFrame:
     for i in range(n):
         if i % 2:
             kind, value = pick(
-                ("named_value", draw(hexa, pick(32, 40, 64))),
+                *[("named_value", draw(hexa, pick(32, 40, 64)))] * 3,
                 ("named_value", draw(b62, int(rng.integers(16, 48)))),
                 ("named_value", draw(b64, 40)),
                 ("named_value", draw(hexa.upper(), 40)),
@@ -176,25 +184,42 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> pd.DataFrame:
                 ("named_value", pick("Xk7!", "qP9$", "zR4#") + draw(b62 + "!#%", 10)),
             )
             name = pick("token", "secret", "api_key", "password", "access_key", "auth_token")
-            before = f"{word()} {pick(name, name.upper())} {pick('=', ':')} " + pick('"', "", "'")
-            out.append((value, before, pick(*secret_path), kind, 1))
+            name = pick(name, name.upper(), name + "_" + word())
+            before = f"{word()} {pick(word(), word(), 'example.com', 'path')} {name} {pick('=', ':')} " + pick('"', "", "'")
+            if kind == "long_run" or rng.random() < 0.1:  # bare, in prose or behind another word
+                before, kind = f"{word()} {pick(word(), 'id', 'build', 'url', 'the key is', 'use')} ", "long_run" if kind == "named_value" and len(value) >= LONG else kind
+            after = pick(*[f"{pick(chr(34), '', ',')} {word()} {word()}"] * 4, " # do not commit", " keep this secret", " for the example", " login password")
+            out.append((value, before, after, pick(*secret_path, *other_path[-2:]), kind, 1))
         else:
-            value = pick(
-                *[lambda: draw(hexa, pick(32, 40, 64))] * 3,
-                lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)),
-                lambda: "".join(word() for _ in range(int(rng.integers(3, 9)))),
-                lambda: "-".join(word() for _ in range(int(rng.integers(3, 6)))),
-                lambda: "/".join(word() for _ in range(int(rng.integers(3, 6)))) + pick(".html", ".py", ""),
-                lambda: pick("x", "*", "0", "-", "=") * int(rng.integers(20, 60)),
-                lambda: pick("your_token_here", "changeme", "replace-with-your-key", "example_password", "None", "os.environ", "getpass.getpass()", "undefined"),
-                lambda: draw("0123456789", int(rng.integers(20, 30))),
-                lambda: "_".join(word() for _ in range(int(rng.integers(3, 6)))),
-            )()
-            of = len(value) in (32, 40, 64) and set(value) <= set(hexa)
-            kind = "long_run" if of or len(value) >= LONG and rng.random() < 0.7 else "named_value"
-            name = pick("sha256", "commit", "md5", "checksum", "hash", "digest") if of or kind == "long_run" and rng.random() < 0.3 else pick("token", "password", "secret") if kind == "named_value" else word()
-            out.append((value, f"{word()} {name}{pick('=', ':', '') if of or kind == 'named_value' else ''} ", pick(*other_path), kind, 0))
-    return pd.DataFrame(out, columns=["value", "before", "path", "kind", "label"])
+            placeholder = False
+            digest = rng.random() < 0.3
+            if digest:
+                value = draw(hexa, pick(32, 40, 64))
+            else:
+                value = pick(
+                    lambda: "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)),
+                    lambda: "".join(word() for _ in range(int(rng.integers(3, 9)))),
+                    lambda: "-".join(word() for _ in range(int(rng.integers(3, 6)))),
+                    lambda: "/".join(word() for _ in range(int(rng.integers(3, 6)))) + pick(".html", ".py", ""),
+                    lambda: pick("x", "*", "0", "-", "=") * int(rng.integers(20, 60)),
+                    lambda: pick("your_token_here", "changeme", "replace-with-your-key", "example_password", "None", "os.environ", "getpass.getpass()", "undefined"),
+                    lambda: draw("0123456789", int(rng.integers(20, 30))),
+                    lambda: "_".join(word() for _ in range(int(rng.integers(3, 6)))),
+                )()
+                placeholder = len(value) < LONG or rng.random() < 0.3
+            kind = "named_value" if placeholder else "long_run"
+            if digest:  # some behind the name of a secret too, with the word for a digest on either side
+                of, secret = pick("sha256", "commit", "md5", "checksum", "hash", "digest"), pick("token", "key", "secret")
+                named = rng.random() < 0.3
+                kind = "named_value" if named else kind
+                before = pick(f"{of} of the {secret}: ", f"{secret} {of} = ") if named else f"{word()} {of}{pick('=', ':', ' ')}"
+                after = pick(f" {word()} {word()}", f" ({of})", f" is the {of} of the {secret}")
+            else:
+                name = pick("token", "password", "secret", "api_key") if placeholder else word()
+                before = f"{word()} {name}{pick('=', ':', ' = ') if placeholder else ' '}" + pick('"', "")
+                after = pick(f" {word()} {word()}", f" {word()} token", " as an example", "")
+            out.append((value, before, after, pick(*other_path, *secret_path[-2:]), kind, 0))
+    return pd.DataFrame(out, columns=["value", "before", "after", "path", "kind", "label"])
 
 
 def train(findings: pd.DataFrame, words: np.ndarray) -> Detector:
@@ -205,7 +230,8 @@ def train(findings: pd.DataFrame, words: np.ndarray) -> Detector:
         np.add.at(counts[int(y)], (b[:-1], b[1:]), 1)
     p = counts / counts.sum(axis=2, keepdims=True)
     found = Detector(words, np.log(p[1] / p[0]), Forest())
-    x = found.features(values, [b.encode() for b in findings["before"]], list(findings["path"]), list(findings["kind"]))
+    around = [[b.encode() for b in findings[c]] for c in ("before", "after")]
+    x = found.features(values, *around, list(findings["path"]), list(findings["kind"]))
     found.forest.fit(x, findings["label"].to_numpy(float))
     return found
 
@@ -234,7 +260,7 @@ def secret_scan(docs: DataFrame, findings: pd.DataFrame | None = None, id_col: s
     """One row per candidate: (id_col, start, length, kind, value_sha256, probability, is_secret).
 
     start and length count bytes of the UTF-8 text. ``findings`` (value,
-    before, path, kind, label) are labelled findings; made-up ones serve
+    before, after, path, kind, label) are labelled findings; made-up ones serve
     otherwise. Texts that are null, empty or without candidates have no rows;
     rows that repeat have theirs again. A null path is empty.
     """
@@ -246,7 +272,7 @@ def secret_scan(docs: DataFrame, findings: pd.DataFrame | None = None, id_col: s
             for _, part in tk.row_slices(batch, "text"):
                 data, offs = tk.buffers(part.column(1))
                 paths = part.column(2).to_pylist()
-                row, start, size, kinds, values, before = [], [], [], [], [], []
+                row, start, size, kinds, values, before, after = [], [], [], [], [], [], []
                 for r in range(part.num_rows):
                     own = data[offs[r] : offs[r + 1]]
                     raw = own.tobytes()
@@ -257,7 +283,8 @@ def secret_scan(docs: DataFrame, findings: pd.DataFrame | None = None, id_col: s
                         kinds.append(kind)
                         values.append(raw[a:b])
                         before.append(raw[max(0, a - 40) : a])
-                p = held.value.forest.predict(held.value.features(values, before, [paths[r] or "" for r in row], kinds)) if row else np.zeros(0)
+                        after.append(raw[b : b + 40])
+                p = held.value.forest.predict(held.value.features(values, before, after, [paths[r] or "" for r in row], kinds)) if row else np.zeros(0)
                 p = np.maximum(p, [k == "private_key" for k in kinds]) if row else p
                 yield pa.RecordBatch.from_arrays(
                     [

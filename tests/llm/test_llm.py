@@ -1,6 +1,7 @@
 """Operators of the llm subpackage: brute force on small tables, and odd input."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -66,9 +67,9 @@ def test_other_outputs_on_odd_rows(spark, odd):
     assert simhash.drop_near_copies(odd.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(odd, spark.createDataFrame([], BENCH)).count() == odd.count()
     pages = spark.createDataFrame([(1, None, "a"), (2, "no scheme", "b"), (3, "http://A.example.NET/en/x?y", "c"), (3, "http://A.example.NET/en/x?y", "c"), (None, "https://fr.wiki.org/fr/#t", "d")], "page_id long, url string, host string")
-    got = url_filter.url_filter(pages, url_filter.seed_labels(pages)).collect()
+    got = url_filter.url_filter(pages, url_filter.page_labels(pages)).collect()
     assert sorted((r["page_id"] or 0, r["host"], r["path"], r["rule"], r["verdict"]) for r in got if r["rule"]) == [(0, "fr.wiki.org", "/fr/", "org/fr/", "allow"), (3, "a.example.net", "/en/x", "example.net/en/", "allow"), (3, "a.example.net", "/en/x", "example.net/en/", "allow")]
-    assert {r["host"] for r in got if not r["rule"]} == {""} and url_filter.url_filter(pages.limit(0), url_filter.seed_labels(pages.limit(0))).count() == 0
+    assert {r["host"] for r in got if not r["rule"]} == {""} and url_filter.url_filter(pages.limit(0), url_filter.page_labels(pages.limit(0))).count() == 0
 
 
 def test_exact_groups(spark):
@@ -271,3 +272,34 @@ def test_segment_tables_connect_what_brute_force_connects(spark, hot):
     assert got.where("bit_count(a ^ b) > 2 or a >= b").count() == 0
     comp = {r["node"]: r["component"] for r in graph.components(got).collect()}
     assert [comp.get(x, x) for x in fps] == [fps[i] for i in low]
+
+
+def test_secret_forest_on_findings_it_did_not_see():
+    model, f = secrets.train(secrets.labelled_findings(), np.zeros(0, np.uint64)), secrets.labelled_findings(2000, seed=99)
+    x = model.features([v.encode() for v in f["value"]], *([v.encode() for v in f[c]] for c in ("before", "after")), list(f["path"]), list(f["kind"]))
+    said, true = model.forest.predict(x) >= 0.5, f["label"].to_numpy() == 1
+    assert (said & true).sum() / said.sum() > 0.97 and (said & true).sum() / true.sum() > 0.97
+
+
+def test_mined_url_rules_block(spark):
+    urls = [(i, f"http://{h}.example.com/{p}/{i}") for h, p in (("www.good", "en"), ("blog.fine", "de"), ("m.casino-win", "en"), ("free-bets", "es"), ("big-casino", "en")) for i in range(60)]
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(u, "block" if "casino-win" in u or "/de/" in u else "allow") for _, u in urls if "big-" not in u] * 2, "url string, label string")
+    rules = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in url_filter.mine(labels, 0.05, 0.9).collect()}
+    # brute force over every set of up to three tokens
+    rows = [(set(re.split(r"[.\-]", u.split("/")[2])), u.split("/")[3], "casino-win" in u or "/de/" in u) for _, u in urls if "big-" not in u]
+    for tokens, (confidence, support) in rules.items():
+        has = [y for w, p, y in rows if all((t[5:] in w) if t[:5] == "word:" else (t[5:] == p) if t[:5] == "path:" and t != "path:#" else t == "top:com" or t == "path:#" for t in tokens)]
+        assert np.mean(has) == pytest.approx(confidence) and sum(has) / len(rows) == pytest.approx(support)
+    assert {("word:casino",), ("word:win",), ("path:de",)} <= set(rules)
+    got = url_filter.url_filter(pages, labels).select("page_id", "verdict", "rule").collect()
+    host = lambda i: urls[i][1].split("/")[2]
+    assert all(r["verdict"] == ("block" if "casino" in host(r["page_id"]) or r["rule"] == "example.com/de/" or "blog.fine" in host(r["page_id"]) else "allow") for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_long_licences_by_digest(spark):
+    texts = {n: open(f"/usr/share/common-licenses/{f}").read() for f, n in (("GPL-3", "GPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"))}
+    d = table(spark, [f"(C) 2001 Somebody\n{' '.join(t.upper().split(' '))}" for t in texts.values()])
+    got = license_scan.license_scan(d, license_scan.known_licences(spark)).orderBy("doc_id").collect()
+    assert [r["license_id"] for r in got] == list(texts)
