@@ -54,12 +54,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that ``exact_groups`` drops."""
-    gone = (
-        exact_groups(docs, id_col, text_col)
-        .where(~F.col("kept"))
-        .select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-        .distinct()
+    """``docs`` with all its columns, and of equal texts only the row with the smallest id.
+
+    Null text is the empty text. Null ids go last; of rows that share text and
+    smallest id, or have nothing but null ids, one stays, the choice being made
+    by a hash of their other columns. Groups are formed as in ``exact_groups``,
+    and the row that stays is itself what the aggregation keeps, so a text
+    crosses the network once, and a text of very many copies once a task.
+    """
+    rest = [c for c in docs.columns if c != text_col]
+    norm = normalised(docs[text_col])
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)], F.when(~docs[text_col].eqNullSafe(norm), docs[text_col]).alias("text"), docs[text_col].isNull().alias("none"))
+    hashed = [docs[f.name] for f in docs.schema if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    first = F.struct(docs[id_col].isNull().alias("a"), docs[id_col].alias("b"), F.xxhash64(F.lit(0), *hashed).alias("c"))
+    kept = (
+        docs.select(norm.alias("norm"), row.alias("row"), first.alias("first"))
+        .withColumn("hash", F.md5("norm"))
+        .groupBy("hash", "norm")
+        .agg(F.min_by("row", "first").alias("row"))
     )
-    sha = F.sha2(normalised(docs[text_col]), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    text = F.when(~F.col("row.none"), F.coalesce("row.text", "norm"))
+    at = {c: F.col(f"row.c{i}") for i, c in enumerate(rest)} | {text_col: text}
+    return kept.select(*[at[c].alias(c) for c in docs.columns])

@@ -303,3 +303,13 @@ def test_long_licences_by_digest(spark):
     d = table(spark, [f"(C) 2001 Somebody\n{' '.join(t.upper().split(' '))}" for t in texts.values()])
     got = license_scan.license_scan(d, license_scan.known_licences(spark)).orderBy("doc_id").collect()
     assert [r["license_id"] for r in got] == list(texts)
+
+
+def test_drop_copies_on_odd_rows(spark, odd):
+    got = exact_dedup.drop_copies(odd)
+    assert got.columns == odd.columns and got.count() == 9 and exact_dedup.drop_copies(odd.limit(0)).count() == 0
+    texts = [r["text"] for r in got.collect()]
+    assert {t.split()[0] for t in texts if t and t.split()} == {t.split()[0] for t in [*ODD, prose(3, 9)] if t and t.split()}
+    assert None in texts and "" not in texts  # the null text has the smaller id
+    two = spark.createDataFrame([(5, "a\tb", "x"), (None, "a b", "y"), (4, "a  b", "z"), (4, "a  b", "z"), (None, "c", "v"), (None, "c", "w")], "doc_id long, text string, norm string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(two).collect()) == [(0, "c"), (4, "a  b")]
