@@ -39,10 +39,12 @@ ROUNDS, TASK_TOKENS, MOST_TASKS = 2, 1_000_000, 256
 SMALL, MOST_PASSES = 1_000_000, 8
 #: Pieces that the weights are averaged in.
 PIECES = 256
-WINDOW, LANES, TRAIN_LANES, TRAIN_WINDOW = 64, 256, 64, 32
+#: Steps of a window in scoring and in training, rows that are gone through side by side, and what gradients are divided by.
+WINDOW, TRAIN_WINDOW, LANES, SCALE = 64, 32, 256, 16
 #: Hash that stands for the end of a document.
 END = 0x5F0E0D0C0B0A0908
-SLICE = 4 << 20
+#: Bytes of text in which rows are dealt to lanes.
+SLICE = 16 << 20
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,16 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.repeat(np.arange(n), np.diff(np.concatenate([[-1], ends])))
 
 
+def _window(where: np.ndarray, word: np.ndarray, begins: np.ndarray, last: np.ndarray):
+    """(words, words before, whether there is one, whether a row begins) of a window's positions; last: the words before its first step. END is word 0."""
+    seen = where >= 0
+    at = np.maximum(where, 0)
+    w, new = np.where(seen, word[at], 0), begins[at] & seen
+    prev = np.concatenate([last[None, : where.shape[1]], w[:-1]])
+    prev[new] = 0
+    return w, prev, seen, new
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
@@ -65,6 +77,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _exp(a: np.ndarray) -> np.ndarray:
+    """Turns a into exp(a - m) in place, m being the largest of all or 0, and gives each row's sum."""
+    a -= a.max(initial=0)
+    np.maximum(a, -80, out=a)  # no row's sum is 0
+    np.exp(a, out=a)
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
 def windows(size: np.ndarray, bounds: np.ndarray, lanes: int, steps: int):
     """Number of lanes used, and an iterator of each window's (steps, live lanes) positions of words, -1 behind a lane's end.
 
@@ -125,27 +145,52 @@ class Gru:
         f = lambda *s, scale=0.1: rng.normal(0, scale, s).astype(np.float32)
         return cls(n, f(n + 1, 3 * HIDDEN), f(HIDDEN, 3 * HIDDEN, scale=0.15), f(HIDDEN, k + 1, scale=0.02), (cb - cb.max()).astype(np.float32), f(k, HIDDEN, CLASS, scale=0.02), (wb - wb.max(axis=1, keepdims=True)).astype(np.float32))
 
-    def step(self, word: np.ndarray, h: np.ndarray):
-        x = self.x[word]
-        g = h @ self.u
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        m = np.tanh(x[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        return m + z * (h - m), z, r, m, g
+    def step(self, word: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after one more word of each lane."""
+        return self.steps(word[None], np.zeros((1, len(word)), bool), h)[0][0]
+
+    def steps(self, prev: np.ndarray, new: np.ndarray, h: np.ndarray):
+        """(states, their inputs, gates, candidates, u's part of the candidates) of (steps, lanes) words; h is the state before, which is zero where new."""
+        t, n = prev.shape
+        x = self.x[prev]
+        hs, before, zr, m, un = (np.empty((t, n, k * HIDDEN), np.float32) for k in (1, 1, 2, 1, 1))
+        fresh = new.any(axis=1)
+        u_zr, u_m = np.ascontiguousarray(self.u[:, : 2 * HIDDEN]), np.ascontiguousarray(self.u[:, 2 * HIDDEN :])
+        for i in range(t):
+            own = before[i]
+            own[:] = h
+            if fresh[i]:
+                own[new[i]] = 0
+            gate, cand, part = zr[i], m[i], un[i]
+            np.matmul(own, u_zr, out=gate)
+            gate += x[i, :, : 2 * HIDDEN]
+            _sigmoid(gate)
+            np.matmul(own, u_m, out=part)
+            np.multiply(gate[:, HIDDEN:], part, out=cand)
+            cand += x[i, :, 2 * HIDDEN :]
+            np.tanh(cand, out=cand)
+            h = hs[i]
+            np.subtract(own, cand, out=h)
+            h *= gate[:, :HIDDEN]
+            h += cand
+        return hs, before, zr, m, un
 
     def log_probs(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability after state h."""
         k = np.where(word < self.n, word // CLASS, self.w.shape[0])
-        a = h @ self.c + self.cb
-        a -= a.max(axis=1, keepdims=True)
-        out = (a[np.arange(len(k)), k] - np.log(np.exp(a).sum(axis=1))).astype(np.float64)
-        order = np.argsort(k, kind="stable")
+        a = h @ self.c
+        a += self.cb
+        own = a[np.arange(len(k)), k] - a.max(initial=0)
+        out = own.astype(np.float64) - np.log(_exp(a))
+        order = np.argsort(k.astype(np.int16), kind="stable")
         edge = np.searchsorted(k[order], np.arange(self.w.shape[0] + 1))
+        h, word = h[order], word[order] % CLASS
         for j in np.flatnonzero(np.diff(edge)):
-            at = order[edge[j] : edge[j + 1]]
-            b = h[at] @ self.w[j] + self.wb[j]
-            b -= b.max(axis=1, keepdims=True)
-            out[at] += b[np.arange(len(at)), word[at] % CLASS] - np.log(np.exp(b).sum(axis=1))
+            at = slice(edge[j], edge[j + 1])
+            b = h[at] @ self.w[j]
+            b += self.wb[j]
+            own = b[np.arange(len(b)), word[at]] - b.max(initial=0)
+            out[order[at]] += own - np.log(_exp(b))
         return out
 
     def score(self, word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -160,27 +205,15 @@ class Gru:
         begins[bounds[:-1][size > 0]] = True
         row = np.repeat(np.arange(len(size)), size)
         lanes, parts = windows(size, bounds, LANES, WINDOW)
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        last = np.full(lanes, 0)  # END is word 0
+        h, last = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64)
         for where in parts:
-            steps, live = where.shape
-            seen = where >= 0
-            w = np.where(seen, word[np.maximum(where, 0)], 0)
-            new = begins[np.maximum(where, 0)] & seen
-            hs = np.empty((steps, live, HIDDEN), np.float32)
-            h, last = h[:live], last[:live]
-            for t in range(steps):
-                if new[t].any():
-                    h = np.where(new[t][:, None], np.float32(0), h)
-                    last = np.where(new[t], 0, last)
-                h = self.step(last, h)[0]
-                hs[t] = h
-                last = w[t]
-            got = self.log_probs(hs[seen], w[seen])
-            np.add.at(total, row[where[seen]], got)
+            w, prev, seen, new = _window(where, word, begins, last)
+            hs = self.steps(prev, new, h[: where.shape[1]])[0]
+            h, last = hs[-1], w[-1]
+            np.add.at(total, row[where[seen]], self.log_probs(hs[seen], w[seen]))
         return total
 
-    def fit(self, word: np.ndarray, bounds: np.ndarray, sq: dict[str, np.ndarray], rate: float = 0.1) -> None:
+    def fit(self, word: np.ndarray, bounds: np.ndarray, sq: dict[str, np.ndarray], rate: float = 0.2) -> None:
         """One pass of truncated back-propagation over whole rows of words, bounds being the rows' offsets.
 
         The state is carried as in score; sq holds the sums of squared gradients and is updated.
@@ -188,72 +221,76 @@ class Gru:
         size = np.diff(bounds)
         begins = np.zeros(len(word), bool)
         begins[bounds[:-1][size > 0]] = True
-        scale = np.float32(1 / TRAIN_LANES)
+        scale = np.float32(1 / SCALE)
 
         def update(k: str, grad: np.ndarray, at=slice(None)) -> None:
-            grad = np.clip(grad, -1, 1)
-            sq[k][at] += grad * grad
-            getattr(self, k)[at] -= rate * grad / np.sqrt(sq[k][at])
-
-        lanes, parts = windows(size, bounds, TRAIN_LANES, TRAIN_WINDOW)
+            np.maximum(grad, -1, out=grad)
+            np.minimum(grad, 1, out=grad)
+            total = sq[k][at] + grad * grad
+            sq[k][at] = total
+            grad *= np.float32(rate)
+            grad /= np.sqrt(total, out=total)
+            getattr(self, k)[at] -= grad
+
+        lanes, parts = windows(size, bounds, LANES, TRAIN_WINDOW)
         h, last = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64)
         for where in parts:
-            steps, live = where.shape
-            seen = where >= 0
-            ww = np.where(seen, word[np.maximum(where, 0)], 0)
-            new = begins[np.maximum(where, 0)] & seen
-            h, last, tape = h[:live], last[:live], []
-            for t in range(steps):
-                h = np.where(new[t][:, None], np.float32(0), h)
-                last = np.where(new[t], 0, last)
-                before = h
-                h, z, r, m, g = self.step(last, h)
-                tape.append((last, before, z, r, m, g, h))
-                last = ww[t]
-            hs, word_ = np.stack([x[-1] for x in tape])[seen], ww[seen]
+            w, prev, seen, new = _window(where, word, begins, last)
+            states, before, zr, m, un = self.steps(prev, new, h[: where.shape[1]])
+            h, last = states[-1], w[-1]
+            hs, word_ = states[seen], w[seen]
             k = np.where(word_ < self.n, word_ // CLASS, self.w.shape[0])
-            a = hs @ self.c + self.cb
-            p = np.exp(a - a.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(k)), k] -= 1
-            p *= scale
+            p = hs @ self.c
+            p += self.cb
+            p *= (scale / _exp(p))[:, None]
+            p[np.arange(len(k)), k] -= scale
             dh = p @ self.c.T
             gc, gcb = hs.T @ p, p.sum(axis=0)
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k.astype(np.int16), kind="stable")
             edge = np.searchsorted(k[order], np.arange(self.w.shape[0] + 1))
+            own_h, own_w, own_d = hs[order], word_[order] % CLASS, dh[order]
             for j in np.flatnonzero(np.diff(edge)):
-                at = order[edge[j] : edge[j + 1]]
-                own = hs[at]
-                q = own @ self.w[j] + self.wb[j]
-                q = np.exp(q - q.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(at)), word_[at] % CLASS] -= 1
-                q *= scale
-                dh[at] += q @ self.w[j].T
+                at = slice(edge[j], edge[j + 1])
+                own = own_h[at]
+                q = own @ self.w[j]
+                q += self.wb[j]
+                q *= (scale / _exp(q))[:, None]
+                q[np.arange(len(q)), own_w[at]] -= scale
+                own_d[at] += q @ self.w[j].T
                 update("w", own.T @ q, j)
                 update("wb", q.sum(axis=0), j)
+            dh[order] = own_d
             update("c", gc)
             update("cb", gcb)
-            full = np.zeros((steps, live, HIDDEN), np.float32)
+            full = np.zeros(states.shape, np.float32)
             full[seen] = dh
-            carry = np.zeros_like(h)
-            gu, gx, words_ = np.zeros_like(self.u), [], []
-            for t in range(steps - 1, -1, -1):
-                prev, before, z, r, m, g, _ = tape[t]
-                d = full[t] + carry
-                dm = d * (1 - z) * (1 - m * m)
-                dz = d * (before - m) * z * (1 - z)
-                dr = dm * g[:, 2 * HIDDEN :] * r * (1 - r)
-                dg = np.concatenate([dz, dr, dm * r], axis=1)
-                gu += before.T @ dg
-                carry = (d * z + dg @ self.u.T) * ~new[t][:, None]
-                gx.append(np.concatenate([dz, dr, dm], axis=1))
-                words_.append(prev)
+            # what the gradient of the state is multiplied by, but for the recurrence
+            z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+            to_m = (1 - z) * (1 - m * m)
+            to_z = (before - m) * z * (1 - z)
+            to_r = to_m * un * r * (1 - r)
+            to_un = to_m * r
+            stay = z * ~new[:, :, None]
+            dg = np.empty((*prev.shape, 3 * HIDDEN), np.float32)
+            carry, u_t = np.zeros_like(h), np.ascontiguousarray(self.u.T)
+            for t in range(len(prev) - 1, -1, -1):
+                d = full[t]
+                d += carry
+                own = dg[t]
+                np.multiply(d, to_z[t], out=own[:, :HIDDEN])
+                np.multiply(d, to_r[t], out=own[:, HIDDEN : 2 * HIDDEN])
+                np.multiply(d, to_un[t], out=own[:, 2 * HIDDEN :])
+                np.matmul(own, u_t, out=carry)
+                carry[new[t]] = 0
+                carry += d * stay[t]
+            flat = dg.reshape(-1, 3 * HIDDEN)
+            gu = before.reshape(-1, HIDDEN).T @ flat
+            np.multiply(full, to_m, out=dg[..., 2 * HIDDEN :])
             update("u", gu)
-            words_, gx = np.concatenate(words_), np.concatenate(gx)
-            order = np.argsort(words_, kind="stable")
-            rows, first = np.unique(words_[order], return_index=True)
-            update("x", np.add.reduceat(gx[order], first, axis=0), rows)
+            prev = prev.ravel()
+            order = np.argsort(prev.astype(np.int16) if self.n < 1 << 15 else prev, kind="stable")
+            rows, first = np.unique(prev[order], return_index=True)
+            update("x", np.add.reduceat(flat[order], first, axis=0), rows)
 
     def pack(self, sq: dict[str, np.ndarray]) -> np.ndarray:
         """The weights and their sums of squared gradients as one array."""

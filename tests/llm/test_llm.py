@@ -164,7 +164,7 @@ def test_lm_base_and_carried_state(spark):
     word = np.random.default_rng(0).integers(0, 101, 1000)
     h, last, total = np.zeros((1, lm_score.HIDDEN), np.float32), np.zeros(1, np.int64), 0.0
     for w in word:
-        h = gru.step(last, h)[0]
+        h = gru.step(last, h)
         last = np.array([w])
         total += gru.log_probs(h, last)[0]
     assert gru.score(word, np.array([0, 1000]))[0] == pytest.approx(total, rel=1e-4)
@@ -313,3 +313,29 @@ def test_drop_copies_on_odd_rows(spark, odd):
     assert None in texts and "" not in texts  # the null text has the smaller id
     two = spark.createDataFrame([(5, "a\tb", "x"), (None, "a b", "y"), (4, "a  b", "z"), (4, "a  b", "z"), (None, "c", "v"), (None, "c", "w")], "doc_id long, text string, norm string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_copies(two).collect()) == [(0, "c"), (4, "a  b")]
+
+
+def test_gru_gradients():
+    """Each weight's gradient against differences, over a window with a row's end in it."""
+    rng = np.random.default_rng(4)
+    gru = lm_score.Gru.fresh(np.arange(1, 101), 5.0)
+    for k in lm_score.WEIGHTS:
+        setattr(gru, k, rng.normal(0, 0.3, getattr(gru, k).shape).astype(np.float64))
+    word, bounds = rng.integers(0, 101, 30), np.array([0, 13, 30])
+    before = {k: getattr(gru, k).copy() for k in lm_score.WEIGHTS}
+    sq = {k: np.full(v.shape, 1e-20) for k, v in before.items()}  # with nothing before, it becomes the gradient's square
+    gru.fit(word, bounds, sq, rate=0.0)
+    checked = 0
+    for k in lm_score.WEIGHTS:
+        flat = before[k].ravel()
+        for i in rng.choice(flat.size, min(40, flat.size), replace=False):
+            loss = []
+            for d in (1e-3, -1e-3):
+                flat[i] += d
+                setattr(gru, k, before[k])
+                loss.append(-gru.score(word, bounds).sum())
+                flat[i] -= d
+            slope = (loss[0] - loss[1]) / 2e-3 / lm_score.SCALE
+            assert np.sqrt(sq[k].ravel()[i]) == pytest.approx(min(1, abs(slope)), abs=2e-3), (k, i)
+            checked += slope != 0
+    assert checked > 60
