@@ -32,15 +32,15 @@ FOLDS = 10
 #: Least relative frequency of the words whose counts are sent to the tasks.
 HEAD = 2.5e-7
 #: Words of the model, words of a class, size of the state.
-VOCABULARY, CLASS, HIDDEN = 4096, 64, 32
+VOCABULARY, CLASS, HIDDEN = 4096, 64, 16
 #: Rounds that a pass over the training rows is split into; tokens of a round that make one more task, and most tasks of a round.
 ROUNDS, TASK_TOKENS, MOST_TASKS = 2, 1_000_000, 256
 #: Inputs of fewer training tokens are passed over again, up to MOST_PASSES times.
 SMALL, MOST_PASSES = 1_000_000, 8
 #: Pieces that the weights are averaged in.
 PIECES = 256
-#: Steps of a window in scoring and in training, rows that are gone through side by side, and what gradients are divided by.
-WINDOW, TRAIN_WINDOW, LANES, SCALE = 64, 32, 256, 16
+#: Steps of a window, rows that are gone through side by side, and what gradients are divided by.
+WINDOW, LANES, SCALE = 64, 256, 16
 #: Hash that stands for the end of a document.
 END = 0x5F0E0D0C0B0A0908
 #: Bytes of text in which rows are dealt to lanes.
@@ -232,7 +232,7 @@ class Gru:
             grad /= np.sqrt(total, out=total)
             getattr(self, k)[at] -= grad
 
-        lanes, parts = windows(size, bounds, LANES, TRAIN_WINDOW)
+        lanes, parts = windows(size, bounds, LANES, WINDOW)
         h, last = np.zeros((lanes, HIDDEN), np.float32), np.zeros(lanes, np.int64)
         for where in parts:
             w, prev, seen, new = _window(where, word, begins, last)
