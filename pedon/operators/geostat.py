@@ -7,13 +7,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedon.functions.geo import MODELS
+from pedon.session import durable
 
 BINS, CANDIDATES = 12, 80
-TILE_CELLS, MOST_POINTS = 64, 96
+# Cells of a tile's side; points of a tile at most; under so many the nearest of all are taken, and how many.
+TILE_CELLS, MOST_POINTS, FEW_POINTS, FILL_POINTS = 64, 96, 8, 16
+# Points up to which all predict every cell; points that an element needs, and that make a variogram robust.
+GLOBAL_POINTS, LEAST_POINTS, ROBUST_POINTS = 120, 8, 25
 
 
 def collapse(points: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -61,19 +65,38 @@ def widest(points: DataFrame) -> DataFrame:
     return corners.groupBy("element").applyInPandas(far, "element string, widest double")
 
 
-def variogram(points: DataFrame, bins: int = BINS) -> DataFrame:
+def variogram(points: DataFrame, bins: int = BINS, block: int = 2000) -> DataFrame:
     """(element, lag, h_mean, gamma, n_pairs) up to half the largest distance; lags of two pairs or more.
 
-    Points meet only in their own and neighbouring cells, as wide as the cutoff.
+    An element's points are dealt to blocks of about ``block``; a task takes
+    two blocks (or one with itself) and gives its sums for each lag, so that no
+    row stands for a pair of points and every task has as much to do.
     """
-    p = points.join(widest(points), "element").where("widest > 0").withColumn("cut", F.col("widest") / 2).withColumn("id", F.xxhash64("x", "y", "z"))
-    cell = p.select("element", "id", "x", "y", "z", "cut", F.floor(F.col("x") / F.col("cut")).alias("cx"), F.floor(F.col("y") / F.col("cut")).alias("cy"))
-    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cx + i as cx, cy + j as cy))))"))
-    moved = cell.select("element", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), near.alias("at")).select("*", "at.cx", "at.cy").drop("at")
-    h = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
-    pairs = cell.join(moved, ["element", "cx", "cy"]).where("id < id2").withColumn("h", h).where("h > 0 and h <= cut")
-    lag = F.least(F.floor(F.col("h") / (F.col("cut") / bins)), F.lit(bins - 1)).cast("int")
-    out = pairs.groupBy("element", lag.alias("lag")).agg(F.avg("h").alias("h_mean"), F.avg((F.col("z") - F.col("z2")) * (F.col("z") - F.col("z2")) / 2.0).alias("gamma"), F.count(F.lit(1)).alias("n_pairs"))
+    n = points.groupBy("element").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    p = points.join(widest(points), "element").where("widest > 0").join(n, "element")
+    p = p.withColumn("own", F.pmod(F.xxhash64("x", "y", "z"), F.col("blocks")))
+    p = p.select("element", "x", "y", "z", (F.col("widest") / 2).alias("cut"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    p = p.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def one(key, g):
+        cut, own = float(g["cut"].iloc[0]), (g["own"] == key[1]).to_numpy()
+        xyz = g[["x", "y", "z"]].to_numpy(float)
+        a, b = xyz[own], xyz if key[1] == key[2] else xyz[~own]
+        total = np.zeros((3, bins))
+        for s in range(0, len(a), 256):
+            c = a[s : s + 256]
+            h = np.hypot(c[:, :1] - b[:, 0], c[:, 1:2] - b[:, 1])
+            near = (h > 0) & (h <= cut)
+            if key[1] == key[2]:  # each pair once
+                near &= np.arange(s, s + len(c))[:, None] < np.arange(len(b))
+            h, d = h[near], ((c[:, 2:] - b[:, 2]) ** 2)[near] / 2
+            lag = np.minimum((h / (cut / bins)).astype(int), bins - 1)
+            total += [np.bincount(lag, w, bins) for w in (np.ones(len(h)), h, d)]
+        k = np.flatnonzero(total[0])
+        return pd.DataFrame({"element": key[0], "lag": k, "n": total[0][k].astype(int), "h": total[1][k], "d": total[2][k]})
+
+    sums = p.groupBy("element", "i", "j").applyInPandas(one, "element string, lag int, n long, h double, d double")
+    out = sums.groupBy("element", "lag").agg((F.sum("h") / F.sum("n")).alias("h_mean"), (F.sum("d") / F.sum("n")).alias("gamma"), F.sum("n").alias("n_pairs"))
     return out.where("n_pairs > 1")
 
 
@@ -141,38 +164,61 @@ def krige_points(x: np.ndarray, y: np.ndarray, z: np.ndarray, xc: np.ndarray, yc
     return weights[:-1].T @ z, (weights * right).sum(axis=0)
 
 
-def leave_one_out(points: DataFrame, models: DataFrame, most: int = 1000) -> DataFrame:
-    """(element, model, rmse_loo, me_loo): errors of predicting each point from the others, by one inversion for each block of about ``most`` neighbouring points.
-
-    An element of up to ``most`` points is one block, and exact; more are cut
-    into strips of x, in which the nearest points all lie but at the edges.
+def _cells(points: DataFrame, most: int, own: int) -> DataFrame:
+    """``points`` with (k, cx, cy): k cells a side, cut at quantiles of x and then of y, of about ``own`` points; an element of up to ``most`` points is one cell."""
+    n = points.groupBy("element").agg(F.count(F.lit(1)).alias("_n"))
+    k = F.when(F.col("_n") <= most, 1).otherwise(F.ceil(F.sqrt(F.col("_n") / own))).cast("int")
+    p = points.join(n.select("element", k.alias("k")), "element")
+    steps = int(n.agg(F.max(k)).first()[0] or 1)
+    marks = [(i + 1) / steps for i in range(steps)]
+    # of the finest cut, an element takes every (steps / k)-th
+    pick = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.element_at("q", F.greatest(F.rint(i * steps / F.col("k")).cast("int"), F.lit(1))))
+    cell = lambda v: F.least(F.size(F.filter("q", lambda q: q < F.col(v))), F.col("k") - 1)
+    for c, v, by in (("cx", "x", ["element"]), ("cy", "y", ["element", "cx"])):
+        q = p.groupBy(*by).agg(F.percentile_approx(v, marks, 2000).alias("q"), F.first("k").alias("k")).select(*by, pick.alias("q"))
+        p = p.join(q, by).withColumn(c, cell(v)).drop("q")
+    return p
+
+
+def leave_one_out(points: DataFrame, models: DataFrame, most: int = 1000, own: int = 100) -> DataFrame:
+    """(element, model, rmse_loo, me_loo): errors of predicting each point from the others, by one inversion for each cell.
+
+    An element of up to ``most`` points is one cell, and exact. More are cut
+    into cells of about ``own`` points, and each cell's points are predicted
+    from those of it and of the eight around it, which screen all others.
     """
-    n = points.groupBy("element").agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    strips = F.ceil(F.col("_n") / most)
-    strip = F.least(F.floor((F.col("x") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9)) * strips), strips - 1)
-    blocks = points.join(n, "element").select("element", strip.alias("strip"), "x", "y", "z")
+    p = _cells(points, most, own)
+    around = F.when(F.col("k") == 1, F.expr("array(struct(0 as dx, 0 as dy))")).otherwise(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as dx, j as dy))))"))
+    p = p.select("element", "x", "y", "z", "k", "cx", "cy", F.inline(around))
+    p = p.select("element", "x", "y", "z", "k", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own"))
+    p = p.where("cx between 0 and k - 1 and cy between 0 and k - 1").drop("k")
+    few = models.groupBy("element").agg(F.collect_list(F.struct("model", "nugget", "partial_sill", "range_m")).alias("models"))  # one for each kind of model
+    p = p.join(few, "element")
 
-    def one(key, g, ms):
+    def one(key, g):
         x, y, z = (g[c].to_numpy(float) for c in "xyz")
-        rows = []
-        for m in ms.itertuples():
-            if len(x) < 3:
+        mine, rows = g["own"].to_numpy(bool), []
+        for m in pd.DataFrame(list(map(dict, map(_fields, g["models"].iloc[0])))).itertuples():
+            if len(x) < 3 or not mine.any():
                 continue
             try:
                 w = np.linalg.inv(_matrix(x, y, m))
                 e = -(w @ np.append(z, 0))[:-1] / np.diag(w)[:-1]
             except np.linalg.LinAlgError:
                 e = np.array([krige_points(*(np.delete(v, i) for v in (x, y, z)), x[i : i + 1], y[i : i + 1], m)[0][0] - z[i] for i in range(len(x))])
-            e = e[np.isfinite(e)]
+            e = e[mine & np.isfinite(e)]
             rows.append((key[0], m.model, float((e * e).sum()), float(e.sum()), len(e)))
         return pd.DataFrame(rows, columns=["element", "model", "sq", "sum", "n"])
 
-    keyed = models.join(blocks.select("element", "strip").distinct(), "element")
-    keyed = keyed.toDF(*keyed.columns)  # columns of its own
-    out = blocks.groupBy("element", "strip").cogroup(keyed.groupBy("element", "strip")).applyInPandas(one, "element string, model string, sq double, sum double, n long")
+    out = p.groupBy("element", "cx", "cy").applyInPandas(one, "element string, model string, sq double, sum double, n long")
     return out.groupBy("element", "model").agg(F.sqrt(F.sum("sq") / F.sum("n")).alias("rmse_loo"), (F.sum("sum") / F.sum("n")).alias("me_loo"))
 
 
+def _fields(row) -> dict:
+    """A struct that came from Arrow, as a dict."""
+    return row if isinstance(row, dict) else row.asDict()
+
+
 def choose(models: DataFrame, errors: DataFrame) -> DataFrame:
     """The fit of least leave-one-out error of each element; ties in the order of MODELS."""
     order = F.array_position(F.array(*map(F.lit, MODELS)), F.col("model"))
@@ -180,28 +226,106 @@ def choose(models: DataFrame, errors: DataFrame) -> DataFrame:
     return both.groupBy("element").agg(F.min_by(F.struct(*both.columns), F.struct("rmse_loo", order)).alias("m")).select("m.*")
 
 
-def krige(points: DataFrame, cells: DataFrame, chosen: DataFrame, pixel: float, most_points: int = MOST_POINTS, tile_cells: int = TILE_CELLS) -> DataFrame:
+def _near(tiles: DataFrame, points: DataFrame, reach: str) -> DataFrame:
+    """(tile columns, x, y, z, d): the points within ``reach`` of a tile's edges; d: distance to its centre.
+
+    Both are put on a grid as wide as the element's reach and the tile's side,
+    so that a tile meets points of a few grid cells only.
+    """
+    wide = F.greatest(F.col(reach), F.col("side"))
+    scale = tiles.groupBy("element").agg(F.max(wide).alias("_w"))
+    cover = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - F.col(reach)) / F.col("_w")), F.floor((F.col(hi) + F.col(reach)) / F.col("_w"))))
+    t = tiles.join(scale, "element").withColumn("gx", cover("x0", "x1")).withColumn("gy", cover("y0", "y1"))
+    p = points.join(scale, "element").select("element", "x", "y", "z", F.floor(F.col("x") / F.col("_w")).alias("gx"), F.floor(F.col("y") / F.col("_w")).alias("gy"))
+    inside = F.col("x").between(F.col("x0") - F.col(reach), F.col("x1") + F.col(reach)) & F.col("y").between(F.col("y0") - F.col(reach), F.col("y1") + F.col(reach))
+    d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
+    return t.join(p, ["element", "gx", "gy"]).where(inside).drop("gx", "gy", "_w").withColumn("d", d)
+
+
+def neighbours(tiles: DataFrame, points: DataFrame, most_points: int = MOST_POINTS, few: int = FEW_POINTS, fill: int = FILL_POINTS) -> DataFrame:
+    """(element, ti, tj, x, y, z): the points that each tile is predicted from.
+
+    tiles: (element, ti, tj, x0, x1, y0, y1, mx, my, side, buffer). They are
+    the points within the buffer of the tile's edges; of more than
+    ``most_points`` the nearest to its centre; and where there are fewer than
+    ``few``, the ``fill`` nearest of all, sought in rings that grow fourfold.
+    A null buffer stands for all of the element's points.
+    """
+    key = ["element", "ti", "tj"]
+    by = Window.partitionBy(*key).orderBy("d", "x", "y")
+    near = _near(tiles.where("buffer is not null"), points, "buffer").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most_points)
+    near = durable(near.select(*key, "x", "y", "z", "nth"))
+    enough = near.where(F.col("nth") == few).select(*key)
+    out = near.join(enough, key, "left_semi").select(*key, "x", "y", "z")
+    total = points.groupBy("element").agg(F.count(F.lit(1)).alias("total"), F.max(F.hypot("x", "y")).alias("far"))
+    left = durable(tiles.where("buffer is not null").join(enough, key, "left_anti").join(total, "element").withColumn("reach", F.col("buffer")))
+    while not left.isEmpty():
+        left = durable(left.withColumn("reach", F.col("reach") * 4))
+        # a point outside the square may be nearer than one in its corner: only those in the circle are sure
+        ring = _near(left, points, "reach").where(F.col("d") <= F.col("reach")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= fill)
+        ring = durable(ring.select(*key, "x", "y", "z", "nth", "total"))
+        done = ring.where(F.col("nth") == F.least(F.lit(fill).cast("long"), F.col("total"))).select(*key)
+        out = out.unionByName(ring.join(done, key, "left_semi").select(*key, "x", "y", "z"))
+        left = durable(left.join(done, key, "left_anti"))
+    whole = tiles.where("buffer is null").select(*key).join(points.select("element", "x", "y", "z"), "element")
+    return out.unionByName(whole.select(*key, "x", "y", "z"))
+
+
+def krige(points: DataFrame, cells: DataFrame, chosen: DataFrame, pixel: float, most_points: int = MOST_POINTS, tile_cells: int = TILE_CELLS, global_points: int = GLOBAL_POINTS) -> DataFrame:
     """(element, row, col, pred, var) at each cell (element, row, col, xc, yc), by tiles of ``tile_cells`` cells a side.
 
-    A tile uses the points in and around it, as far as three quarters of the
-    range, and of many those nearest to its centre.
+    An element of up to ``global_points`` points is predicted from all of them;
+    more from each tile's neighbours, within three quarters of the range or
+    three spacings of the tile, whichever is more. Cells of elements without a
+    model or without points have no rows.
     """
-    side = pixel * tile_cells
-    tile = lambda c: F.floor(F.col(c) / side)
-    reach = F.ceil(0.75 * F.col("range_m") / side)
-    spread = points.join(chosen.select("element", "range_m"), "element").withColumns({"r": reach, "tx": tile("x"), "ty": tile("y")})
-    spread = spread.withColumn("tx", F.explode(F.expr("sequence(tx - r, tx + r)"))).withColumn("ty", F.explode(F.expr("sequence(ty - r, ty + r)")))
-    places = cells.select("element", "row", "col", "xc", "yc", tile("xc").alias("tx"), tile("yc").alias("ty")).join(chosen, "element")
+    area = F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1.0))
+    spread = points.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.sqrt(area / F.count(F.lit(1))).alias("spacing"))
+    local = F.when(F.col("n") > global_points, F.greatest(0.75 * F.col("range_m"), 3 * F.col("spacing")))
+    model = chosen.select("element", "model", "nugget", "partial_sill", "range_m").join(spread, "element").withColumn("buffer", local)
+    c = cells.select("element", "row", "col", "xc", "yc", F.floor(F.col("row") / tile_cells).alias("ti"), F.floor(F.col("col") / tile_cells).alias("tj"))
+    ends = c.groupBy("element").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    at = c.groupBy("element", "ti", "tj").agg(F.min(F.col("xc") - F.col("col") * pixel).alias("xa"), F.max(F.col("yc") + F.col("row") * pixel).alias("ya")).join(ends, "element").join(model, "element")
+    first, last = (lambda t: F.col(t) * tile_cells), (lambda t, end: F.least(F.col(t) * tile_cells + tile_cells - 1, F.col(end)))
+    tiles = at.select(
+        "element", "ti", "tj", "buffer", F.lit(pixel * tile_cells).alias("side"),
+        (F.col("xa") + first("tj") * pixel).alias("x0"), (F.col("xa") + last("tj", "last_col") * pixel).alias("x1"),
+        (F.col("ya") - last("ti", "last_row") * pixel).alias("y0"), (F.col("ya") - first("ti") * pixel).alias("y1"),
+    )
+    tiles = durable(tiles.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2}))
+    near = neighbours(tiles, points, most_points)
 
     def one(key, p, c):
-        out = pd.DataFrame({"element": np.full(len(c), key[0], object), "row": c["row"].to_numpy(), "col": c["col"].to_numpy()})
         if not len(c) or not len(p):
-            return out.assign(pred=np.nan, var=np.nan)
-        cx, cy = (key[1] + 0.5) * side, (key[2] + 0.5) * side
-        p = p.iloc[np.argsort(np.hypot(p["x"] - cx, p["y"] - cy), kind="stable")[:most_points]]
+            return pd.DataFrame({"element": [], "row": [], "col": [], "pred": [], "var": []})
         pred, var = krige_points(*(p[k].to_numpy(float) for k in "xyz"), c["xc"].to_numpy(float), c["yc"].to_numpy(float), c.iloc[0])
-        return out.assign(pred=pred, var=var)
+        return pd.DataFrame({"element": np.full(len(c), key[0], object), "row": c["row"].to_numpy(), "col": c["col"].to_numpy(), "pred": pred, "var": var})
 
-    keys = ["element", "tx", "ty"]
+    keys = ["element", "ti", "tj"]
+    places = c.join(model.drop("n", "spacing", "buffer"), "element")
     places = places.toDF(*places.columns)  # columns of its own
-    return spread.select(*keys, "x", "y", "z").groupBy(*keys).cogroup(places.groupBy(*keys)).applyInPandas(one, "element string, row long, col long, pred double, var double")
+    return near.groupBy(*keys).cogroup(places.groupBy(*keys)).applyInPandas(one, "element string, row long, col long, pred double, var double")
+
+
+def clamp(kriged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells with no prediction under 0, (element, n_clamped)): a content isn't negative."""
+    counted = kriged.groupBy("element").agg(F.count_if(F.col("pred") < 0).alias("n_clamped"))
+    return kriged.withColumn("pred", F.when(F.col("pred") < 0, 0.0).otherwise(F.col("pred"))), counted
+
+
+def element_report(raw: DataFrame, chosen: DataFrame | None = None, clamped: DataFrame | None = None, censored: DataFrame | None = None, least: int = LEAST_POINTS, robust: int = ROBUST_POINTS, global_points: int = GLOBAL_POINTS) -> DataFrame:
+    """One row per element of the raw points (element, x, y, z): (element, n, lowest, highest, mean, n_same_place, neighbourhood, too_few, warnings).
+
+    Under ``least`` points an element has no map (too_few). warnings are tags:
+    few_points, weak_structure (a sill under 5 % of the variance; chosen),
+    censored and clamped (from (element, n_censored) and (element, n_clamped)),
+    same_place.
+    """
+    before = raw.groupBy("element").agg(F.count(F.lit(1)).alias("n_raw"))
+    r = stats(collapse(raw)).join(before, "element").withColumn("n_same_place", F.col("n_raw") - F.col("n"))
+    fill = lambda r, df, c: r.join(df.select("element", c), "element", "left") if df is not None else r.withColumn(c, F.lit(None).cast("double"))
+    r = fill(fill(fill(r, chosen, "partial_sill"), clamped, "n_clamped"), censored, "n_censored")
+    ok = F.col("n") >= least
+    tags = {"few_points": F.col("n") < robust, "weak_structure": F.col("partial_sill") < 0.05 * F.col("variance"), "censored": F.col("n_censored") > 0, "clamped": F.col("n_clamped") > 0, "same_place": F.col("n_same_place") > 0}
+    warnings = F.filter(F.array(*[F.when(c, tag) for tag, c in tags.items()]), lambda x: x.isNotNull())
+    return r.select("element", "n", "lowest", "highest", F.round("mean", 4).alias("mean"), "n_same_place", F.when(ok, F.when(F.col("n") > global_points, "local").otherwise("global")).alias("neighbourhood"), (~ok).alias("too_few"), F.when(ok, warnings).alias("warnings"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pedon.functions import geo, mg, npk, sp, text
 from pedon.operators import geometry, geostat, lookup, matching, registry
+from pedon.session import durable
 
 _D = "CAST({} AS DOUBLE)".format
 # one row per order line: contents of a soil sample
@@ -300,10 +301,14 @@ VARIOGRAM = (
 )
 
 
+def _chosen(points: DataFrame) -> DataFrame:
+    """The chosen model of each element; fits are written once, for they are used twice."""
+    fits = durable(geostat.fit(geostat.variogram(points)))
+    return geostat.choose(fits, geostat.leave_one_out(points, fits))
+
+
 def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    fits = geostat.fit(geostat.variogram(points))
-    return geostat.choose(fits, geostat.leave_one_out(points, fits)).withColumn("dependence", geo.dependence("nugget", "partial_sill"))
+    return _chosen(durable(_points(spark, sf_dir))).withColumn("dependence", geo.dependence("nugget", "partial_sill"))
 
 
 _RINGS = """SELECT CAST(n_nationkey AS BIGINT) AS geom_id, 0 AS ring_id, CAST(i AS INTEGER) AS seq,
@@ -338,13 +343,14 @@ GRID_MASK = (
 
 
 def kriging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    fits = geostat.fit(geostat.variogram(points))
-    best = geostat.choose(fits, geostat.leave_one_out(points, fits)).select("element", "model", "nugget", "partial_sill", "range_m")
-    corners = points.groupBy(F.lit(0).alias("geom_id")).agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"))
-    ring = corners.select("geom_id", F.lit(0).alias("ring_id"), F.posexplode(F.expr("array(struct(a as x, b as y), struct(c as x, b as y), struct(c as x, d as y), struct(a as x, d as y))")).alias("seq", "v")).select("geom_id", "ring_id", "seq", "v.x", "v.y")
-    cells = geometry.mask(ring, 10.0).join(best.select("element").distinct(), F.lit(True)).select("element", "row", "col", "xc", "yc")
-    return geostat.krige(points, cells, best, 10.0)
+    points = durable(_points(spark, sf_dir))
+    best = durable(_chosen(points).select("element", "model", "nugget", "partial_sill", "range_m"))
+    # the ring around all points, for each element
+    corners = points.groupBy().agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"), F.collect_set("element").alias("elements"))
+    ring = corners.select(F.explode("elements").alias("geom_id"), "a", "b", "c", "d")
+    ring = ring.select("geom_id", F.lit(0).alias("ring_id"), F.posexplode(F.expr("array(struct(a as x, b as y), struct(c as x, b as y), struct(c as x, d as y), struct(a as x, d as y))")).alias("seq", "v")).select("geom_id", "ring_id", "seq", "v.x", "v.y")
+    cells = geometry.mask(ring, 10.0).withColumnRenamed("geom_id", "element")
+    return geostat.clamp(geostat.krige(points, cells, best, 10.0))[0]
 
 
 _UTM = "SELECT s_suppkey, CAST(-54 + (s_suppkey % 60) AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(45 AS DOUBLE) AS lon, CAST(-(s_suppkey % 23) AS DOUBLE) - CAST(0.25 AS DOUBLE) AS lat FROM {t}"

@@ -102,3 +102,51 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["n"], r["mean"]) for r in spark.table("stats").collect()] == [(2, 2.0)]
+
+
+def test_kriging_like_brute_force(spark):
+    """Tiles of many, few and no points near, against the rule written out in numpy."""
+    rng = np.random.default_rng(3)
+    x, y = np.concatenate([rng.uniform(0, 60, 150), [400.0, 402.0, 405.0]]), np.concatenate([rng.uniform(0, 60, 150), [10.0, 12.0, 30.0]])
+    z = np.sin(x / 20) + y / 50
+    points = spark.createDataFrame(pd.DataFrame({"element": "P", "x": x, "y": y, "z": z}))
+    chosen = spark.createDataFrame([("P", "spherical", 0.01, 1.0, 30.0)], "element string, model string, nugget double, partial_sill double, range_m double")
+    pixel, side = 5.0, 4
+    grid = [(r, c) for r in range(0, 14) for c in range(0, 90)] + [(190, 190)]
+    cells = spark.createDataFrame([("P", r, c, (c + 0.5) * pixel, 70 - (r + 0.5) * pixel) for r, c in grid], "element string, row long, col long, xc double, yc double")
+    got = geostat.krige(points, cells, chosen, pixel, 20, side).toPandas().set_index(["row", "col"]).sort_index()
+    assert len(got) == len(grid) and got["pred"].notna().all()
+    area = (x.max() - x.min()) * (y.max() - y.min())
+    buffer, last = max(0.75 * 30, 3 * np.sqrt(area / len(x))), 190
+    m = chosen.toPandas().iloc[0]
+    for tile in {(r // side, c // side) for r, c in grid}:
+        rows, cols = (np.arange(t * side, min(t * side + side, last + 1)) for t in tile)
+        xs, ys = (cols + 0.5) * pixel, 70 - (rows + 0.5) * pixel
+        d = np.hypot(x - xs.mean(), y - ys.mean())
+        near = np.flatnonzero((x >= xs.min() - buffer) & (x <= xs.max() + buffer) & (y >= ys.min() - buffer) & (y <= ys.max() + buffer))
+        near = np.argsort(d)[:16] if len(near) < 8 else near[np.argsort(d[near])[:20]]
+        own = [(r, c) for r, c in grid if (r // side, c // side) == tile]
+        want = geostat.krige_points(x[near], y[near], z[near], np.array([(c + 0.5) * pixel for _, c in own]), np.array([70 - (r + 0.5) * pixel for r, _ in own]), m)
+        assert got.loc[own, "pred"].to_numpy() == pytest.approx(want[0], abs=1e-6) and got.loc[own, "var"].to_numpy() == pytest.approx(want[1], abs=1e-6)
+    clipped, counts = geostat.clamp(spark.createDataFrame([("P", -1.0), ("P", 2.0)], "element string, pred double"))
+    assert sorted(r["pred"] for r in clipped.collect()) == [0.0, 2.0] and counts.first()["n_clamped"] == 1
+
+
+def test_leave_one_out_by_cells(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 500, 1500), rng.uniform(0, 400, 1500)
+    x[:500] = rng.uniform(0, 20, 500)  # a third of the points in one strip
+    z = 10 + 4 * np.sin(x / 120) + 3 * np.cos(y / 90) + rng.normal(0, 0.4, 1500)
+    points = spark.createDataFrame(pd.DataFrame({"element": "P", "x": x, "y": y, "z": z}))
+    model = spark.createDataFrame([("P", "spherical", 0.15, 12.0, 300.0)], "element string, model string, nugget double, partial_sill double, range_m double")
+    cells = geostat.leave_one_out(points, model).first()
+    exact = geostat.leave_one_out(points, model, most=2000).first()
+    assert cells["rmse_loo"] == pytest.approx(exact["rmse_loo"], rel=2e-3) and cells["me_loo"] == pytest.approx(exact["me_loo"], abs=2e-3)
+
+
+def test_element_report(spark):
+    rows = [("few", float(i), 0.0, 1.0) for i in range(7)] + [("some", float(i % 12), 1.0, float(i)) for i in range(15)] + [("many", float(i), 2.0, 3.0) for i in range(130)]
+    got = {r["element"]: r for r in geostat.element_report(spark.createDataFrame(rows, "element string, x double, y double, z double")).collect()}
+    assert got["few"]["too_few"] and got["few"]["warnings"] is None and got["few"]["neighbourhood"] is None
+    assert (got["some"]["n"], got["some"]["n_same_place"], got["some"]["warnings"], got["some"]["neighbourhood"]) == (12, 3, ["few_points", "same_place"], "global")
+    assert got["many"]["neighbourhood"] == "local" and got["many"]["warnings"] == []
