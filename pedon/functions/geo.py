@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +21,11 @@ def epsg(zone: X, south: X) -> Column:
     return F.when(col(south), col(zone) + 31960).otherwise(col(zone) + 31954).cast("int")
 
 
+def is_geographic(x: X, y: X) -> Column:
+    """Aggregate: whether all coordinates can be degrees; false where there are none."""
+    return F.coalesce(F.bool_and((F.abs(col(x)) <= 180) & (F.abs(col(y)) <= 90)), F.lit(False))
+
+
 def forward_utm(lon: X, lat: X, zone: X, south: X) -> Column:
     """struct(x, y) in metres, by Snyder's series (1987)."""
     e2 = FLATTENING * (2 - FLATTENING)
@@ -73,8 +76,3 @@ def scale_bar(width: X) -> Column:
     most = col(width) / 4.0
     ten = F.pow(F.lit(10.0), F.floor(F.log10(most)))
     return F.when(5 * ten <= most, 5 * ten).when(2 * ten <= most, 2 * ten).otherwise(ten)
-
-
-def candidate_ranges(cutoff: float, n: int = 80) -> list[float]:
-    low, high = max(cutoff / 60, 1e-3), cutoff * 2
-    return [low * math.exp(math.log(high / low) * i / (n - 1)) for i in range(n)]

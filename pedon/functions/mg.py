@@ -292,9 +292,14 @@ def balanced_index(content: X, standard: X, cv: X) -> Column:
 
 
 def balanced_class(index: X) -> Column:
-    """Class of a balanced index (fixed bounds 17, 50, 83, 117, 150, 183)."""
-    names = ["faixa 1", "deficiente", "abaixo do normal", "normal", "acima do normal", "excesso", "faixa 7"]
-    return ladder(col(index), [17.0, 50.0, 83.0, 117.0, 150.0, 183.0], names)
+    """Class of a balanced index between 17 and 183; null beyond, where the source has no class."""
+    names = ["Deficiência", "Marginal", "Adequada", "Elevada", "Excesso"]
+    return F.when(col(index).between(17.0, 183.0), ladder(col(index), [50.0, 83.0, 117.0, 150.0], names))
+
+
+def sum_of_deviations(deviations: Column) -> Column:
+    """Sum of the absolute values of an array of deviations from the optimum; nulls in it are passed over."""
+    return F.aggregate(F.filter(deviations, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + F.abs(x))
 
 
 def mean_balance(deviations: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,15 +13,40 @@ X = Column | str
 
 # Words of an identifier that carry nothing.
 NOISE = ["PONTO", "PONTOS", "PT", "AMOSTRA", "AMOSTRAS", "AM", "SAMPLE", "ID", "N", "NO", "NUM"]
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _compatible(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _decomposed() -> tuple[str, str]:
+    """Characters up to U+FFFF whose compatibility form, without combining marks, is one other character, and that character."""
+    pairs = []
+    for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0xFFF0))):
+        p = _compatible(c)
+        if len(p) == 1 and p.isascii():
+            pairs.append((c, p))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+_MARKED, _PLAIN = _decomposed()
+#: Characters whose compatibility form is several, with a letter or digit among them.
+_LONG = {c: p for c in map(chr, (*range(0xA0, 0x2500), *range(0xFB00, 0xFB07))) if len(p := _compatible(c)) > 1 and any(x.isascii() and x.isalnum() for x in p)}
 # What stands for a value that was not determined.
 MISSING = ["", "ND", "NA", "N/A", "-", "--"]
 
 
+def plain(x: X) -> Column:
+    """Compatibility form without combining marks: accents go, wide letters and superscript digits become plain ones."""
+    out = F.regexp_replace(F.translate(col(x), _MARKED, _PLAIN), r"[\u0300-\u036F]", "")
+    forms = F.create_map(*[F.lit(x) for pair in _LONG.items() for x in pair])
+    long = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(forms[c], c)), "")
+    return F.when(out.rlike("[" + "".join(_LONG) + "]"), long).otherwise(out)
+
+
 def unaccented(x: X) -> Column:
-    """Upper case without accents of Western European letters."""
-    return F.translate(F.upper(F.trim(col(x))), _MARKED, _PLAIN)
+    """Upper case, without accents and in plain letters."""
+    return F.upper(plain(F.trim(col(x))))
 
 
 def _number(digits: Column) -> Column:
@@ -63,7 +90,8 @@ def br_number(x: X) -> Column:
     below = s.startswith("<")
     digits = F.regexp_replace(s, "^<", "")
     digits = F.when(digits.contains(","), F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(digits)
-    value = F.when(~F.upper(s).isin(*MISSING), digits.try_cast("double"))
+    # digits only: 'nan' and 'inf' are no measurements
+    value = F.when(~F.upper(s).isin(*MISSING) & digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), digits.try_cast("double"))
     return F.struct(F.when(below, value / 2.0).otherwise(value).alias("value"), (F.coalesce(below, F.lit(False)) & value.isNotNull()).alias("censored"))
 
 
@@ -83,8 +111,8 @@ def registry_code(x: X) -> Column:
 
 
 def degrees(x: X) -> Column:
-    """Decimal degrees of 8°22'26.947"S, to 6 digits; null where it is no angle."""
-    form = r"""(\d+)\D+?(\d+)\D+?([\d.]+)\D*?([NSEWO])"""
-    part = lambda i: F.regexp_extract(col(x), form, i)
+    """Decimal degrees of 8°22'26.947"S, to 6 digits; null where it is no angle. What follows the hemisphere doesn't count."""
+    form = r"""^(\d+)°(\d+)'([\d.]+)"?([NSEW])"""
+    part = lambda i: F.regexp_extract(F.trim(col(x)), form, i)
     v = part(1).try_cast("double") + part(2).try_cast("double") / 60.0 + part(3).try_cast("double") / 3600.0
-    return F.round(F.when(part(4).isin("S", "W", "O"), -v).otherwise(v), 6)
+    return F.round(F.when(part(4).isin("S", "W"), -v).otherwise(v), 6)

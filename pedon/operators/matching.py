@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedon.functions import text
+from pedon.session import durable
 
 LAYERS = [("canonico", 1.0, text.canonical_id), ("sem-ruido", 0.95, text.reduced_id), ("assinatura", 0.90, text.signature)]
 
@@ -19,15 +22,15 @@ def match_ids(points: DataFrame, lab: DataFrame, point_col: str = "point_id", la
     """(point_id, lab_id, confidence, method): each layer joins the ids that no earlier layer used and whose key is unique on both sides.
 
     Null ids and ids with an empty key match nothing; repeated ids count once.
+    A layer's pairs are written, and the next one starts from what they left.
     """
     a = points.select(F.col(point_col).alias("point_id")).where("point_id is not null").distinct()
     b = lab.select(F.col(lab_col).alias("lab_id")).where("lab_id is not null").distinct()
     found = None
     for method, confidence, key in LAYERS:
-        left = a if found is None else a.join(found, "point_id", "left_anti")
-        right = b if found is None else b.join(found, "lab_id", "left_anti")
-        got = _lone(left, "point_id", key("point_id")).join(_lone(right, "lab_id", key("lab_id")), "_key")
-        got = got.select("point_id", "lab_id", F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
+        got = _lone(a, "point_id", key("point_id")).join(_lone(b, "lab_id", key("lab_id")), "_key")
+        got = durable(got.select("point_id", "lab_id", F.lit(confidence).alias("confidence"), F.lit(method).alias("method")))
+        a, b = a.join(got, "point_id", "left_anti"), b.join(got, "lab_id", "left_anti")
         found = got if found is None else found.unionByName(got)
     return found
 
@@ -47,8 +50,50 @@ def confident(pairs: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def depth_duplicates(lab: DataFrame, lab_col: str = "lab_id") -> DataFrame:
-    """(base_id, n): identifiers that differ by their layer only."""
-    return lab.select(F.col(lab_col).alias("lab_id")).distinct().groupBy(text.depth_of("lab_id")["base"].alias("base_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(base_id, n, n_rows): identifiers that differ by their layer only, or that several rows have."""
+    return lab.select(F.col(lab_col).alias("lab_id")).groupBy(text.depth_of("lab_id")["base"].alias("base_id")).agg(F.count_distinct("lab_id").alias("n"), F.count(F.lit(1)).alias("n_rows")).where("n > 1 or n_rows > 1")
+
+
+def id_fields(points: DataFrame, lab: DataFrame) -> DataFrame:
+    """One row (point_col, lab_col, score): the two columns that hold the same identifiers.
+
+    points and lab are long: (row_no, col, value) and (col_no, col, value), the
+    latter's col_no being the column's place in the report. Score: the share of
+    all point rows whose reduced identifier occurs in the lab column, times
+    half of one plus the share of distinct identifiers among all points. Ties
+    go to the first point column by name and then to the first lab column.
+    Nothing scores 0, so there may be no row.
+    """
+    total = points.agg(F.count_distinct("row_no").alias("total"))
+    p = points.select("row_no", "col", text.reduced_id("value").alias("key")).where("key is not null")
+    full = p.groupBy("col").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("key").alias("_keys"), F.max(F.col("key") != "").alias("_any")).where("_any")
+    # a row without the attribute counts as one more, empty, identifier
+    empty = p.where("key = ''").select("col").distinct().withColumn("_empty", F.lit(1))
+    full = full.join(empty, "col", "left").join(F.broadcast(total)).withColumn("_unique", (F.col("_keys") + F.when(F.col("_empty").isNull() & (F.col("_rows") < F.col("total")), 1).otherwise(0)) / F.col("total"))
+    keys = p.where("key <> ''").groupBy("col", "key").agg(F.count(F.lit(1)).alias("n"))
+    known = lab.where(F.trim("value") != "").select("col_no", F.col("col").alias("lab_col"), text.reduced_id("value").alias("key")).where("key <> ''").distinct()
+    hits = keys.join(known, "key").groupBy("col", "lab_col", "col_no").agg(F.sum("n").alias("hits")).join(full, "col")
+    score = F.col("hits") / F.col("total") * (0.5 + 0.5 * F.col("_unique"))
+    scored = hits.select(F.col("col").alias("point_col"), "lab_col", "col_no", score.alias("score"))
+    best = scored.agg(F.max("score").alias("top"))
+    tied = scored.join(F.broadcast(best)).where("score = top")
+    return tied.agg(F.min_by(F.struct("point_col", "lab_col", F.round("score", 3).alias("score")), F.struct("point_col", "col_no")).alias("b")).where("b is not null").select("b.*")
+
+
+def lab_filter(lab: DataFrame, wanted: str) -> DataFrame:
+    """Rows of a report with a cell whose canonical form is that of ``wanted`` or ends with it."""
+    target = text.canonical_id(F.lit(wanted))
+    form = lambda c: F.coalesce(text.canonical_id(F.col(f"`{c}`").cast("string")), F.lit(""))
+    fits = [(form(c) == target) | form(c).endswith(F.concat(F.lit("-"), target)) for c in lab.columns]
+    return lab.where(reduce(lambda a, b: a | b, fits))
+
+
+def numeric_share(lab: DataFrame, least: float = 0.7) -> DataFrame:
+    """(col, n_filled, n_numbers, numeric) of a long report (col, value): a column is numeric where 70 % of its filled cells are numbers."""
+    filled = F.trim(F.coalesce("value", F.lit(""))) != ""
+    number = text.br_number("value")["value"].isNotNull()
+    out = lab.groupBy("col").agg(F.count_if(filled).alias("n_filled"), F.count_if(filled & number).alias("n_numbers"))
+    return out.withColumn("numeric", (F.col("n_filled") > 0) & (F.col("n_numbers") >= F.lit(least) * F.col("n_filled")))
 
 
 def value_at_point(pairs: DataFrame, values: DataFrame, points: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Published examples of the scalar rules."""
 
+import re
+import unicodedata
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ def test_sp(spark):
     assert value(spark, sp.base_saturation(10.0, 0.0)) is None and value(spark, sp.gypsum(350.0)) == 2100
 
 
-@pytest.mark.parametrize(("raw", "want"), [("1.234,56", (1234.56, False)), ("<0,4", (0.2, True)), ("ND", (None, False)), ("-", (None, False)), ("1.234", (1.234, False)), ("", (None, False)), ("abc", (None, False))])
+@pytest.mark.parametrize(("raw", "want"), [("1.234,56", (1234.56, False)), ("<0,4", (0.2, True)), ("ND", (None, False)), ("-", (None, False)), ("1.234", (1.234, False)), ("", (None, False)), ("abc", (None, False)), ("nan", (None, False)), ("Infinity", (None, False)), ("-inf", (None, False)), ("1e3", (1000.0, False)), (".5", (0.5, False))])
 def test_numbers(spark, raw, want):
     assert tuple(value(spark, text.br_number(F.lit(raw)))) == want
 
@@ -56,10 +60,37 @@ def test_codes(spark):
     assert value(spark, text.registry_code(F.lit(raw))) == "PI-2200053-1BABC06AE22443BCA804FFEC51C25EB9"
     assert value(spark, text.registry_code(F.lit("PI-22"))) is None
     assert value(spark, text.degrees(F.lit("8°22'26.947\"S"))) == -8.374152 and value(spark, text.degrees(F.lit("x"))) is None
-    assert value(spark, text.br_format(18.58)) == "18,58" and value(spark, text.slug(F.lit("P (mg/dm³) é"))).startswith("p-mg-dm")
+    assert value(spark, text.br_format(18.58)) == "18,58" and value(spark, text.slug(F.lit("P (mg/dm³) é"))) == "p-mg-dm3-e"
 
 
 def test_utm(spark):
     r = value(spark, geo.forward_utm(F.lit(-47.0), F.lit(-22.9), F.lit(23), F.lit(True)))
     assert abs(r["x"] - 294857) < 100 and abs(r["y"] - 7466157) < 100
     assert value(spark, geo.utm_zone(F.lit(-47.0))) == 23 and value(spark, geo.epsg(F.lit(23), F.lit(True))) == 31983
+
+
+def test_plain_letters(spark):
+    assert value(spark, text.canonical_id(F.lit("Ş１２ ã-０3ﬁ"))) == "S-12-A-3-FI"
+    for raw in ("Água Boa º1", "½ dose", "Ｗｉｄｅ ｋ", "e\u0301\u00b2", "İŞ ǆ", "---"):
+        want = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c))
+        want = re.sub("[^a-z0-9]+", "-", want.lower()).strip("-") or "elemento"
+        assert value(spark, text.slug(F.lit(raw))) == want, raw
+
+
+@pytest.mark.parametrize(("raw", "want"), [("8°22'26.947\"S", -8.374152), ("8°22'26.947S and more", -8.374152), ("lat 8°22'26.947\"S", None), ("8°22'26.947\"O", None), ("8 22 26 S", None), ("47°30'0\"W", -47.5), ("1°30'0\"E", 1.5)])
+def test_degrees(spark, raw, want):
+    assert value(spark, text.degrees(F.lit(raw))) == want
+
+
+@pytest.mark.parametrize(("index", "want"), [(16.9, None), (17.0, "Deficiência"), (50.0, "Deficiência"), (83.0, "Marginal"), (100.0, "Adequada"), (150.0, "Elevada"), (183.0, "Excesso"), (183.1, None)])
+def test_balanced_class(spark, index, want):
+    assert value(spark, mg.balanced_class(index)) == want
+
+
+def test_gamma_is_what_the_solver_uses(spark):
+    from pedon.operators.geostat import _shape
+
+    for model in geo.MODELS:
+        for h in (0.0, 3.0, 25.0, 90.0):
+            want = 0.0 if h == 0 else 0.2 + 1.5 * float(_shape(model, np.array([h]), 40.0)[0])
+            assert value(spark, geo.gamma(model, h, 0.2, 1.5, 40.0)) == pytest.approx(want)
