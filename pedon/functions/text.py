@@ -96,7 +96,12 @@ def br_number(x: X) -> Column:
 
 
 def br_format(x: X, digits: int = 2) -> Column:
-    return F.replace(F.format_string(f"%.{digits}f", col(x)), F.lit("."), F.lit(","))
+    """A number with a decimal comma, null for null; exact halves (as binary numbers) go to the even digit."""
+    v = col(x)
+    half = v * F.lit(float(10**digits)) - F.floor(v * F.lit(float(10**digits))) == 0.5
+    # an exact half is a multiple of an eighth, a sixteenth and so on; of other numbers only the product is
+    exact = half & (v * F.lit(float(2 ** (digits + 1))) == F.floor(v * F.lit(float(2 ** (digits + 1)))))
+    return F.when(v.isNotNull(), F.replace(F.format_string(f"%.{digits}f", F.when(exact, F.bround(v, digits)).otherwise(v)), F.lit("."), F.lit(",")))
 
 
 def slug(x: X) -> Column:

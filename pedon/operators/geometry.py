@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pedon.functions import geo
+
 
 def edges(vertices: DataFrame) -> DataFrame:
     """(geom_id, ring_id, x1, y1, x2, y2) of rings (geom_id, ring_id, seq, x, y); a ring is closed to its first vertex."""
@@ -19,6 +21,45 @@ def ring_areas(vertices: DataFrame) -> DataFrame:
     return edges(vertices).groupBy("geom_id", "ring_id").agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2.0).alias("area"))
 
 
+def oriented(vertices: DataFrame) -> DataFrame:
+    """Rings (geom_id, ring_id, is_exterior, seq, x, y) with exteriors clockwise and holes the other way, numbered anew from 0; rings without area stay as they are, except that exteriors are reversed."""
+    area = ring_areas(vertices).select("geom_id", "ring_id", F.col("area").alias("_a"))
+    last = vertices.groupBy("geom_id", "ring_id").agg(F.max("seq").alias("_last"), F.min("seq").alias("_first"))
+    v = vertices.join(area, ["geom_id", "ring_id"]).join(last, ["geom_id", "ring_id"])
+    clockwise = F.col("_a") < 0
+    seq = F.when(F.col("is_exterior") == clockwise, F.col("seq") - F.col("_first")).otherwise(F.col("_last") - F.col("seq"))
+    return v.select("geom_id", "ring_id", "is_exterior", seq.alias("seq"), "x", "y")
+
+
+def vertex_counts(vertices: DataFrame) -> DataFrame:
+    return vertices.groupBy("geom_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_distinct("ring_id").alias("n_rings"))
+
+
+def box(vertices: DataFrame) -> DataFrame:
+    """One row (min_x, min_y, max_x, max_y) of all vertices; zeros where there are none."""
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return vertices.agg(zero(F.min("x"), "min_x"), zero(F.min("y"), "min_y"), zero(F.max("x"), "max_x"), zero(F.max("y"), "max_y"))
+
+
+def same_frame(vertices: DataFrame, zone: int | None = None, south: bool | None = None) -> DataFrame:
+    """Vertices (geom_id, x, y, ...) in metres of one UTM zone, with (zone, south, epsg) of it.
+
+    A geometry whose coordinates can all be degrees is projected; others are in
+    metres already, and then a zone must be given (by the user or a projection
+    file). Without one, the zone is that of the mean vertex of all degrees.
+    """
+    kinds = vertices.groupBy("geom_id").agg(geo.is_geographic("x", "y").alias("_degrees"))
+    if zone is None:
+        mean = vertices.join(kinds, "geom_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.bool_and("_degrees").alias("all")).select(geo.utm_zone("x").alias("zone"), (F.col("y") < 0).alias("south"), "all").first()
+        if mean["all"] is False:
+            raise ValueError("coordinates in metres need a zone")
+        zone, south = mean["zone"] or 1, bool(mean["south"])
+    v = vertices.join(kinds, "geom_id")
+    at = geo.forward_utm("x", "y", F.lit(zone), F.lit(bool(south)))
+    pick = lambda c: F.when(F.col("_degrees"), at[c]).otherwise(F.col(c)).alias(c)
+    return v.select(*[pick(c) if c in ("x", "y") else F.col(c) for c in vertices.columns], F.lit(zone).alias("zone"), F.lit(bool(south)).alias("south"), geo.epsg(F.lit(zone), F.lit(bool(south))).alias("epsg"))
+
+
 def bounds(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("geom_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
 

@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Decision tables of at most so many rows are broadcast; larger ones are joined by their equality columns.
-BROADCAST_ROWS = 100_000
+from pedon.functions.text import plain
+
+#: Tables of at most so many rows and bytes (measured) are broadcast; larger ones are joined by their equality columns.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` marked for broadcast where its size allows."""
+    n, size = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string") for c in table.columns]))))).first()
+    return F.broadcast(table) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else table
 
 
 def decide(rows: DataFrame, table: DataFrame, equal: list[str], ranges: dict[str, tuple[str, str]], closed_left: bool = False) -> DataFrame:
     """``rows`` with the columns of the table row that fits; a null bound is open. ranges: column of rows -> (lower, upper) columns of the table.
 
     A value belongs to the range whose upper bound it reaches (closed_left:
-    whose lower bound). Rows without a fit keep null columns.
+    whose lower bound). Rows without a fit keep null columns, and so do rows
+    with a null in an equality column, or in a range column unless both bounds
+    are open. Of the table's columns those that ``rows`` has already are left
+    out. At least one equality column is needed, so that rows and table meet by
+    key.
     """
-    side = F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
-    t, r = side.alias("_t"), rows.alias("_r")
+    if not equal:
+        raise ValueError("a table is joined by one equality column or more")
+    t, r = _small(table).alias("_t"), rows.alias("_r")
     on: Column = F.lit(True)
     for c in equal:
         on &= F.col(f"_r.{c}") == F.col(f"_t.{c}")
@@ -24,16 +37,27 @@ def decide(rows: DataFrame, table: DataFrame, equal: list[str], ranges: dict[str
         x, a, b = F.col(f"_r.{c}"), F.col(f"_t.{lo}"), F.col(f"_t.{hi}")
         above, under = ((x >= a), (x < b)) if closed_left else ((x > a), (x <= b))
         on &= (a.isNull() | above) & (b.isNull() | under)
-    drop = {*equal, *(x for pair in ranges.values() for x in pair)}
+    drop = {*rows.columns, *equal, *(x for pair in ranges.values() for x in pair)}
     return r.join(t, on, "left").select("_r.*", *[F.col(f"_t.{c}") for c in table.columns if c not in drop])
 
 
+def total_mismatches(splits: DataFrame, keys: list[str], total: str = "Total") -> DataFrame:
+    """(keys..., dose_sum, dose_total) where a table's dated doses (keys, at, dose) don't add up to its own total row; groups without one are left out."""
+    sums = splits.groupBy(*keys).agg(F.sum(F.when(F.col("at") != total, F.col("dose")).otherwise(0.0)).alias("dose_sum"), F.max(F.when(F.col("at") == total, F.col("dose"))).alias("dose_total"))
+    return sums.where(F.abs(F.col("dose_sum") - F.col("dose_total")) > 1e-9)
+
+
 def crop_parameters(samples: DataFrame, crops: DataFrame, crop_col: str = "crop") -> DataFrame:
-    """``samples`` with the crop row of that name, else the first (by ``ord``) whose name contains it or is contained in it."""
-    wanted = samples.select(F.lower(F.trim(crop_col)).alias("_want")).distinct()
-    name = F.lower("name")
-    fits = name.contains(F.col("_want")) | F.col("_want").contains(name)
-    best = wanted.join(F.broadcast(crops), fits & (F.col("_want") != "")).groupBy("_want").agg(
-        F.min_by(F.struct(*crops.columns), F.struct((name != F.col("_want")).alias("inexact"), "ord")).alias("_crop")
-    )
-    return samples.join(best, F.lower(F.trim(samples[crop_col])) == best["_want"], "left").select(*[samples[c] for c in samples.columns], "_crop.*")
+    """``samples`` with the crop row of that name, else the first (by ``ord``) whose name contains it or is contained in it.
+
+    Names are compared without accents and case. A null or blank crop fits
+    none. Columns that ``samples`` has already are left out. The crop names,
+    and not the samples, are compared with each other: both are few.
+    """
+    fold = lambda c: F.lower(plain(F.trim(c)))
+    named = _small(crops.select("*", fold("name").alias("_name")))
+    wanted = samples.select(fold(F.col(crop_col)).alias("_want")).where("_want <> ''").distinct()
+    fits = F.contains("_name", "_want") | F.contains("_want", "_name")
+    best = wanted.join(named, fits).groupBy("_want").agg(F.min_by(F.struct(*crops.columns), F.struct((F.col("_name") != F.col("_want")).alias("inexact"), "ord")).alias("_crop"))
+    kept = [F.col(f"_crop.{c}") for c in crops.columns if c not in samples.columns]
+    return samples.withColumn("_key", fold(F.col(crop_col))).join(best, F.col("_key") == F.col("_want"), "left").select(*samples.columns, *kept)

@@ -64,20 +64,18 @@ def id_fields(points: DataFrame, lab: DataFrame) -> DataFrame:
     go to the first point column by name and then to the first lab column.
     Nothing scores 0, so there may be no row.
     """
-    total = points.agg(F.count_distinct("row_no").alias("total"))
-    p = points.select("row_no", "col", text.reduced_id("value").alias("key")).where("key is not null")
-    full = p.groupBy("col").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("key").alias("_keys"), F.max(F.col("key") != "").alias("_any")).where("_any")
-    # a row without the attribute counts as one more, empty, identifier
-    empty = p.where("key = ''").select("col").distinct().withColumn("_empty", F.lit(1))
-    full = full.join(empty, "col", "left").join(F.broadcast(total)).withColumn("_unique", (F.col("_keys") + F.when(F.col("_empty").isNull() & (F.col("_rows") < F.col("total")), 1).otherwise(0)) / F.col("total"))
+    total = points.agg(F.count_distinct("row_no")).first()[0]
+    p = points.select("row_no", "col", F.coalesce(text.reduced_id("value"), F.lit("")).alias("key"))
+    full = p.groupBy("col").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("key").alias("_keys"), F.max((F.col("key") == "").cast("int")).alias("_empty"))
+    # rows without the attribute count as one more, empty, identifier
+    unique = (F.col("_keys") + F.when((F.col("_empty") == 0) & (F.col("_rows") < total), 1).otherwise(0)) / F.lit(float(total or 1))
     keys = p.where("key <> ''").groupBy("col", "key").agg(F.count(F.lit(1)).alias("n"))
     known = lab.where(F.trim("value") != "").select("col_no", F.col("col").alias("lab_col"), text.reduced_id("value").alias("key")).where("key <> ''").distinct()
-    hits = keys.join(known, "key").groupBy("col", "lab_col", "col_no").agg(F.sum("n").alias("hits")).join(full, "col")
-    score = F.col("hits") / F.col("total") * (0.5 + 0.5 * F.col("_unique"))
+    hits = keys.join(known, "key").groupBy("col", "lab_col", "col_no").agg(F.sum("n").alias("hits")).join(full.select("col", unique.alias("_unique")), "col")
+    score = F.col("hits") / F.lit(float(total or 1)) * (0.5 + 0.5 * F.col("_unique"))
     scored = hits.select(F.col("col").alias("point_col"), "lab_col", "col_no", score.alias("score"))
-    best = scored.agg(F.max("score").alias("top"))
-    tied = scored.join(F.broadcast(best)).where("score = top")
-    return tied.agg(F.min_by(F.struct("point_col", "lab_col", F.round("score", 3).alias("score")), F.struct("point_col", "col_no")).alias("b")).where("b is not null").select("b.*")
+    best = scored.agg(F.min_by(F.struct("point_col", "lab_col", F.round("score", 3).alias("score")), F.struct(-F.col("score"), "point_col", "col_no")).alias("b"))
+    return best.where("b is not null").select("b.*")
 
 
 def lab_filter(lab: DataFrame, wanted: str) -> DataFrame:

@@ -236,9 +236,9 @@ for _i, (_f, _m, _c) in enumerate(_LAY):
         a{_i + 1} AS (SELECT * FROM a{_i} WHERE point_id NOT IN (SELECT point_id FROM m{_i})), b{_i + 1} AS (SELECT * FROM b{_i} WHERE lab_id NOT IN (SELECT lab_id FROM m{_i}))"""
 MATCH_LAYERS = _MATCH + " SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2"
 MATCH_ORPHANS = _MATCH + " SELECT 'point_id' AS side, point_id AS id FROM a3 UNION ALL SELECT 'lab_id', lab_id FROM b3"
-DEPTH_GROUPS = f"""WITH ids AS ({_IDS.format(s="VARCHAR", t="orders")}), t AS (SELECT DISTINCT lab_id, {_TOK("lab_id")} AS t0 FROM ids),
+DEPTH_GROUPS = f"""WITH ids AS ({_IDS.format(s="VARCHAR", t="orders")}), t AS (SELECT lab_id, {_TOK("lab_id")} AS t0 FROM ids),
     u AS (SELECT lab_id, CASE WHEN t0[-1] = 'CM' THEN t0[: len(t0) - 1] ELSE t0 END AS t FROM t), v AS (SELECT *, TRY_CAST(t[-2] AS INTEGER) AS a, TRY_CAST(t[-1] AS INTEGER) AS b FROM u)
-    SELECT base_id, count(*) AS n FROM (SELECT array_to_string(CASE WHEN len(t) >= 2 AND a % 5 = 0 AND b % 5 = 0 AND b - a BETWEEN 5 AND 60 AND b <= 100
+    SELECT base_id, count(DISTINCT lab_id) AS n, count(*) AS n_rows FROM (SELECT lab_id, array_to_string(CASE WHEN len(t) >= 2 AND a % 5 = 0 AND b % 5 = 0 AND b - a BETWEEN 5 AND 60 AND b <= 100
         AND len(list_filter(t[: len(t) - 2], lambda x: regexp_matches(x, '^\\d'))) > 0 THEN t[: len(t) - 2] ELSE t END, '-') AS base_id FROM v) GROUP BY base_id HAVING count(*) > 1"""
 
 _RAW = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN replace(CAST(value AS {s}), '.', ',') WHEN 1 THEN concat('<', replace(CAST(value AS {s}), '.', ',')) WHEN 2 THEN 'ND' WHEN 3 THEN concat('1.', lpad(CAST(event_id % 1000 AS {s}), 3, '0'), ',5') ELSE CAST(value AS {s}) END AS raw FROM {t}"""

@@ -5,15 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedon.operators.matching import lab_filter
+
 # Names of coordinate columns.
 LON, LAT = ["lon", "long", "longitude", "lng", "x"], ["lat", "latitude", "y"]
 
 
-def lab_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A laboratory's CSV: ';' or ',' by what the head has more of; blank rows are dropped."""
-    head = " ".join(r[0] for r in spark.read.text(path).limit(20).collect())[:4096]
-    rows = spark.read.csv(path, sep=";" if head.count(";") > head.count(",") else ",", header=True, inferSchema=False, multiLine=True)
-    return rows.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in rows.columns]) != "")
+def _csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    rows = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True)
+    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+
+
+def lab_csv(spark: SparkSession, path: str, wanted: str | None = None) -> DataFrame:
+    """A laboratory's CSV: ';' if the first 4096 characters have more of it than of ',', else ','; blank rows are dropped.
+
+    With ``wanted``, only rows with a cell of that canonical form, or one that
+    ends with it. A report without rows is an error.
+    """
+    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096)).first()
+    head = head[0] if head else ""
+    rows = _csv(spark, path, ";" if head.count(";") > head.count(",") else ",")
+    rows = rows.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in rows.columns]) != "")
+    rows = lab_filter(rows, wanted) if wanted else rows
+    if rows.isEmpty():
+        raise ValueError("the report has no rows")
+    return rows
+
+
+def sheet_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A spreadsheet's CSV: ';' if its first line has as many of it as of ',' or more."""
+    head = spark.read.text(path).first()
+    head = head[0] if head else ""
+    return _csv(spark, path, ";" if head.count(";") >= head.count(",") else ",")
+
+
+def places_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """(code, name, uf) of municipalities, tab separated without a header; shorter lines are left out."""
+    rows = spark.read.csv(path, sep="\t", schema="code string, name string, uf string", header=False)
+    return rows.where("uf is not null")
 
 
 def points_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +63,32 @@ def geojson_points(spark: SparkSession, path: str) -> DataFrame:
     return f.where("f.geometry.type = 'Point'").select(F.col("f.properties").alias("props"), xy[0].alias("x"), xy[1].alias("y"))
 
 
+def geojson_rings(spark: SparkSession, path: str) -> DataFrame:
+    """(geom_id, poly_id, ring_id, is_exterior, seq, x, y) of the polygons of collections, single features and bare geometries; other geometries have no rows."""
+    shape = "struct<type: string, coordinates: string>"
+    kind = f"struct<type: string, coordinates: string, geometry: {shape}, features: array<struct<geometry: {shape}>>>"
+    f = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("f"))
+    one = F.struct(F.coalesce("f.geometry.type", "f.type").alias("type"), F.coalesce("f.geometry.coordinates", "f.coordinates").alias("coordinates"))
+    all_ = F.when(F.col("f.features").isNotNull(), F.transform("f.features", lambda x: x["geometry"])).otherwise(F.array(one))
+    g = f.select(F.posexplode(all_).alias("geom_id", "g"))
+    ring = "array<array<array<double>>>"
+    polys = F.when(F.col("g.type") == "Polygon", F.array(F.from_json("g.coordinates", ring))).when(F.col("g.type") == "MultiPolygon", F.from_json("g.coordinates", f"array<{ring}>"))
+    r = g.select("geom_id", F.posexplode(polys).alias("poly_id", "rings")).select("geom_id", "poly_id", F.posexplode("rings").alias("ring_id", "ring"))
+    v = r.select("geom_id", "poly_id", "ring_id", (F.col("ring_id") == 0).alias("is_exterior"), F.posexplode("ring").alias("seq", "p"))
+    return v.select("geom_id", "poly_id", "ring_id", "is_exterior", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
+def kml_rings(spark: SparkSession, path: str) -> DataFrame:
+    """(geom_id, ring_id, is_exterior, seq, x, y): every coordinate list inside a Polygon; geom_id numbers a file's polygons."""
+    polygon = F.regexp_extract_all("value", F.lit(r"(?s)<(?:\w+:)?Polygon[ >].*?</(?:\w+:)?Polygon>"), 0)
+    g = spark.read.text(path, wholetext=True).select(F.posexplode(polygon).alias("geom_id", "p"))
+    part = F.regexp_extract_all("p", F.lit(r"(?s)<(?:\w+:)?(outerBoundaryIs|innerBoundaryIs)>.*?<(?:\w+:)?coordinates>.*?</(?:\w+:)?coordinates>"), 0)
+    r = g.select("geom_id", F.posexplode(part).alias("ring_id", "r"))
+    text = F.regexp_extract("r", r"(?s)coordinates>(.*?)</", 1)
+    v = r.select("geom_id", "ring_id", F.col("r").contains("outerBoundaryIs").alias("is_exterior"), F.posexplode(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")).alias("seq", "c")).withColumn("c", F.split("c", ","))
+    return v.select("geom_id", "ring_id", "is_exterior", "seq", F.col("c")[0].try_cast("double").alias("x"), F.col("c")[1].try_cast("double").alias("y"))
+
+
 def wkt_rings(rows: DataFrame, id_col: str = "geom_id", wkt_col: str = "wkt") -> DataFrame:
     """(geom_id, ring_id, seq, x, y) of polygons in WKT; other geometries have no rows."""
     rings = F.regexp_extract_all(F.col(wkt_col), F.lit(r"\(([^()]+)\)"), 1)

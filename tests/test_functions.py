@@ -69,6 +69,11 @@ def test_utm(spark):
     assert value(spark, geo.utm_zone(F.lit(-47.0))) == 23 and value(spark, geo.epsg(F.lit(23), F.lit(True))) == 31983
 
 
+@pytest.mark.parametrize(("x", "want"), [(None, None), (0.125, "0,12"), (0.375, "0,38"), (18.58, "18,58"), (-0.625, "-0,62"), (3.0, "3,00")])
+def test_br_format(spark, x, want):
+    assert value(spark, text.br_format(F.lit(x).cast("double"))) == want
+
+
 def test_plain_letters(spark):
     assert value(spark, text.canonical_id(F.lit("Ş１２ ã-０3ﬁ"))) == "S-12-A-3-FI"
     for raw in ("Água Boa º1", "½ dose", "Ｗｉｄｅ ｋ", "e\u0301\u00b2", "İŞ ǆ", "---"):

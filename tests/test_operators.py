@@ -150,3 +150,65 @@ def test_element_report(spark):
     assert got["few"]["too_few"] and got["few"]["warnings"] is None and got["few"]["neighbourhood"] is None
     assert (got["some"]["n"], got["some"]["n_same_place"], got["some"]["warnings"], got["some"]["neighbourhood"]) == (12, 3, ["few_points", "same_place"], "global")
     assert got["many"]["neighbourhood"] == "local" and got["many"]["warnings"] == []
+
+
+def test_id_fields_ties_and_nothing(spark):
+    long = lambda rows, schema: spark.createDataFrame(rows, schema)
+    points = long([(i, c, v) for i in range(4) for c, v in (("b", f"T{i}"), ("a", f"T{i}"), ("area", "5"))] + [(4, "area", None)], "row_no long, col string, value string")
+    lab = long([(n, c, f"t {i}") for i in range(4) for n, c in ((1, "first"), (2, "second"))] + [(0, "P", "5,1")], "col_no int, col string, value string")
+    assert [tuple(r) for r in matching.id_fields(points, lab).collect()] == [("a", "first", 0.8)]
+    assert matching.id_fields(points, lab.where("col = 'P'")).count() == 0 and matching.id_fields(points.limit(0), lab).count() == 0
+
+
+def test_rings_and_places_readers(spark, tmp_path):
+    square, hole = [[0, 0], [4, 0], [4, 4], [0, 0]], [[1, 1], [2, 1], [2, 2], [1, 1]]
+    import json
+
+    for name, body in {
+        "c": {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [square, hole]}}, {"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}}]},
+        "f": {"type": "Feature", "geometry": {"type": "MultiPolygon", "coordinates": [[square], [square, hole]]}},
+        "g": {"type": "Polygon", "coordinates": [square]},
+    }.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body))
+    count = lambda n: sorted((r["poly_id"], r["ring_id"], r["is_exterior"]) for r in readers.geojson_rings(spark, str(tmp_path / f"{n}.json")).where("seq = 0").collect())
+    assert count("c") == [(0, 0, True), (0, 1, False)] and count("f") == [(0, 0, True), (1, 0, True), (1, 1, False)] and count("g") == [(0, 0, True)]
+    ring = lambda kind, text: f"<{kind}><LinearRing><coordinates>{text}</coordinates></LinearRing></{kind}>"
+    (tmp_path / "p.kml").write_text(f"<kml><Placemark><Polygon>{ring('outerBoundaryIs', ' 0,0,0 4,0,0  4,4,0 0,0,0 ')}{ring('innerBoundaryIs', '1,1 2,1 2,2')}</Polygon></Placemark></kml>")
+    got = readers.kml_rings(spark, str(tmp_path / "p.kml")).orderBy("ring_id", "seq").collect()
+    assert [(r["is_exterior"], r["x"], r["y"]) for r in got] == [(True, 0, 0), (True, 4, 0), (True, 4, 4), (True, 0, 0), (False, 1, 1), (False, 2, 1), (False, 2, 2)]
+    (tmp_path / "m.tsv").write_text("3100104\tAbadia\tMG\nshort\n")
+    assert [tuple(r) for r in readers.places_tsv(spark, str(tmp_path / "m.tsv")).collect()] == [("3100104", "Abadia", "MG")]
+    (tmp_path / "s.csv").write_text("\ufeffcode;a,b\nx;1\n", encoding="utf-8")
+    assert readers.sheet_csv(spark, str(tmp_path / "s.csv")).columns == ["code", "a,b"]
+    (tmp_path / "l.csv").write_text("id;P\nT1 0-20;1\nT1 10-20;2\n")
+    assert [r["P"] for r in readers.lab_csv(spark, str(tmp_path / "l.csv"), "0 - 20").collect()] == ["1"]
+    with pytest.raises(ValueError):
+        readers.lab_csv(spark, str(tmp_path / "l.csv"), "40-60")
+
+
+def test_frames_and_boxes(spark):
+    none = spark.createDataFrame([], "geom_id long, x double, y double")
+    assert tuple(geometry.box(none).first()) == (0, 0, 0, 0) and geometry.same_frame(none, 23, True).count() == 0
+    degrees = spark.createDataFrame([(1, -47.0, -22.9), (1, -47.01, -22.9)], "geom_id long, x double, y double")
+    assert {(r["zone"], r["epsg"]) for r in geometry.same_frame(degrees).collect()} == {(23, 31983)}
+    with pytest.raises(ValueError):
+        geometry.same_frame(degrees.unionByName(spark.createDataFrame([(2, 294857.0, 7466157.0)], degrees.schema)))
+
+
+def test_lookup_keeps_clashing_columns(spark):
+    table = spark.createDataFrame([("a", 1.0, "its")], "crop string, dose double, note string")
+    got = lookup.decide(spark.createDataFrame([("a", "mine")], "crop string, note string"), table, ["crop"], {}).first()
+    assert got.asDict() == {"crop": "a", "note": "mine", "dose": 1.0}
+    crops = spark.createDataFrame([("café", 1), ("café arábica", 2)], "name string, ord int")
+    assert [r["ord"] for r in lookup.crop_parameters(spark.createDataFrame([("CAFE",), (" ",), (None,)], "crop string"), crops).orderBy("crop").collect()] == [None, None, 1]
+    with pytest.raises(ValueError):
+        registry.fill(spark.createDataFrame([("x", "y")], "code string, status string"), spark.createDataFrame([], "code string, place string"), "code", ["place"])
+
+
+def test_writers(spark, tmp_path):
+    from pedon.sources import writers
+
+    rows = spark.createDataFrame([("P", 8, ["few_points"])], "element string, n long, warnings array<string>")
+    assert writers.json_report(rows).first()["json"] == '{"element":"P","n":8,"warnings":["few_points"]}'
+    writers.write_csv(rows.select("element", "n"), str(tmp_path / "out"))
+    assert readers.sheet_csv(spark, str(tmp_path / "out")).first()["n"] == "8"
