@@ -5,15 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Without one, a folder under the warehouse on one machine (tests), and an error on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+from pedon.session import durable, shared_folder  # noqa: F401
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -22,14 +14,6 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder; lineage ends there, so a lost executor takes nothing along."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of every node in ``edges`` (a, b): component is the smallest node reachable.
 

@@ -134,13 +134,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 32-bit segments, differing bits of two fingerprints that are looked at closer.
-SEGMENTS, NEAR_BITS = 8, 58
+#: Wide fingerprints: 32-bit segments, and the differing bits up to which two texts are compared. Texts at a similarity of 0.8 differ in 39 of 256 on average, with a deviation of 6.
+SEGMENTS, NEAR_BITS = 8, 64
 _LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
-#: Orders, besides the commonest, by which a segment's value picks one more row to link to.
-CENTRES = 3
-#: Rows that meet under one key and are linked pairwise; of more, each is linked to centres.
+#: Rows that meet under one key and are linked pairwise; of more, each is linked to the commonest, and what that misses is found by prefixes.
 FEW = 8
+#: Every so manieth document is counted for the order of shingles, and the share of all shingles that puts one last in it; at most 1 / COMMON are.
+COUNTED, COMMON = 16, 1e-6
 
 
 def _plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,35 +189,21 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, segments array<long>")
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables (a, b) of ids whose fingerprints have segments two or fewer bits apart.
+def _candidates(rows: DataFrame) -> DataFrame:
+    """(a, b) of ids whose fingerprints have segments two or fewer bits apart; not all of them, where many meet.
 
-    The first is enough for all but the largest groups. Rows that share a
-    segment's value are linked to the row whose segments are the most common
-    (the text that near copies were made from), and that row enters the
-    segment's table under the 33 members of the value's ball, so that a key has
-    33 rows at most; FEW or fewer are linked pairwise, more to the commonest.
-    The second links rows that share a value to CENTRES more of them, and rows
-    that share two segments' values to the commonest of those, so that a large
-    group is covered by many centres near its members without a list of its
-    pairs.
+    Rows that share a segment's value are linked to the row whose segments are
+    the most common (the text that near copies were made from), and that row
+    enters the segment's table under the 33 members of the value's ball, so
+    that a key has 33 rows at most; FEW or fewer are linked pairwise, more to
+    the commonest.
     """
     values = rows.select("id", F.explode("segments").alias("v"))
     shared = durable(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    common = durable(values.join(shared, "v").groupBy("id").agg(F.sum(F.log("n")).alias("common"), F.array_sort(F.collect_list("v")).alias("vs")))
-    weighed = values.join(common.select("id", "common"), "id", "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
-    by = lambda *cols: F.max_by("id", F.struct(*cols))
-    rep = durable(weighed.groupBy("v").agg(by("common", F.xxhash64("id")).alias("rep"), F.max("common").alias("common")))
-    meet = weighed.join(shared.select("v"), "v", "left_semi")
-    centres = meet.groupBy("v").agg(*[by(F.xxhash64("id", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)])
-    centres = centres.select("v", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)]))).alias("b"))
-    to_centre = values.join(centres, "v").select(F.col("id").alias("a"), "b")
+    common = durable(values.join(shared, "v").groupBy("id").agg(F.sum(F.log("n")).alias("common")))
+    weighed = values.join(common, "id", "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
+    rep = durable(weighed.groupBy("v").agg(F.max_by("id", F.struct("common", F.xxhash64("id"))).alias("rep"), F.max("common").alias("common")))
     to_rep = values.join(rep, "v").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    # two segments at once: at most SEGMENTS * (SEGMENTS - 1) / 2 for each row
-    twos = F.expr("flatten(transform(vs, (x, i) -> transform(slice(vs, i + 2, size(vs)), y -> xxhash64(x, y))))")
-    two = common.where("size(vs) > 1").select("id", "common", F.explode(twos).alias("w"))
-    own = two.groupBy("w").agg(by("common", F.xxhash64("id", "w")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 2")
-    to_own = two.join(own, "w").select(F.col("id").alias("a"), "b")
     balls = F.concat(F.array("v"), F.expr("transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))"))
     keys = rep.select("rep", "common", F.explode(balls).alias("key"))
     # what meets is little; kept, so that all keys are dealt out once
@@ -226,54 +212,129 @@ def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
     many = met.where(F.col("n") > FEW)
     star = many.select(F.col("rep").alias("a"), F.max_by("rep", F.struct("common", F.xxhash64("rep"))).over(Window.partitionBy("key")).alias("b"))
-    once = lambda x: x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return once(to_rep.unionByName(pairs).unionByName(star)), once(to_centre.unionByName(to_own))
+    return _once(to_rep.unionByName(pairs).unionByName(star))
 
 
-def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, shingles array<long>): the distinct shingle hashes of each row."""
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each row's distinct shingles of k words, in order of row and hash; a shorter row is one shingle, a row without words none."""
+    data = tk.FOLD[data]
+    s, e, row = tk.words(data, offs, tk.NOT_SPACE)
+    h = tk.span_hashes(data, s, e)
+    left = tk.rows_of(row, len(offs) - 1)[1:][row] - np.arange(len(row))
+    size = np.diff(tk.rows_of(row, len(offs) - 1))[row]
+    out = np.full(len(h), np.uint64(k), np.uint64)
+    for j in range(k):  # a shorter row's shingle has zeros for the words that it lacks
+        part = np.zeros(len(h), np.uint64)
+        part[: max(0, len(h) - j)] = np.where(left[: max(0, len(h) - j)] > j, h[j:], np.uint64(0))
+        out = tk.mix(out * np.uint64(0xD1342543DE82EF95) + part)
+    full = (left >= k) | ((size < k) & (left == size))
+    out, row = out[full], row[full]
+    order = np.lexsort((out, row))
+    out, row = out[order], row[order]
+    first = np.append(True, (out[1:] != out[:-1]) | (row[1:] != row[:-1])) if len(out) else np.zeros(0, bool)
+    return out[first], row[first]
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles array<long>): the distinct shingle hashes of each row of (id, text)."""
 
     def run(batches):
         for batch in batches:
             for _, part in tk.row_slices(batch, "text"):
-                h, row = shingle_hashes(*tk.buffers(part.column(1)), shingle)
-                bounds = tk.rows_of(row, part.num_rows)
-                sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["id", "shingles"])
+                h, row = _sets(*tk.buffers(part.column(1)), shingle)
+                offs = tk.rows_of(row, part.num_rows).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(h.view(np.int64)))], names=["id", "shingles"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
+def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, n, pos, key): the first shingles of each row of (id, text) in an order of all shingles, as many as make any text of that similarity share one; n: the row's shingles.
+
+    Common shingles are last in the order and the others stand by their hash.
+    Which are common is counted on every COUNTED-th document: the order
+    decides how many texts meet under a key, never which links are found.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, c = np.unique(_sets(*tk.buffers(part.column(0)), shingle)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["key", "n"])
+
+    counted = rows.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = durable(counted)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    common = counted.where((F.col("n") > 1) & (F.col("n") >= COMMON * total)).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(np.sort(common))
+
+    def run(batches):
+        last = held.value
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, row = _sets(*tk.buffers(part.column(1)), shingle)
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
+                    order = np.lexsort((h, late, row))
+                    h = h[order]  # rows are in order already
+                bounds = tk.rows_of(row, part.num_rows)
+                n = np.diff(bounds)
+                pos = np.arange(len(h)) - bounds[row]
+                use = pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row[use])), pa.array(n[row[use]], pa.int32()), pa.array(pos[use], pa.int32()), pa.array(h[use].view(np.int64))], names=["id", "n", "pos", "key"]
+                )
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, pos int, key long")
+
+
+def _left_apart(rows: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of ids in different groups that can have the similarity: they share a shingle of their prefixes, and their sizes and what follows it allow it."""
+    met = _prefixes(rows, shingle, similarity).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1").drop("met")
+    met = durable(met.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    # a key whose texts are in one group has nothing to say
+    mixed = met.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+    met = durable(met.join(mixed, "key", "left_semi"))
+    side = lambda x: met.select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "pos", "component")])
+    t = F.lit(similarity)
+    most = 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
+    fits = (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (most * (1 + t) >= t * (F.col("na") + F.col("nb")) - 1e-6)
+    return side("a").join(side("b"), "key").where(fits).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, component) of the ids that have a link: candidates whose sets of shingles have that Jaccard similarity or more.
+    """(node, component) of the ids that have a link: texts whose sets of shingles have that Jaccard similarity or more.
 
-    Candidates of the second table are looked at only where the first hasn't
-    joined their groups already.
+    Candidates of the segment tables are joined first. What is still apart then
+    meets by prefixes of shingles, which miss no pair of that similarity, and
+    the same distance and sets decide.
     """
     rows = durable(wide_fingerprints(docs, id_col, text_col))
+    texts = _named(docs, id_col, text_col)
     one = lambda side, col: rows.select(F.col("id").alias(side), F.col("segments").alias(col))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
-        ids = near.select(F.col("a").alias("_near")).unionByName(near.select(F.col("b").alias("_near"))).distinct()
-        named = docs.select(F.col(id_col).alias("_near"), F.col(text_col).alias("text")).join(ids, "_near", "left_semi")
-        sets = durable(_shingle_sets(named, "_near", "text", shingle))
+        ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        sets = durable(_shingle_sets(texts.join(ids, "id", "left_semi"), shingle))
         both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
-    first, more = _candidates(rows)
-    links = verified(first)
-    groups = durable(components(links))
-    at = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    apart_yet = more.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    links = verified(apart_yet.select("a", "b"))
-    if links.isEmpty():
+    groups = durable(components(verified(_candidates(rows))))
+    found = verified(_left_apart(texts, groups, shingle, similarity))
+    if found.isEmpty():
         return groups
-    return components(links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    return components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
