@@ -32,7 +32,7 @@ FOLDS = 10
 #: Least relative frequency of the words whose counts are sent to the tasks.
 HEAD = 2.5e-7
 #: Words of the model, words of a class, size of the state.
-VOCABULARY, CLASS, HIDDEN = 4096, 64, 16
+VOCABULARY, CLASS, HIDDEN = 3584, 60, 16
 #: Rounds that a pass over the training rows is split into; tokens of a round that make one more task, and most tasks of a round.
 ROUNDS, TASK_TOKENS, MOST_TASKS = 2, 1_000_000, 256
 #: Inputs of fewer training tokens are passed over again, up to MOST_PASSES times.
@@ -427,6 +427,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 word = m.words(found)
                 log_c = np.where(known, m.log_count[found], 0.0) if len(m.head) else np.zeros(len(h))
                 add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no row is without its end
+                at = np.flatnonzero(~known)
+                other, own = h[at], row[at]
+                order = np.lexsort((other, own))
+                other, own = other[order], own[order]
+                first = np.flatnonzero(np.append(True, (other[1:] != other[:-1]) | (own[1:] != own[:-1]))) if len(at) else np.zeros(0, np.int64)
+                tf = np.diff(np.append(first, len(at)))
+                lists = pa.array(tk.rows_of(own[first], size), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -435,35 +442,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                         pa.array(add(known.astype(np.int64)), pa.int64()),
                         pa.array(add(log_c), pa.float64()),
                         pa.array(gru.score(word, bounds) / np.log(10) + add(np.where(word == m.n, log_c - norm - others, 0.0)), pa.float64()),
+                        pa.ListArray.from_arrays(lists, pa.array(other[first].view(np.int64))),
+                        pa.ListArray.from_arrays(lists, pa.array(tf, pa.int32())),
                     ],
-                    names=["id", "key", "n_tokens", "head_known", "head_base", "model"],
-                )
-
-    def rare(batches):
-        m = held.value
-        for batch in batches:
-            for _, part in tk.row_slices(batch, "text", SLICE):
-                h, row = tokens(*tk.buffers(part.column(1)))
-                at = np.flatnonzero(m.find(h) < 0)
-                h, row = h[at], row[at]
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, np.int64)
-                tf = np.diff(np.append(first, len(h)))
-                take = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(2).take(take), pa.array(h[first].view(np.int64)), pa.array(tf, pa.int32())], names=["id", "key", "word", "tf"]
+                    names=["id", "key", "n_tokens", "head_known", "head_base", "model", "words", "tfs"],
                 )
 
+    # written once, for its rare words are looked up apart from the rest
     keyed = rows.withColumn("key", F.xxhash64("text"))
-    scored = keyed.mapInArrow(score, f"id {kind}, key long, n_tokens long, head_known long, head_base double, model double")
+    scored = durable(keyed.mapInArrow(score, f"id {kind}, key long, n_tokens long, head_known long, head_base double, model double, words array<long>, tfs array<int>"))
     # rows that repeat send their rare words each: ``copies`` undoes that
-    tail = keyed.mapInArrow(rare, f"id {kind}, key long, word long, tf int")
+    tail = scored.select("id", "key", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("tfs").alias("tf"))))
     tail = tail.join(counts.where(~frequent), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     tail = tail.groupBy("id", "key").agg(
         F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(0.1))).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum("tf").alias("tail_tokens")
     )
-    s, t = scored.alias("s"), tail.alias("t")
+    s, t = scored.drop("words", "tfs").alias("s"), tail.alias("t")
     joined = s.join(t, F.col("s.id").eqNullSafe(F.col("t.id")) & (F.col("s.key") == F.col("t.key")), "left")
     rare_tokens = F.col("s.n_tokens") - F.col("s.head_known")
     copies = F.greatest(F.round(F.coalesce(F.col("t.tail_tokens"), F.lit(0)) / F.greatest(rare_tokens, F.lit(1))), F.lit(1.0))
