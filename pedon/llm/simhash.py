@@ -141,6 +141,8 @@ _LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F
 FEW = 8
 #: Every so manieth document is counted for the order of shingles, and the share of all shingles that puts one last in it; at most 1 / COMMON are.
 COUNTED, COMMON = 16, 1e-6
+#: Texts under one shingle of whose groups all pairs are looked at; of more, one text of each group is compared with NEXT ones of like size.
+MANY, NEXT = 32, 16
 
 
 def _plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +192,13 @@ def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of ids whose fingerprints have segments two or fewer bits apart; not all of them, where many meet.
+    """(a, b) of ids whose fingerprints have segments one bit or less apart; not all of them, where many meet.
 
     Rows that share a segment's value are linked to the row whose segments are
     the most common (the text that near copies were made from), and that row
-    enters the segment's table under the 33 members of the value's ball, so
-    that a key has 33 rows at most; FEW or fewer are linked pairwise, more to
-    the commonest.
+    enters the segment's table under the value and those of its ball that have
+    one bit more, so that neighbours meet and a key has 33 rows at most; FEW or
+    fewer are linked pairwise, more to the commonest.
     """
     values = rows.select("id", F.explode("segments").alias("v"))
     shared = durable(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -204,7 +206,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     weighed = values.join(common, "id", "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
     rep = durable(weighed.groupBy("v").agg(F.max_by("id", F.struct("common", F.xxhash64("id"))).alias("rep"), F.max("common").alias("common")))
     to_rep = values.join(rep, "v").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    balls = F.concat(F.array("v"), F.expr("transform(sequence(0, 31), i -> v ^ shiftleft(1L, i))"))
+    balls = F.concat(F.array("v"), F.expr("filter(transform(sequence(0, 31), i -> v ^ shiftleft(1L, i)), x -> x > v)"))
     keys = rep.select("rep", "common", F.explode(balls).alias("key"))
     # what meets is little; kept, so that all keys are dealt out once
     met = durable(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
@@ -298,24 +300,32 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 def _left_apart(rows: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of ids in different groups that can have the similarity: they share a shingle of their prefixes, and their sizes and what follows it allow it."""
-    met = _prefixes(rows, shingle, similarity).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1").drop("met")
+    met = _prefixes(rows, shingle, similarity).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
     met = durable(met.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     # a key whose texts are in one group has nothing to say
     mixed = met.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
     met = durable(met.join(mixed, "key", "left_semi"))
-    side = lambda x: met.select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "pos", "component")])
     t = F.lit(similarity)
-    most = 1 + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) - 1
-    fits = (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (most * (1 + t) >= t * (F.col("na") + F.col("nb")) - 1e-6)
-    return side("a").join(side("b"), "key").where(fits).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    most = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    fits = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (most * (1 + t) >= t * (F.col("na") + F.col("nb")) - 1e-6)
+    side = lambda df, x: df.select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "pos", "component", "nth") if c in df.columns])
+    few = met.where(F.col("met") <= MANY)
+    pairs = side(few, "a").join(side(few, "b"), "key").where(fits & (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb")))
+    # by one text of each group, another one under each key
+    one = met.where(F.col("met") > MANY).groupBy("key", "component").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("id", "key")).alias("one")).select("key", "component", "one.*")
+    one = durable(one.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))))
+    ahead = side(one, "a").withColumn("nthb", F.explode(F.sequence(F.col("ntha") + 1, F.col("ntha") + NEXT)))
+    more = ahead.join(side(one, "b"), ["key", "nthb"]).where(fits)
+    return _once(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")).unionByName(more.select(F.col("ida").alias("a"), F.col("idb").alias("b"))))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the ids that have a link: texts whose sets of shingles have that Jaccard similarity or more.
 
     Candidates of the segment tables are joined first. What is still apart then
-    meets by prefixes of shingles, which miss no pair of that similarity, and
-    the same distance and sets decide.
+    meets by prefixes of shingles, of which any two such texts share one, and
+    the same distance and sets decide. A pair can be missed only if each
+    shingle that its prefixes share stands in more than MANY texts.
     """
     rows = durable(wide_fingerprints(docs, id_col, text_col))
     texts = _named(docs, id_col, text_col)
