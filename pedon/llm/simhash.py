@@ -141,6 +141,8 @@ _LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F
 FEW = 8
 #: Every so manieth document is counted for the order of shingles, and the share of all shingles that puts one last in it; at most 1 / COMMON are.
 COUNTED, COMMON = 16, 1e-6
+#: Ids of at most so many rows (counted) are broadcast, so that texts needn't travel; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Texts under one shingle of whose groups all pairs are looked at; of more, one text of each group is compared with NEXT ones of like size.
 MANY, NEXT = 32, 16
 
@@ -241,6 +243,11 @@ def _sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return out[first], row[first]
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` marked for broadcast where their number allows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
@@ -335,7 +342,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def verified(pairs: DataFrame) -> DataFrame:
         near = durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
         ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-        sets = durable(_shingle_sets(texts.join(ids, "id", "left_semi"), shingle))
+        sets = durable(_shingle_sets(texts.join(_small(ids), "id", "left_semi"), shingle))
         both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
@@ -356,4 +363,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     gone = groups.where("node <> component").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(_small(gone), docs[id_col] == gone["_gone"], "left_anti")
