@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedon.llm import decontaminate, exact_dedup, langid, license_scan, lm_score, packing, quality, secrets, simhash, token_counts, url_filter
+from pedon.llm import alignment, decontaminate, exact_dedup, langid, license_scan, lm_score, packing, quality, secrets, simhash, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,7 +113,7 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_decontamination, op3_lm_scoring, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_scan, op7_packing, op8_url_filter, op9_language_id, op10_quality, op12_token_counts]
+    found = [op1_license_scan, op2_decontamination, op3_lm_scoring, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_scan, op7_packing, op8_url_filter, op9_language_id, op10_quality, op11_token_alignment, op12_token_counts]
     return {f.__name__: f for f in found}
 
 
