@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedon.llm import alignment, decontaminate, exact_dedup, langid, license_scan, lm_score, packing, quality, secrets, simhash, token_counts, url_filter
+from pedon.llm import alignment, decontaminate, exact_dedup, langid, license_scan, lm_score, packing, quality, secrets, simhash, spelling, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,8 +112,12 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_license_scan, op2_decontamination, op3_lm_scoring, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_scan, op7_packing, op8_url_filter, op9_language_id, op10_quality, op11_token_alignment, op12_token_counts]
+    found = [op1_license_scan, op2_decontamination, op3_lm_scoring, op4_exact_dedup, op5_simhash_near_dedup, op6_secret_scan, op7_packing, op8_url_filter, op9_language_id, op10_quality, op11_token_alignment, op12_token_counts, op13_spelling_variants]
     return {f.__name__: f for f in found}
 
 
