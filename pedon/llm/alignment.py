@@ -7,8 +7,9 @@ common cuts their intersection, group labels a search in the cuts, and links are
 expanded by repetition, all by numpy over many stretches of text at once.
 
 Neither tokenizer has a token across the place between something visible and a
-space or line end behind it, so a text is the sequence of its stretches between
-such places, and a worker remembers the alignment of stretches, bounded.
+space or line end behind it, or between a Latin letter and an ASCII sign, so a text is
+the sequence of its stretches between such places, and a worker remembers the
+alignment of stretches, bounded.
 
 The documents that hold a pair are counted in tasks first, then in a shuffle by
 pair and salt, then by pair. Counts of frequent pairs travel to every task (of
@@ -36,16 +37,20 @@ from pedon.llm.graph import durable
 FREQUENT = 1e-6
 #: Shuffles by pair are spread over so many salts first.
 SALTS = 8
-#: Stretches that a worker remembers, twice, each of so many bytes at most.
-CACHE, CACHED_BYTES = 100_000, 64
+#: Stretches that a worker remembers, twice, each of so many characters at most.
+CACHE, CACHED_LENGTH = 150_000, 32
 #: Links expanded, and pairs counted, at once.
 LINKS = 1 << 21
 PAIRS = 1 << 21
 
 _WHITE = "".join(map(chr, pt.WHITE))
 _INNER = "".join(c for c in _WHITE if c not in " \n")
-#: From a space or line end, through white space and what is visible, to before the next one that follows something visible.
-_STRETCH = re.compile(f"[ \n][{_WHITE}]*+(?:[^{_WHITE}]++|[{_INNER}][{_WHITE}]*+)*+")
+_SIGN = re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: From a space or line end (or from a sign behind a letter) to before the next one that follows something visible, or before a sign behind a letter.
+_STRETCH = re.compile(f"(?:[ \n][{_WHITE}]*+|[{_SIGN}])(?:[^{_LETTERS}{_WHITE}]++|[{_LETTERS}]++(?![{_SIGN}])|[{_INNER}][{_WHITE}]*+)*+[{_LETTERS}]*+")
+#: What no piece may hold for that: something before a space, a line end, or a sign behind a letter.
+_ACROSS = re.compile(f"[^▁]▁|\n|[{_LETTERS}][{_SIGN}]")
 
 
 class Found(NamedTuple):
@@ -98,7 +103,8 @@ class Aligner:
         self.wide = len(self.bytes_b)
         self.space = self.b.piece_to_id("▁")
         #: whether no piece goes across a stretch's border
-        self.cuts = not any(re.search("[^▁]▁|\n", self.b.id_to_piece(i)) for i in range(self.wide))
+        self.cuts = not any(_ACROSS.search(self.b.id_to_piece(i)) for i in range(self.wide) if not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_byte(i)))
+        self.line_end = self.b.encode("\n")
         self.young: dict[str, Found] = {}
         self.old: dict[str, Found] = {}
 
@@ -119,23 +125,22 @@ class Aligner:
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             for s, found in zip(part, self.align(part), strict=True):
-                (known if len(s) <= CACHED_BYTES else extra)[s] = found
+                (known if len(s) <= CACHED_LENGTH else extra)[s] = found
         return [known[s] if s in known else extra[s] for s in wanted]
 
     def _encode_b(self, stretches: list[str]) -> list[list[int]]:
-        # B adds a space: it stands for the stretch's own, or goes again before a line end
-        got = self.b.encode([s.removeprefix(" ") for s in stretches], num_threads=1)
-        return [[self.space] if s == " " else ids[1:] if s[0] == "\n" and ids[:1] == [self.space] else ids for s, ids in zip(stretches, got, strict=True)]
+        # B adds a space: it stands for the stretch's own, or goes again with a line end before what begins without one
+        got = self.b.encode([s[1:] if s[0] == " " else s if s[0] == "\n" else "\n" + s for s in stretches], num_threads=1)
+        skip = {" ": 0, "\n": 1}
+        return [[self.space] if s == " " else ids[skip.get(s[0], len(self.line_end)) :] for s, ids in zip(stretches, got, strict=True)]
 
     def align(self, stretches: list[str]) -> list[Found | None]:
         """The alignment of each stretch; None where a side's bytes aren't the stretch's."""
         ids_a = [x.ids for x in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
         ids_b = self._encode_b(stretches)
-        good = []
-        for k, s in enumerate(stretches):
-            raw = s.encode()
-            if b"".join([self.bytes_a[i] for i in ids_a[k]]) == raw == b"".join([self.bytes_b[i] for i in ids_b[k]]):
-                good.append(k)
+        raw = [s.encode() for s in stretches]
+        same = lambda ids, own: [b"".join([own[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)]
+        good = [k for k, (x, y) in enumerate(zip(same(ids_a, self.bytes_a), same(ids_b, self.bytes_b), strict=True)) if x and y]
         out: list[Found | None] = [None] * len(stretches)
         if not good:
             return out
@@ -146,15 +151,16 @@ class Aligner:
         n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
         stop_a, stop_b = np.cumsum(n_a), np.cumsum(n_b)
         # a stretch ends with a common cut
-        last = np.searchsorted(common, np.cumsum([len(stretches[k].encode()) for k in good]))
+        last = np.searchsorted(common, np.cumsum([len(raw[k]) for k in good]))
         first = np.append(0, last[:-1] + 1)
         links = np.append(0, np.cumsum(n_a * n_b))
         pairs = self._pairs(a, b, group_a, n_b, stop_b - n_b, np.repeat(np.arange(len(good)), last - first + 1))
-        text_a, text_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        lo_a, hi_a, lo_b, hi_b = ((x).tolist() for x in (stop_a - n_a, stop_a, stop_b - n_b, stop_b))
-        shown = [f"{text_a[p] if q - p == 1 else ','.join(text_a[p:q])}|{text_b[r] if s - r == 1 else ','.join(text_b[r:s])}" for p, q, r, s in zip(lo_a, hi_a, lo_b, hi_b, strict=True)]
-        for k, i, j, own in zip(good, first.tolist(), (last + 1).tolist(), pairs, strict=True):
-            out[k] = Found(len(ids_a[k]), len(ids_b[k]), j - i, int(links[j] - links[i]), ";".join(shown[i:j]), own)
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        lo_a, hi_a, lo_b, hi_b = (x.tolist() for x in (stop_a - n_a, stop_a, stop_b - n_b, stop_b))
+        shown = [f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip(lo_a, hi_a, lo_b, hi_b, strict=True)]
+        ends = last + 1
+        for k, i, j, n, own in zip(good, first.tolist(), ends.tolist(), (links[ends] - links[first]).tolist(), pairs, strict=True):
+            out[k] = Found(len(ids_a[k]), len(ids_b[k]), j - i, n, ";".join(shown[i:j]), own)
         return out
 
     def _pairs(self, a: np.ndarray, b: np.ndarray, group: np.ndarray, n_b: np.ndarray, first_b: np.ndarray, stretch: np.ndarray) -> list[bytes]:
@@ -177,14 +183,13 @@ class Aligner:
 
     def rows(self, texts: list[str]) -> tuple[Rows, np.ndarray]:
         """Alignments of texts that begin with a space, and which of them have both sides' bytes; empty ones have no tokens."""
-        code: dict[str, int] = {}
-        codes, row = [], []
-        for r, text in enumerate(texts):
-            own = [code.setdefault(s, len(code)) for s in self.stretches(text)] if text else []
-            codes.append(own)
-            row.append(len(own))
+        cut = [self.stretches(text) if text else [] for text in texts]
+        row = list(map(len, cut))
+        each_one = [s for own in cut for s in own]
+        code = {s: i for i, s in enumerate(dict.fromkeys(each_one))}
         found = self.look_up(list(code))
-        flat = np.array([c for own in codes for c in own], np.int64)
+        codes = list(map(code.__getitem__, each_one))
+        flat = np.array(codes, np.int64)
         owner = np.repeat(np.arange(len(texts)), row)
         bad = np.array([f is None for f in found], bool)
         good = np.ones(len(texts), bool)
@@ -193,7 +198,9 @@ class Aligner:
         flat, owner = flat[keep], owner[keep]
         each = np.array([f[:4] if f else (0, 0, 0, 0) for f in found], np.int64).reshape(-1, 4)
         counts = np.stack([np.bincount(owner, each[flat, k], len(texts)) for k in range(4)], 1).astype(np.int64)
-        groups = [";".join([found[c].groups for c in own]) if ok else "" for own, ok in zip(codes, good.tolist(), strict=True)]
+        shown = [f.groups if f else "" for f in found]
+        named, ends = list(map(shown.__getitem__, codes)), np.cumsum(row).tolist()
+        groups = [";".join(named[q - n : q]) if ok else "" for n, q, ok in zip(row, ends, good.tolist(), strict=True)]
         owner, flat, times = summed(owner, flat, np.ones(len(flat), np.int64))
         raw = np.frombuffer(b"".join([f.pairs if f else b"" for f in found]), np.int64).reshape(-1, 2)
         size = np.array([len(f.pairs) // 16 if f else 0 for f in found], np.int64)
