@@ -5,6 +5,10 @@ from __future__ import annotations
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pedon.session import durable
+from pedon.sources.bulletins import joined, packaged, pipe_tables
 
 _FIVE = ["Muito baixo", "Baixo", "Médio", "Bom", "Muito bom"]
 _HIGH = ["Muito baixo", "Baixo", "Médio", "Alto", "Muito alto"]
@@ -108,16 +112,6 @@ sorgo    25-35 2.0-4.0 14-25 2.5-6.0  1.5-5.0 1.5-3.0  4-20  5-20 65-100 10-190
 trigo    20-34 2.1-3.3 15-30 2.5-10.0 1.5-4.0 1.5-3.0  5-20  5-25 10-300 25-150 0.3-0.5 20-70
 """
 
-# Split doses of avocado at planting and after (g/hole): N, P2O5 at low, medium and good, K2O likewise.
-AVOCADO_PLANTING = [
-    ("Plantio: Outubro", [0, 90, 60, 30, 30, 20, 10]),
-    ("Pós-plantio: Outubro", [10, 0, 0, 0, 0, 0, 0]),
-    ("Janeiro", [20, 0, 0, 0, 0, 0, 0]),
-    ("Março", [0, 0, 0, 0, 30, 20, 10]),
-    ("Total", [30, 90, 60, 30, 60, 40, 20]),
-]
-SPLIT_COLUMNS = ["n", "p2o5_baixa", "p2o5_media", "p2o5_boa", "k2o_baixa", "k2o_media", "k2o_boa"]
-
 
 def _spans(upper: list[float]) -> list[tuple[float | None, float | None]]:
     return list(pairwise([None, *upper, None]))
@@ -169,7 +163,18 @@ def leaf_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "crop string, nutrient string, lo double, hi double")
 
 
-def split_doses(spark: SparkSession) -> DataFrame:
-    """(crop, phase, at, column, dose) of the split doses; the row 'Total' is the source's own sum."""
-    rows = [("abacate", "plantio", at, c, float(d)) for at, doses_ in AVOCADO_PLANTING for c, d in zip(SPLIT_COLUMNS, doses_, strict=True)]
-    return spark.createDataFrame(rows, "crop string, phase string, at string, column string, dose double")
+def bulletins(spark: SparkSession) -> DataFrame:
+    """Every table of the packaged bulletins, with ranges closed up (sources.bulletins.joined); written once, so that look-ups don't parse it again."""
+    return durable(joined(pipe_tables(packaged(spark))))
+
+
+def leaf_contents(tables: DataFrame) -> DataFrame:
+    """(bulletin, crop, nutrient, lo, hi) of the leaf tables among ``tables``; values that are left out have no row."""
+    leaf = tables.where("by = 'crop' AND stage = 'folha' AND value_lo IS NOT NULL")
+    return leaf.select("bulletin", F.col("row").alias("crop"), "nutrient", F.col("value_lo").alias("lo"), F.col("value_hi").alias("hi"))
+
+
+def split_doses(tables: DataFrame) -> DataFrame:
+    """(crop, stage, nutrient, level, at, dose) of the tables by date that end with a row "Total"."""
+    dated = tables.where("by = 'at'").select("source", "table_no", "crop", "stage", "nutrient", "level", F.col("row").alias("at"), F.col("value_lo").alias("dose"))
+    return dated.join(dated.where("at = 'Total'").select("source", "table_no").distinct(), ["source", "table_no"], "left_semi").drop("source", "table_no")

@@ -41,6 +41,28 @@ def decide(rows: DataFrame, table: DataFrame, equal: list[str], ranges: dict[str
     return r.join(t, on, "left").select("_r.*", *[F.col(f"_t.{c}") for c in table.columns if c not in drop])
 
 
+def with_levels(doses: DataFrame, levels: list[str]) -> DataFrame:
+    """``doses`` with each row that has no level repeated for each of ``levels``."""
+    return doses.withColumn("level", F.explode(F.when(F.col("level").isNull(), F.array(*map(F.lit, levels))).otherwise(F.array("level"))))
+
+
+def prescribe(rows: DataFrame, doses: DataFrame, nutrient: str, out: str, row: str | None = None, level: str | None = None, row_range: str | None = None, level_range: str | None = None) -> DataFrame:
+    """``rows`` (crop, stage, ...) with the dose of a nutrient from a bulletin's relation (sources.bulletins.joined), as ``out`` and ``out``_hi.
+
+    ``row`` and ``level`` are columns with the table's own names of its rows and
+    levels, ``row_range`` and ``level_range`` columns with values that fall in
+    their ranges. Rows whose crop, stage, name or value no table has, and doses
+    that the bulletin leaves out, give null. Several fitting rows of one table
+    would repeat a row: name or range must tell them apart.
+    """
+    t = doses.where(F.col("nutrient") == nutrient)
+    names = {"row": row, "level": level}
+    ranges = {c: (f"{k}_lo", f"{k}_hi") for k, c in (("row", row_range), ("level", level_range)) if c}
+    kept = [F.col(k).alias(c) for k, c in names.items() if c] + [F.col(b) for pair in ranges.values() for b in pair]
+    t = t.select("crop", "stage", *kept, F.col("value_lo").alias(out), F.col("value_hi").alias(f"{out}_hi"))
+    return decide(rows, t, ["crop", "stage", *(c for c in names.values() if c)], ranges)
+
+
 def total_mismatches(splits: DataFrame, keys: list[str], total: str = "Total") -> DataFrame:
     """(keys..., dose_sum, dose_total) where a table's dated doses (keys, at, dose) don't add up to its own total row; groups without one are left out."""
     sums = splits.groupBy(*keys).agg(F.sum(F.when(F.col("at") != total, F.col("dose")).otherwise(0.0)).alias("dose_sum"), F.max(F.when(F.col("at") == total, F.col("dose"))).alias("dose_total"))
