@@ -14,20 +14,24 @@ ACIDITY = ([4.3, 5.0, 5.5, 6.0], ["Muito alta", "Alta", "Média", "Baixa", "Muit
 SATURATION = ([25.0, 50.0, 70.0, 90.0], ["Muito baixa", "Baixa", "Média", "Alta", "Muito alta"])
 # Conversion factors.
 FACTORS = {
-    "cmolc_to_mmolc": 10.0,
     "pct_to_g_kg": 10.0,
-    "p_to_p2o5": 2.29,
-    "k_to_k2o": 1.20,
-    "ca_to_cao": 1.40,
-    "mg_to_mgo": 1.66,
+    "cmolc_to_mmolc": 10.0,
+    "p2o5_to_p": 0.437,
+    "k2o_to_k": 0.830,
+    "cao_to_ca": 0.715,
+    "mgo_to_mg": 0.602,
 }
 #: mg/dm3 of K in one mmolc/dm3.
 K_MG_PER_MMOLC = 39.1
 DEFAULT_PRNT = 67.0
 
 
-def convert(value: X, factor: str, inverse: bool = False) -> Column:
-    return col(value) / FACTORS[factor] if inverse else col(value) * FACTORS[factor]
+def convert(value: X, factor: str) -> Column:
+    """``value`` in the new unit; the way back from element to oxide ("p_to_p2o5") multiplies by one over the factor."""
+    if factor in FACTORS:
+        return col(value) * FACTORS[factor]
+    old, new = factor.split("_to_")
+    return col(value) * (1.0 / FACTORS[f"{new}_to_{old}"])
 
 
 def sum_of_bases(ca: X, mg: X, k: X, na: X = 0.0) -> Column:

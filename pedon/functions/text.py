@@ -58,13 +58,21 @@ def id_tokens(x: X) -> Column:
     return F.transform(F.regexp_extract_all(unaccented(x), F.lit(r"([A-Z]+|\d+)"), 1), _number)
 
 
+def canonical_of(tokens: X) -> Column:
+    return F.array_join(col(tokens), "-")
+
+
+def reduced_of(tokens: X) -> Column:
+    """The canonical form without words that carry nothing."""
+    return F.array_join(F.filter(col(tokens), lambda t: ~t.isin(*NOISE)), "-")
+
+
 def canonical_id(x: X) -> Column:
-    return F.array_join(id_tokens(x), "-")
+    return canonical_of(id_tokens(x))
 
 
 def reduced_id(x: X) -> Column:
-    """The canonical form without words that carry nothing."""
-    return F.array_join(F.filter(id_tokens(x), lambda t: ~t.isin(*NOISE)), "-")
+    return reduced_of(id_tokens(x))
 
 
 def signature(x: X) -> Column:

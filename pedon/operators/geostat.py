@@ -5,12 +5,16 @@ Points are (element, x, y, z); every element is done at once.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pedon.functions.geo import MODELS
+from pedon.operators import spatial
 from pedon.session import durable
 
 BINS, CANDIDATES = 12, 80
@@ -18,6 +22,8 @@ BINS, CANDIDATES = 12, 80
 TILE_CELLS, MOST_POINTS, FEW_POINTS, FILL_POINTS = 64, 96, 8, 16
 # Points up to which all predict every cell; points that an element needs, and that make a variogram robust.
 GLOBAL_POINTS, LEAST_POINTS, ROBUST_POINTS = 120, 8, 25
+#: Points that each one is predicted from when it is left out; systems solved together, and by one task.
+LEFT_OUT_POINTS, SOLVED, PLACES = 64, 128, 20_000
 
 
 def collapse(points: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -27,6 +33,11 @@ def collapse(points: DataFrame, tolerance: float = 0.01) -> DataFrame:
     ).drop("_a", "_b")
 
 
+def unusable(points: DataFrame) -> DataFrame:
+    """(element, n_unusable): points that no prediction uses, as a coordinate or value is null, NaN or infinite."""
+    return points.where(~spatial.is_finite("x", "y", "z")).groupBy("element").agg(F.count(F.lit(1)).alias("n_unusable"))
+
+
 def stats(points: DataFrame) -> DataFrame:
     return points.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("lowest"), F.max("z").alias("highest"), F.avg("z").alias("mean"), F.var_pop("z").alias("variance"))
 
@@ -108,39 +119,37 @@ def _shape(model: str, h: np.ndarray, a: float) -> np.ndarray:
     return 1 - np.exp(-3 * (r if model == "exponential" else r * r))
 
 
+#: The models' shapes at a lag of r ranges.
+_SHAPES = {"exponential": "1 - exp(-3 * {r})", "spherical": "1.5 * least({r}, 1D) - 0.5 * pow(least({r}, 1D), 3)", "gaussian": "1 - exp(-3 * {r} * {r})"}
+
+
+def _over_lags(term: str) -> Column:
+    """The sum of ``term`` over an element's lags: l.w is a lag's weight, l.g its gamma, l.h its distance and l.s the shape there."""
+    return F.expr(f"aggregate(lags, 0D, (total, l) -> total + {term})")
+
+
 def fit(lags: DataFrame) -> DataFrame:
     """(element, model, nugget, partial_sill, range_m, sse): for each model the best of geometric candidate ranges, by least squares weighted by n / h2.
 
     A nugget or sill under 0 is held at the bound and the other refitted.
-    Elements with fewer than four lags have no rows.
+    Elements with fewer than four lags have no rows. Errors that agree in nine
+    digits are equal, and the shortest of equal ranges is taken.
     """
-
-    def one(key, g):
-        h, y, n = (g[c].to_numpy(float) for c in ("h_mean", "gamma", "n_pairs"))
-        rows, w = [], n / np.maximum(h, 1e-9) ** 2
-        if len(h) >= 4:
-            top = h.max()
-            for model in MODELS:
-                best = None
-                for a in np.geomspace(max(top / 60, 1e-3), 2 * top, CANDIDATES):
-                    s = _shape(model, h, a)
-                    normal = np.array([[w.sum(), (w * s).sum()], [(w * s).sum(), (w * s * s).sum()]])
-                    right = np.array([(w * y).sum(), (w * y * s).sum()])
-                    if abs(np.linalg.det(normal)) < 1e-12:
-                        continue
-                    nugget, sill = np.linalg.solve(normal, right)
-                    if nugget < 0:
-                        nugget, sill = 0.0, right[1] / normal[1, 1] if normal[1, 1] > 0 else 0.0
-                    if sill <= 0:
-                        nugget, sill = right[0] / normal[0, 0], 1e-12
-                    sse = float((w * (y - nugget - sill * s) ** 2).sum())
-                    if best is None or sse < best[-1]:
-                        best = (float(nugget), float(sill), float(a), sse)
-                if best:
-                    rows.append((key[0], model, *best))
-        return pd.DataFrame(rows, columns=["element", "model", "nugget", "partial_sill", "range_m", "sse"])
-
-    return lags.groupBy("element").applyInPandas(one, "element string, model string, nugget double, partial_sill double, range_m double, sse double")
+    rows = lags.groupBy("element").agg(F.collect_list(F.struct(F.col("h_mean").alias("h"), F.col("gamma").alias("g"), (F.col("n_pairs") / F.pow(F.greatest("h_mean", F.lit(1e-9)), 2)).alias("w"))).alias("lags"), F.max("h_mean").alias("top"))
+    low = F.greatest(F.col("top") / 60, F.lit(1e-3))
+    each = rows.where(F.size("lags") >= 4).withColumn("no", F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)))).withColumn("a", low * F.pow(2 * F.col("top") / low, F.col("no") / (CANDIDATES - 1)))
+    each = each.withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
+    shape = "CASE model " + " ".join(f"WHEN '{m}' THEN {_SHAPES[m].format(r='(l.h / a)')}" for m in MODELS) + " END"
+    each = each.withColumn("lags", F.expr(f"transform(lags, l -> struct(l.h, l.g, l.w, {shape} AS s))"))
+    each = each.withColumns({"m11": _over_lags("l.w"), "m12": _over_lags("l.w * l.s"), "m22": _over_lags("l.w * l.s * l.s"), "b1": _over_lags("l.w * l.g"), "b2": _over_lags("l.w * l.g * l.s")})
+    each = each.withColumn("det", F.expr("m11 * m22 - m12 * m12")).where("abs(det) >= 1e-12")
+    free = each.withColumns({"c0": F.expr("(b1 * m22 - b2 * m12) / det"), "c": F.expr("(m11 * b2 - m12 * b1) / det")})
+    held = free.withColumns({"c": F.expr("CASE WHEN c0 >= 0 THEN c WHEN m22 > 0 THEN b2 / m22 ELSE 0D END"), "c0": F.expr("greatest(c0, 0D)")})
+    held = held.withColumns({"c0": F.expr("CASE WHEN c <= 0 THEN b1 / m11 ELSE c0 END"), "c": F.expr("CASE WHEN c <= 0 THEN 1e-12 ELSE c END")})
+    held = held.withColumn("sse", _over_lags("l.w * (l.g - c0 - c * l.s) * (l.g - c0 - c * l.s)"))
+    digits = F.format_string("%.8e", "sse").cast("double")
+    best = held.groupBy("element", "model").agg(F.min_by(F.struct(F.col("c0").alias("nugget"), F.col("c").alias("partial_sill"), F.col("a").alias("range_m"), "sse"), F.struct(digits, "no")).alias("b"))
+    return best.select("element", "model", "b.*")
 
 
 def _matrix(x: np.ndarray, y: np.ndarray, m) -> np.ndarray:
@@ -164,59 +173,71 @@ def krige_points(x: np.ndarray, y: np.ndarray, z: np.ndarray, xc: np.ndarray, yc
     return weights[:-1].T @ z, (weights * right).sum(axis=0)
 
 
-def _cells(points: DataFrame, most: int, own: int) -> DataFrame:
-    """``points`` with (k, cx, cy): k cells a side, cut at quantiles of x and then of y, of about ``own`` points; an element of up to ``most`` points is one cell."""
-    n = points.groupBy("element").agg(F.count(F.lit(1)).alias("_n"))
-    k = F.when(F.col("_n") <= most, 1).otherwise(F.ceil(F.sqrt(F.col("_n") / own))).cast("int")
-    p = points.join(n.select("element", k.alias("k")), "element")
-    steps = int(n.agg(F.max(k)).first()[0] or 1)
-    marks = [(i + 1) / steps for i in range(steps)]
-    # of the finest cut, an element takes every (steps / k)-th
-    pick = F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.element_at("q", F.greatest(F.rint(i * steps / F.col("k")).cast("int"), F.lit(1))))
-    cell = lambda v: F.least(F.size(F.filter("q", lambda q: q < F.col(v))), F.col("k") - 1)
-    for c, v, by in (("cx", "x", ["element"]), ("cy", "y", ["element", "cx"])):
-        q = p.groupBy(*by).agg(F.percentile_approx(v, marks, 2000).alias("q"), F.first("k").alias("k")).select(*by, pick.alias("q"))
-        p = p.join(q, by).withColumn(c, cell(v)).drop("q")
-    return p
-
-
-def leave_one_out(points: DataFrame, models: DataFrame, most: int = 1000, own: int = 100) -> DataFrame:
-    """(element, model, rmse_loo, me_loo): errors of predicting each point from the others, by one inversion for each cell.
-
-    An element of up to ``most`` points is one cell, and exact. More are cut
-    into cells of about ``own`` points, and each cell's points are predicted
-    from those of it and of the eight around it, which screen all others.
+def krige_errors(x: np.ndarray, y: np.ndarray, z: np.ndarray, m) -> np.ndarray:
+    """The error of predicting each point from all the others, by one inversion of the whole system; point by point where that is singular."""
+    try:
+        w = np.linalg.inv(_matrix(x, y, m))
+        return -(w @ np.append(z, 0))[:-1] / np.diag(w)[:-1]
+    except np.linalg.LinAlgError:
+        return np.array([krige_points(*(np.delete(v, i) for v in (x, y, z)), x[i : i + 1], y[i : i + 1], m)[0][0] - z[i] for i in range(len(x))])
+
+
+def _errors_from(near: np.ndarray, at: np.ndarray, fits: list) -> np.ndarray:
+    """Errors (fits, places) at places ``at`` (places, 3: x, y, z) predicted from as many points each ``near`` (places, points, 3)."""
+    n = near.shape[1]
+    d = lambda a, b: np.hypot(a[..., 0] - b[..., 0], a[..., 1] - b[..., 1])
+    between, to = d(near[:, :, None], near[:, None, :]), d(near, at[:, None])
+    out = []
+    for m in fits:
+        gamma = lambda h: np.where(h > 0, m.nugget + m.partial_sill * _shape(m.model, h, m.range_m), 0.0)  # noqa: B023, E731
+        a, right = np.ones((len(near), n + 1, n + 1)), np.ones((len(near), n + 1, 1))
+        a[:, :n, :n], a[:, n, n], right[:, :n, 0] = gamma(between), 0, gamma(to)
+        try:
+            weights = np.linalg.solve(a, right)[:, :n, 0]
+        except np.linalg.LinAlgError:
+            weights = np.stack([np.linalg.lstsq(p, q, rcond=None)[0][:n, 0] for p, q in zip(a, right, strict=True)])
+        out.append((weights * near[:, :, 2]).sum(1) - at[:, 2])
+    return np.stack(out)
+
+
+def leave_one_out(points: DataFrame, models: DataFrame, k: int = LEFT_OUT_POINTS) -> DataFrame:
+    """(element, model, rmse_loo, me_loo): errors of predicting each point from its ``k`` nearest others.
+
+    An element of up to k + 1 points is predicted exactly; of more points the
+    nearest screen the rest. Elements of fewer than three points, and models
+    without any finite error, have no row; rows that aren't finite are left out.
     """
-    p = _cells(points, most, own)
-    around = F.when(F.col("k") == 1, F.expr("array(struct(0 as dx, 0 as dy))")).otherwise(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as dx, j as dy))))"))
-    p = p.select("element", "x", "y", "z", "k", "cx", "cy", F.inline(around))
-    p = p.select("element", "x", "y", "z", "k", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), ((F.col("dx") == 0) & (F.col("dy") == 0)).alias("own"))
-    p = p.where("cx between 0 and k - 1 and cy between 0 and k - 1").drop("k")
+    own = durable(spatial.finite(points, "x", "y", "z").select("element", "x", "y", "z").withColumn("id", F.monotonically_increasing_id()))
+    places = own.select("element", "id", F.col("x").alias("mx"), F.col("y").alias("my"))
+    near = spatial.nearest(places, spatial.tree(own), ["id"], k + 1)
+    # the point itself goes, or of others at its place the last
+    others = F.expr(f"slice(filter(near, p -> p.id <> id), 1, {k})")
+    sets = durable(near.select("element", others.alias("near"), F.element_at(F.expr("filter(near, p -> p.id = id)"), 1).alias("own")).where("size(near) >= 2 AND own IS NOT NULL"))
     few = models.groupBy("element").agg(F.collect_list(F.struct("model", "nugget", "partial_sill", "range_m")).alias("models"))  # one for each kind of model
-    p = p.join(few, "element")
-
-    def one(key, g):
-        x, y, z = (g[c].to_numpy(float) for c in "xyz")
-        mine, rows = g["own"].to_numpy(bool), []
-        for m in pd.DataFrame(list(map(dict, map(_fields, g["models"].iloc[0])))).itertuples():
-            if len(x) < 3 or not mine.any():
-                continue
-            try:
-                w = np.linalg.inv(_matrix(x, y, m))
-                e = -(w @ np.append(z, 0))[:-1] / np.diag(w)[:-1]
-            except np.linalg.LinAlgError:
-                e = np.array([krige_points(*(np.delete(v, i) for v in (x, y, z)), x[i : i + 1], y[i : i + 1], m)[0][0] - z[i] for i in range(len(x))])
-            e = e[mine & np.isfinite(e)]
-            rows.append((key[0], m.model, float((e * e).sum()), float(e.sum()), len(e)))
-        return pd.DataFrame(rows, columns=["element", "model", "sq", "sum", "n"])
-
-    out = p.groupBy("element", "cx", "cy").applyInPandas(one, "element string, model string, sq double, sum double, n long")
-    return out.groupBy("element", "model").agg(F.sqrt(F.sum("sq") / F.sum("n")).alias("rmse_loo"), (F.sum("sum") / F.sum("n")).alias("me_loo"))
-
-
-def _fields(row) -> dict:
-    """A struct that came from Arrow, as a dict."""
-    return row if isinstance(row, dict) else row.asDict()
+    together = sets.join(few, "element").repartition(spatial.spread(sets, sets.count() // PLACES))
+    schema = pa.schema([("element", pa.string()), ("model", pa.string()), ("sq", pa.float64()), ("sum", pa.float64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            elements, lists, at, fits = (batch.column(i) for i in range(4))
+            points = np.stack([lists.flatten().field(c).to_numpy() for c in "xyz"], 1)
+            at = np.stack([at.field(c).to_numpy() for c in "xyz"], 1)
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            # places of one element with as many neighbours are solved together
+            alike = pd.DataFrame({"e": pd.factorize(elements.to_pandas(), use_na_sentinel=False)[0], "n": np.diff(ends)}).groupby(["e", "n"]).indices
+            rows = []
+            for (_, n), group in alike.items():
+                e = elements[int(group[0])].as_py()
+                models = [SimpleNamespace(**m) for m in fits[int(group[0])].as_py()]
+                for s in range(0, len(group), SOLVED):
+                    part = group[s : s + SOLVED]
+                    for m, err in zip(models, _errors_from(points[ends[part][:, None] + np.arange(n)], at[part], models), strict=True):
+                        err = err[np.isfinite(err)]
+                        rows.append({"element": e, "model": m.model, "sq": float((err * err).sum()), "sum": float(err.sum()), "n": len(err)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    out = together.mapInArrow(run, "element string, model string, sq double, sum double, n long").groupBy("element", "model").agg(F.sum("sq").alias("sq"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    return out.where("n > 0").select("element", "model", F.sqrt(F.col("sq") / F.col("n")).alias("rmse_loo"), (F.col("sum") / F.col("n")).alias("me_loo"))
 
 
 def choose(models: DataFrame, errors: DataFrame) -> DataFrame:
@@ -226,49 +247,26 @@ def choose(models: DataFrame, errors: DataFrame) -> DataFrame:
     return both.groupBy("element").agg(F.min_by(F.struct(*both.columns), F.struct("rmse_loo", order)).alias("m")).select("m.*")
 
 
-def _near(tiles: DataFrame, points: DataFrame, reach: str) -> DataFrame:
-    """(tile columns, x, y, z, d): the points within ``reach`` of a tile's edges; d: distance to its centre.
-
-    Both are put on a grid as wide as the element's reach and the tile's side,
-    so that a tile meets points of a few grid cells only.
-    """
-    wide = F.greatest(F.col(reach), F.col("side"))
-    scale = tiles.groupBy("element").agg(F.max(wide).alias("_w"))
-    cover = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - F.col(reach)) / F.col("_w")), F.floor((F.col(hi) + F.col(reach)) / F.col("_w"))))
-    t = tiles.join(scale, "element").withColumn("gx", cover("x0", "x1")).withColumn("gy", cover("y0", "y1"))
-    p = points.join(scale, "element").select("element", "x", "y", "z", F.floor(F.col("x") / F.col("_w")).alias("gx"), F.floor(F.col("y") / F.col("_w")).alias("gy"))
-    inside = F.col("x").between(F.col("x0") - F.col(reach), F.col("x1") + F.col(reach)) & F.col("y").between(F.col("y0") - F.col(reach), F.col("y1") + F.col(reach))
-    d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
-    return t.join(p, ["element", "gx", "gy"]).where(inside).drop("gx", "gy", "_w").withColumn("d", d)
-
-
 def neighbours(tiles: DataFrame, points: DataFrame, most_points: int = MOST_POINTS, few: int = FEW_POINTS, fill: int = FILL_POINTS) -> DataFrame:
     """(element, ti, tj, x, y, z): the points that each tile is predicted from.
 
     tiles: (element, ti, tj, x0, x1, y0, y1, mx, my, side, buffer). They are
     the points within the buffer of the tile's edges; of more than
     ``most_points`` the nearest to its centre; and where there are fewer than
-    ``few``, the ``fill`` nearest of all, sought in rings that grow fourfold.
-    A null buffer stands for all of the element's points.
+    ``few``, the ``fill`` nearest of all. A null buffer stands for all of the
+    element's points. Points and tiles that aren't finite are left out.
     """
     key = ["element", "ti", "tj"]
-    by = Window.partitionBy(*key).orderBy("d", "x", "y")
-    near = _near(tiles.where("buffer is not null"), points, "buffer").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most_points)
-    near = durable(near.select(*key, "x", "y", "z", "nth"))
-    enough = near.where(F.col("nth") == few).select(*key)
-    out = near.join(enough, key, "left_semi").select(*key, "x", "y", "z")
-    total = points.groupBy("element").agg(F.count(F.lit(1)).alias("total"), F.max(F.hypot("x", "y")).alias("far"))
-    left = durable(tiles.where("buffer is not null").join(enough, key, "left_anti").join(total, "element").withColumn("reach", F.col("buffer")))
-    while not left.isEmpty():
-        left = durable(left.withColumn("reach", F.col("reach") * 4))
-        # a point outside the square may be nearer than one in its corner: only those in the circle are sure
-        ring = _near(left, points, "reach").where(F.col("d") <= F.col("reach")).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= fill)
-        ring = durable(ring.select(*key, "x", "y", "z", "nth", "total"))
-        done = ring.where(F.col("nth") == F.least(F.lit(fill).cast("long"), F.col("total"))).select(*key)
-        out = out.unionByName(ring.join(done, key, "left_semi").select(*key, "x", "y", "z"))
-        left = durable(left.join(done, key, "left_anti"))
-    whole = tiles.where("buffer is null").select(*key).join(points.select("element", "x", "y", "z"), "element")
-    return out.unionByName(whole.select(*key, "x", "y", "z"))
+    usable = spatial.finite(points, "x", "y", "z").select("element", "x", "y", "z")
+    whole = tiles.where("buffer is null").select(*key).join(usable, "element")
+    local = tiles.where("buffer is not null")
+    tree = spatial.tree(durable(usable.join(local.select("element").distinct(), "element", "left_semi").withColumn("id", F.monotonically_increasing_id())))
+    wide = F.col("buffer")
+    boxed = local.select(*key, "mx", "my", (F.col("x0") - wide).alias("bx0"), (F.col("x1") + wide).alias("bx1"), (F.col("y0") - wide).alias("by0"), (F.col("y1") + wide).alias("by1"))
+    near = durable(spatial.nearest(boxed, tree, ["ti", "tj"], most_points).where(F.size("near") >= few))
+    alone = local.join(near.select(*key), key, "left_anti").select(*key, "mx", "my")
+    both = near.unionByName(spatial.nearest(alone, tree, ["ti", "tj"], fill))
+    return both.select(*key, F.inline("near")).select(*key, "x", "y", "z").unionByName(whole.select(*key, "x", "y", "z"))
 
 
 def krige(points: DataFrame, cells: DataFrame, chosen: DataFrame, pixel: float, most_points: int = MOST_POINTS, tile_cells: int = TILE_CELLS, global_points: int = GLOBAL_POINTS) -> DataFrame:
@@ -277,8 +275,10 @@ def krige(points: DataFrame, cells: DataFrame, chosen: DataFrame, pixel: float,
     An element of up to ``global_points`` points is predicted from all of them;
     more from each tile's neighbours, within three quarters of the range or
     three spacings of the tile, whichever is more. Cells of elements without a
-    model or without points have no rows.
+    model or without points have no rows, and neither have cells whose place is
+    not finite; points that aren't finite are left out (``unusable`` counts them).
     """
+    points, cells = spatial.finite(points, "x", "y", "z"), spatial.finite(cells, "xc", "yc")
     area = F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1.0))
     spread = points.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.sqrt(area / F.count(F.lit(1))).alias("spacing"))
     local = F.when(F.col("n") > global_points, F.greatest(0.75 * F.col("range_m"), 3 * F.col("spacing")))

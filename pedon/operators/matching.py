@@ -4,35 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedon.functions import text
+from pedon.operators.similarity import match_similar
 from pedon.session import durable
 
-LAYERS = [("canonico", 1.0, text.canonical_id), ("sem-ruido", 0.95, text.reduced_id), ("assinatura", 0.90, text.signature)]
+LAYERS = [("canonico", 1.0), ("sem-ruido", 0.95), ("assinatura", 0.90)]
 
 
-def _lone(ids: DataFrame, side: str, key: Column) -> DataFrame:
+def _keyed(ids: DataFrame, column: str, side: str) -> DataFrame:
+    """Each distinct identifier with the keys of all layers, from one reading of its tokens, written once."""
+    tokens = ids.select(F.col(column).alias(side)).where(F.col(side).isNotNull()).distinct().withColumn("_tokens", text.id_tokens(side))
+    keys = [text.canonical_of("_tokens"), text.reduced_of("_tokens"), text.signature(side)]
+    return durable(tokens.select(side, *[k.alias(f"_key{i}") for i, k in enumerate(keys)]))
+
+
+def _lone(ids: DataFrame, side: str, key: str) -> DataFrame:
     """Ids whose key no other id has, by partial aggregates: a very common key is one row a task."""
-    return ids.select(F.col(side), key.alias("_key")).where("_key <> ''").groupBy("_key").agg(F.min(side).alias(side), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    return ids.select(side, F.col(key).alias("_key")).where("_key <> ''").groupBy("_key").agg(F.min(side).alias(side), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
 
 
-def match_ids(points: DataFrame, lab: DataFrame, point_col: str = "point_id", lab_col: str = "lab_id") -> DataFrame:
+def match_ids(points: DataFrame, lab: DataFrame, point_col: str = "point_id", lab_col: str = "lab_id", similar: bool = False) -> DataFrame:
     """(point_id, lab_id, confidence, method): each layer joins the ids that no earlier layer used and whose key is unique on both sides.
 
     Null ids and ids with an empty key match nothing; repeated ids count once.
     A layer's pairs are written, and the next one starts from what they left.
+    With ``similar`` the last layer pairs what is left by similarity.
     """
-    a = points.select(F.col(point_col).alias("point_id")).where("point_id is not null").distinct()
-    b = lab.select(F.col(lab_col).alias("lab_id")).where("lab_id is not null").distinct()
+    a, b = _keyed(points, point_col, "point_id"), _keyed(lab, lab_col, "lab_id")
     found = None
-    for method, confidence, key in LAYERS:
-        got = _lone(a, "point_id", key("point_id")).join(_lone(b, "lab_id", key("lab_id")), "_key")
+    for i, (method, confidence) in enumerate(LAYERS):
+        got = _lone(a, "point_id", f"_key{i}").join(_lone(b, "lab_id", f"_key{i}"), "_key")
         got = durable(got.select("point_id", "lab_id", F.lit(confidence).alias("confidence"), F.lit(method).alias("method")))
         a, b = a.join(got, "point_id", "left_anti"), b.join(got, "lab_id", "left_anti")
         found = got if found is None else found.unionByName(got)
-    return found
+    return found.unionByName(match_similar(a, b)) if similar else found
 
 
 def orphans(ids: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
@@ -99,9 +107,3 @@ def value_at_point(pairs: DataFrame, values: DataFrame, points: DataFrame) -> Da
     last = values.where("value is not null").groupBy("lab_id").agg(F.max_by("value", "row_no").alias("value"))
     first = points.groupBy("point_id").agg(F.min_by(F.struct("x", "y"), "row_no").alias("at"))
     return pairs.join(last, "lab_id").join(first, "point_id").select("point_id", "at.x", "at.y", "value")
-
-
-def most_similar(points: DataFrame, lab: DataFrame, ratio: Column, block: Column, k: int = 3) -> DataFrame:
-    """The k most similar lab ids of each orphan within a block (a field, a batch); ratio and block are columns over point_id and lab_id."""
-    w = Window.partitionBy("point_id").orderBy(F.desc("ratio"), F.desc("lab_id"))
-    return points.join(lab, block).withColumn("ratio", F.round(ratio, 2)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -26,7 +26,7 @@ def more_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     credit, native, wheat = sp.residue_credit("dose", "p", "ca", "clay"), sp.native_forest_split("dose", "p", "k", "ca"), mg.wheat_irrigated("p", "dose")
     devs = F.array(mg.dop("ca", "mg"), mg.dop("p", F.lit(60.0)), F.lit(None).cast("double"))
     return s.select(
-        *q._KEYS, sp.convert("ca", "cmolc_to_mmolc").alias("ca_mmolc"), sp.convert("p", "p_to_p2o5").alias("p2o5"), sp.convert("dose", "k_to_k2o", True).alias("k_of_k2o"),
+        *q._KEYS, sp.convert("ca", "cmolc_to_mmolc").alias("ca_mmolc"), sp.convert("p", "p_to_p2o5").alias("p2o5"), sp.convert("dose", "k2o_to_k").alias("k_of_k2o"),
         sp.neutralising_power_si("dose", "mg").alias("pn_si"), sp.effective_power_si("dose", "p").alias("pne"), sp.forage_gypsum_indicated("ca", "p").alias("forage_gypsum"), sp.gypsum_indicated_with_al("ca", "p", "al").alias("gypsum_al"),
         credit["k2o"].alias("credit_k"), credit["p2o5"].alias("credit_p"), sp.dry_matter("dose", "p").alias("dry"), mg.mean_balance(devs).alias("ibn"), mg.sum_of_deviations(devs).alias("dev_sum"),
         mg.response_class(F.col("ca") - 2.5, F.lit(1.5), F.lit(-2.4), F.lit(2.5)).alias("response"), mg.balanced_class("p").alias("balance"), mg.coffee_s("dose").alias("coffee_s"), sp.eucalyptus_liming("ca", "mg", 80.0).alias("euca_lime"),
@@ -38,7 +38,7 @@ def more_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MORE_RULES = f"""{_S}, a AS (SELECT *, abs({q._num("100.0 * ca / mg - 100.0")}) AS d1, abs({q._num("100.0 * p / 60.0 - 100.0")}) AS d2 FROM s)
-    SELECT {_K}, ca * {_D(10)} AS ca_mmolc, p * {_D(2.29)} AS p2o5, dose / {_D(1.2)} AS k_of_k2o, dose / {_D(20)} + mg / {_D(12.2)} AS pn_si, dose * (p / {_D(1000)}) AS pne,
+    SELECT {_K}, ca * {_D(10)} AS ca_mmolc, p * ({_D(1)} / {_D(0.437)}) AS p2o5, dose * {_D("0.830")} AS k_of_k2o, dose / {_D(20)} + mg / {_D(12.2)} AS pn_si, dose * (p / {_D(1000)}) AS pne,
            ca < 4 OR p > 50 AS forage_gypsum, ca < 4 OR p > 40 OR al > 5 AS gypsum_al, greatest(dose - ca, {_D(0)}) AS credit_k, greatest(p - {_D(0.5)} * clay, {_D(0)}) AS credit_p,
            dose * {_D(0.2)} + p * {_D(0.85)} AS dry, (d1 + d2) / {_D(2)} AS ibn, d1 + d2 AS dev_sum,
            CASE WHEN ca - {_D(2.5)} < {_D(-1.5)} THEN CASE WHEN ca - {_D(2.5)} = {_D(-2.4)} THEN 'positiva' ELSE 'positiva ou nula' END WHEN ca - {_D(2.5)} > {_D(1.5)} THEN CASE WHEN ca - {_D(2.5)} = {_D(2.5)} THEN 'negativa' ELSE 'negativa ou nula' END ELSE 'nula' END AS response,

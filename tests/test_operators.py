@@ -132,16 +132,53 @@ def test_kriging_like_brute_force(spark):
     assert sorted(r["pred"] for r in clipped.collect()) == [0.0, 2.0] and counts.first()["n_clamped"] == 1
 
 
-def test_leave_one_out_by_cells(spark):
+@pytest.mark.parametrize("nugget", [0.15, 8.0])
+def test_leave_one_out_of_many_points(spark, nugget):
+    """Within 1 % of the whole system's errors, with a third of the points in one strip and some that aren't finite."""
     rng = np.random.default_rng(8)
     x, y = rng.uniform(0, 500, 1500), rng.uniform(0, 400, 1500)
-    x[:500] = rng.uniform(0, 20, 500)  # a third of the points in one strip
-    z = 10 + 4 * np.sin(x / 120) + 3 * np.cos(y / 90) + rng.normal(0, 0.4, 1500)
-    points = spark.createDataFrame(pd.DataFrame({"element": "P", "x": x, "y": y, "z": z}))
-    model = spark.createDataFrame([("P", "spherical", 0.15, 12.0, 300.0)], "element string, model string, nugget double, partial_sill double, range_m double")
-    cells = geostat.leave_one_out(points, model).first()
-    exact = geostat.leave_one_out(points, model, most=2000).first()
-    assert cells["rmse_loo"] == pytest.approx(exact["rmse_loo"], rel=2e-3) and cells["me_loo"] == pytest.approx(exact["me_loo"], abs=2e-3)
+    x[:500] = rng.uniform(0, 20, 500)
+    z = 10 + 4 * np.sin(x / 120) + 3 * np.cos(y / 90) + rng.normal(0, nugget**0.5, 1500)
+    odd = pd.DataFrame({"x": [np.nan, 1.0, np.inf, 3.0], "y": [1.0, np.nan, 2.0, 3.0], "z": [1.0, 1.0, 1.0, np.nan]})
+    points = spark.createDataFrame(pd.concat([pd.DataFrame({"x": x, "y": y, "z": z}), odd]).assign(element="P"))
+    model = spark.createDataFrame([("P", "spherical", nugget, 12.0, 300.0)], "element string, model string, nugget double, partial_sill double, range_m double")
+    got = geostat.leave_one_out(points, model).first()
+    e = geostat.krige_errors(x, y, z, model.first())
+    assert got["rmse_loo"] == pytest.approx(np.sqrt((e * e).mean()), rel=1e-2) and got["me_loo"] == pytest.approx(e.mean(), abs=1e-2 * z.std())
+
+
+def test_leave_one_out_of_few_points_is_exact(spark, field):
+    p = field.toPandas()
+    models = geostat.fit(geostat.variogram(field))
+    for m in models.toPandas().itertuples():
+        e = geostat.krige_errors(*(p[c].to_numpy() for c in "xyz"), m)
+        got = geostat.leave_one_out(field, models).where(F.col("model") == m.model).first()
+        assert got["rmse_loo"] == pytest.approx(np.sqrt((e * e).mean()), rel=1e-9) and got["me_loo"] == pytest.approx(e.mean(), abs=1e-9)
+    # a singular system: two points at one place, no nugget
+    x, y, z = np.array([0.0, 0.0, 5.0, 9.0]), np.array([0.0, 0.0, 5.0, 1.0]), np.array([1.0, 2.0, 3.0, 4.0])
+    assert len(geostat.krige_errors(x, y, z, models.first())) == 4
+    assert geostat.leave_one_out(field.limit(1), models).count() == 0 and geostat.leave_one_out(field.limit(0), models).count() == 0
+
+
+def test_fit_like_least_squares(spark, field):
+    """The relational fit against a loop over ranges with numpy's solver."""
+    lags = geostat.variogram(field).toPandas().sort_values("lag")
+    h, g, n = (lags[c].to_numpy() for c in ("h_mean", "gamma", "n_pairs"))
+    for m in geostat.fit(geostat.variogram(field)).toPandas().itertuples():
+        best = None
+        for a in np.geomspace(max(h.max() / 60, 1e-3), 2 * h.max(), 80):
+            s, w = geostat._shape(m.model, h, a), n / h**2
+            root = np.sqrt(w)
+            (c0, c), *_ = np.linalg.lstsq(np.stack([root, root * s], 1), root * g, rcond=None)
+            if c0 < 0:
+                c0, c = 0.0, (w * g * s).sum() / (w * s * s).sum()
+            if c <= 0:
+                c0, c = (w * g).sum() / w.sum(), 1e-12
+            sse = (w * (g - c0 - c * s) ** 2).sum()
+            if best is None or sse < best[-1]:
+                best = (c0, c, a, sse)
+        assert (m.nugget, m.partial_sill, m.range_m, m.sse) == pytest.approx(best, rel=1e-6)
+    assert geostat.fit(geostat.variogram(field).limit(3)).count() == 0
 
 
 def test_element_report(spark):

@@ -7,9 +7,9 @@ import os
 import duckdb
 import pytest
 
-from pedon.plans import doses, queries, rules
+from pedon.plans import doses, fields, queries, rules
 
-QUERIES, SQL = queries.queries() | rules.queries() | doses.queries(), queries.oracle_sql() | rules.oracle_sql() | doses.oracle_sql()
+QUERIES, SQL = queries.queries() | rules.queries() | doses.queries() | fields.queries(), queries.oracle_sql() | rules.oracle_sql() | doses.oracle_sql() | fields.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
