@@ -205,3 +205,25 @@ def native_forest_split(n: X, k2o: X, b: X, zn: X) -> Column:
 def forage_p(dose: X, high_response: X) -> Column:
     """30 % more P where the response is higher than the table's."""
     return F.when(known(col(high_response)), 1.3 * col(dose)).otherwise(col(dose))
+
+
+def n_response(sandy: X, corrected_grass_years: X, no_till_years: X, fallow_years: X, after_pasture: X, legumes: X, organic: X, many_years: float = 3.0) -> Column:
+    """Expected response to nitrogen of annual crops by a plot's history: Alta, Média or Baixa; nulls count as no and none.
+
+    legumes and organic are 0 (none), 1 (now and then, moderate) or 2 (intense,
+    much). Low: two years of fallow or more, pasture before (but not on sandy
+    soil), intense legumes, much organic manure. High: sandy soil, corrected
+    soil under grasses for ``many_years``, the first years of no-till. Else
+    medium. What lowers the response counts first.
+    """
+    yes, n = (lambda c: F.coalesce(col(c), F.lit(False))), (lambda c: F.coalesce(col(c), F.lit(0)))
+    low = (n(fallow_years) >= 2) | (yes(after_pasture) & ~yes(sandy)) | (n(legumes) >= 2) | (n(organic) >= 2)
+    high = yes(sandy) | (n(corrected_grass_years) >= many_years) | n(no_till_years).between(1, 2)
+    middle = (n(legumes) == 1) | (n(organic) == 1) | (n(fallow_years) == 1)
+    return F.when(low, "Baixa").when(high & ~middle, "Alta").otherwise("Média")
+
+
+def n_response_perennial(leaf_n: X, low: X, high: X) -> Column:
+    """Of perennial crops, by leaf N against its adequate range: Alta below, Média within, Baixa above; null for null."""
+    v = col(leaf_n)
+    return F.when(v < col(low), "Alta").when(v <= col(high), "Média").when(v > col(high), "Baixa")

@@ -60,6 +60,25 @@ def same_frame(vertices: DataFrame, zone: int | None = None, south: bool | None
     return v.select(*[pick(c) if c in ("x", "y") else F.col(c) for c in vertices.columns], F.lit(zone).alias("zone"), F.lit(bool(south)).alias("south"), geo.epsg(F.lit(zone), F.lit(bool(south))).alias("epsg"))
 
 
+def choose_zone(perimeter: DataFrame, manual: tuple[int, bool] | None = None, perimeter_prj: tuple[int, bool] | None = None, points_prj: tuple[int, bool] | None = None, points: DataFrame | None = None) -> tuple[int, bool]:
+    """(zone, south) of a run: what the user gave, else the perimeter's projection file, else the points', else that of the perimeter's mean vertex.
+
+    Every vertex counts in the mean, a ring's closing one too. Without any of
+    the first three, a perimeter or points in metres are an error.
+    """
+    for given in (manual, perimeter_prj, points_prj):
+        if given:
+            return given
+    both = perimeter.select("x", "y", F.lit(True).alias("ring"))
+    both = both.unionByName(points.select("x", "y", F.lit(False).alias("ring"))) if points is not None else both
+    mean = lambda c: F.avg(F.when(F.col("ring"), F.col(c)))
+    found = both.groupBy("ring").agg(geo.is_geographic("x", "y").alias("degrees"), mean("x").alias("x"), mean("y").alias("y"))
+    one = found.agg(F.bool_and("degrees").alias("degrees"), F.max("x").alias("x"), F.max("y").alias("y")).select("degrees", geo.utm_zone("x").alias("zone"), (F.col("y") < 0).alias("south")).first()
+    if not one["degrees"] or one["zone"] is None:
+        raise ValueError("coordinates in metres need a zone")
+    return int(one["zone"]), bool(one["south"])
+
+
 def bounds(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("geom_id").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
 

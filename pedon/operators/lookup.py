@@ -69,17 +69,37 @@ def total_mismatches(splits: DataFrame, keys: list[str], total: str = "Total") -
     return sums.where(F.abs(F.col("dose_sum") - F.col("dose_total")) > 1e-9)
 
 
+def _pieces(rows: DataFrame, column: str, longest: int = 3) -> DataFrame:
+    """(column, piece): the distinct runs of one to ``longest`` signs of each text."""
+    runs = [F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=({'.' * n}))"), 1) for n in range(1, longest + 1)]
+    return rows.select(column, F.explode(F.array_distinct(F.concat(*runs))).alias("piece"))
+
+
+def contained(texts: DataFrame, wholes: DataFrame, text_col: str, whole_col: str) -> DataFrame:
+    """(text_col, whole_col): every pair of distinct texts of which the first occurs in the second, by an inverted index of pieces.
+
+    A text occurs only where each of its pieces does, so it is looked up by one:
+    of its runs of three signs (all of it, if shorter) the rarest among
+    ``wholes``. Null and empty texts occur nowhere.
+    """
+    index = _pieces(wholes.select(whole_col).where(F.col(whole_col) != "").distinct(), whole_col)
+    own = _pieces(texts.select(text_col).where(F.col(text_col) != "").distinct(), text_col).where(F.char_length("piece") == F.least(F.char_length(text_col), F.lit(3)))
+    counted = own.join(index.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "piece", "left")
+    rarest = counted.groupBy(text_col).agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0).cast("long")), "piece")).alias("piece"))
+    return rarest.join(index, "piece").where(F.contains(whole_col, text_col)).select(text_col, whole_col)
+
+
 def crop_parameters(samples: DataFrame, crops: DataFrame, crop_col: str = "crop") -> DataFrame:
     """``samples`` with the crop row of that name, else the first (by ``ord``) whose name contains it or is contained in it.
 
     Names are compared without accents and case. A null or blank crop fits
-    none. Columns that ``samples`` has already are left out. The crop names,
-    and not the samples, are compared with each other: both are few.
+    none. Columns that ``samples`` has already are left out. Names meet by an
+    inverted index, so neither side need be small.
     """
     fold = lambda c: F.lower(plain(F.trim(c)))
-    named = _small(crops.select("*", fold("name").alias("_name")))
+    named = crops.select(F.struct(*[F.col(f"`{c}`") for c in crops.columns]).alias("_row"), fold("name").alias("_name"))
     wanted = samples.select(fold(F.col(crop_col)).alias("_want")).where("_want <> ''").distinct()
-    fits = F.contains("_name", "_want") | F.contains("_want", "_name")
-    best = wanted.join(named, fits).groupBy("_want").agg(F.min_by(F.struct(*crops.columns), F.struct((F.col("_name") != F.col("_want")).alias("inexact"), "ord")).alias("_crop"))
-    kept = [F.col(f"_crop.{c}") for c in crops.columns if c not in samples.columns]
+    fits = contained(wanted, named, "_want", "_name").unionByName(contained(named, wanted, "_name", "_want")).distinct()
+    best = fits.join(named, "_name").groupBy("_want").agg(F.min_by("_row", F.struct((F.col("_name") != F.col("_want")).alias("inexact"), F.col("_row.ord").alias("ord"))).alias("_crop"))
+    kept = [F.col("_crop")[c].alias(c) for c in crops.columns if c not in samples.columns]
     return samples.withColumn("_key", fold(F.col(crop_col))).join(best, F.col("_key") == F.col("_want"), "left").select(*samples.columns, *kept)

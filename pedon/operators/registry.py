@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pedon.functions.text import br_format, degrees, registry_code
+from pedon.functions.text import br_format, degrees, plain, registry_code
 
 
 # Numbers of the states, their letters and names.
@@ -83,3 +83,32 @@ def fill_summary(filled: DataFrame, targets: list[str], status_col: str = "statu
     found = F.col(status_col) == "found"
     n = lambda c, name: F.count_if(c).alias(name)
     return filled.agg(F.count(F.lit(1)).alias("total"), n(F.col(status_col) == "invalid", "invalid"), n(F.col(status_col) == "not found", "not_found"), n(found, "found"), n(found & full, "complete"), n(found & ~full, "partial"))
+
+
+# What a header holds, and the field it then stands for; the first that fits an unused field counts.
+HEADER_FIELDS = [("latitude", "latitude"), ("longitude", "longitude"), ("area", "area"), ("municipio", "municipio"), ("cidade", "municipio"), ("estado", "estado"), ("uf", "uf"), ("modulo", "modulos"), ("cadastro", "cadastro"), ("data", "cadastro")]
+CODE_HEADERS = ["car", "registro"]
+
+
+def map_headers(headers: Column) -> Column:
+    """array<struct<position, field>> of an array of a sheet's headers, positions from 0: which columns hold which field, and the first that holds the code ("code").
+
+    Headers are compared without accents and case. A header takes the first
+    field of HEADER_FIELDS that it holds and no header before it took; others
+    have no entry, and neither have null headers.
+    """
+    rules = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(f).alias("field")) for k, f in HEADER_FIELDS])
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<position: int, field: string>>").alias("found"))
+
+    def step(state: Column, header: Column) -> Column:
+        at, taken = state["at"] + 1, F.transform(state["found"], lambda e: e["field"])
+        key = F.lower(plain(F.coalesce(header, F.lit(""))))
+        code = F.lit(False)
+        for c in CODE_HEADERS:
+            code |= key.contains(c)
+        free = F.filter(rules, lambda r: key.contains(r["key"]) & ~F.array_contains(taken, r["field"]))
+        field = F.when(code & ~F.array_contains(taken, "code"), "code").otherwise(F.get(free, F.lit(0))["field"])
+        entry = F.when(field.isNotNull(), F.array(F.struct(at.alias("position"), field.alias("field")))).otherwise(F.array().cast("array<struct<position: int, field: string>>"))
+        return F.struct(at.alias("at"), F.concat(state["found"], entry).alias("found"))
+
+    return F.aggregate(headers, start, step)["found"]

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pedon.operators.matching import depth_duplicates
+from pedon.operators.similarity import suggestions
+from pedon.session import durable
+
 
 def match_report(pairs: DataFrame) -> DataFrame:
     """(ponto, laudo, confianca, metodo), the surest pairs first, and of those by identifiers."""
@@ -27,6 +31,26 @@ def run_summary(points: DataFrame, lab: DataFrame, pairs: DataFrame, zone: int,
     return reduce(DataFrame.unionByName, parts).agg(*map(total, counted)).select(F.lit(zone).alias("zone"), F.lit(epsg).alias("epsg"), *counted)
 
 
+def run_record(points: DataFrame, lab: DataFrame, pairs: DataFrame, zone: int, epsg: int, point_field: str, lab_field: str) -> DataFrame:
+    """(part, value): the whole record of a run as rows, value in JSON, so that no list has to fit in one row.
+
+    Parts: campo_id_pontos, coluna_id_laudo, zona_utm, epsg, pontos, pares (one
+    row each), and a row for each of aproximados_para_confirmar,
+    pontos_sem_par, laudo_sem_uso, sugestoes_para_os_sem_par and
+    duplicados_laudo; atencao only where identifiers repeat.
+    """
+    p, b = durable(points.select("point_id").where("point_id is not null").distinct()), durable(lab.select("lab_id").where("lab_id is not null").distinct())
+    free_p, free_b = durable(p.join(pairs, "point_id", "left_anti")), durable(b.join(pairs, "lab_id", "left_anti"))
+    spark = points.sparkSession
+    fixed = spark.createDataFrame([("campo_id_pontos", f'"{point_field}"'), ("coluna_id_laudo", f'"{lab_field}"'), ("zona_utm", str(zone)), ("epsg", str(epsg))], "part string, value string")
+    count = lambda df, part: df.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(part).alias("part"), "value")
+    rows = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*df.columns)).alias("value"))
+    doubles = durable(depth_duplicates(b))
+    warned = doubles.limit(1).select(F.lit("atencao").alias("part"), F.lit('"o laudo tem ids repetidos (profundidades?): escolha uma"').alias("value"))
+    parts = [fixed, count(p, "pontos"), count(pairs, "pares"), rows(pairs.where("method = 'aproximado'"), "aproximados_para_confirmar"), rows(free_p, "pontos_sem_par"), rows(free_b, "laudo_sem_uso"), rows(suggestions(free_p, free_b), "sugestoes_para_os_sem_par"), rows(doubles.select("base_id", "n"), "duplicados_laudo"), warned]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def json_report(elements: DataFrame) -> DataFrame:
     """(element, json): each element's block of the run report."""
     return elements.select("element", F.to_json(F.struct(*elements.columns)).alias("json"))
