@@ -72,15 +72,23 @@ def mg_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(s, _KEYS, i=mg.indices("ca", "mg", "k", "al", "h_al"), class_ca=mg.class_of("ca", "ca"), class_al=mg.display_class("al", "al"), class_p=mg.p_class("p", "prem"), class_k=mg.k_class("p"), f_texture=mg.texture_factor("clay"), f_prem=mg.prem_factor("prem"), f_class=mg.class_factor(mg.p_class("p", "prem")))
 
 
-_BANDS = "CASE " + " ".join(f"WHEN prem <= {_D(t)} THEN ({_ladder('p', b, mg.CLASSES)})" for t, b in mg.P_BANDS[:-1]) + f" ELSE ({_ladder('p', mg.P_BANDS[-1][1], mg.CLASSES)}) END"
+# Fixed values, typed apart from the operators': classes; P's upper class bounds by P-rem; K's; factors by P-rem and class; acidity and saturation classes; words that carry nothing.
+_CLASSES, _HIGH = ["Muito baixo", "Baixo", "Médio", "Bom", "Muito bom"], ["Muito baixo", "Baixo", "Médio", "Alto", "Muito alto"]
+_P_BY_PREM = [(4, [3, 4.3, 6, 9]), (10, [4, 6, 8.3, 12.5]), (19, [6, 8.3, 11.4, 17.5]), (30, [8, 11.4, 15.8, 24]), (44, [11, 15.8, 21.8, 33]), (None, [15, 21.8, 30, 45])]
+_K_CLASSES, _F_PREM, _F_CLASS = [15, 40, 70, 120], [1.3, 1.15, 1, 0.85, 0.7, 0.6], [1.25, 1, 0.8, 0.6, 0.4]
+_ACIDITY = ([4.3, 5, 5.5, 6], ["Muito alta", "Alta", "Média", "Baixa", "Muito baixa"])
+_SATURATION = ([25, 50, 70, 90], ["Muito baixa", "Baixa", "Média", "Alta", "Muito alta"])
+_EMPTY_WORDS = "PONTO PONTOS PT AMOSTRA AMOSTRAS AM SAMPLE ID N NO NUM".split()
+
+_BANDS = "CASE " + " ".join(f"WHEN prem <= {_D(t)} THEN ({_ladder('p', b, _CLASSES)})" for t, b in _P_BY_PREM[:-1]) + f" ELSE ({_ladder('p', _P_BY_PREM[-1][1], _CLASSES)}) END"
 MG_INDICES = f"""{_S}, b AS (SELECT *, ca + mg + k + {_D(0)} AS b0 FROM s)
     SELECT {_K}, {_r("b0", 2)} AS sb, {_r("b0 + al", 2)} AS t_eff, {_r("b0 + h_al", 2)} AS cec, {_r(_num("100.0 * b0 / (b0 + h_al)"), 1)} AS v,
            CASE WHEN b0 + al > 0 THEN {_r(_num("100.0 * al / (b0 + al)"), 1)} ELSE {_D(0)} END AS m,
-           {_ladder("ca", mg.CLASS_BOUNDS["ca"], mg.CLASSES)} AS class_ca, {_ladder("al", mg.CLASS_BOUNDS["al"], ["Muito baixo", "Baixo", "Médio", "Alto", "Muito alto"])} AS class_al,
-           {_BANDS} AS class_p, {_ladder("p", mg.K_BOUNDS, mg.CLASSES)} AS class_k,
+           {_ladder("ca", [0.4, 1.2, 2.4, 4], _CLASSES)} AS class_ca, {_ladder("al", [0.2, 0.5, 1, 2], _HIGH)} AS class_al,
+           {_BANDS} AS class_p, {_ladder("p", _K_CLASSES, _CLASSES)} AS class_k,
            CASE WHEN clay > 60 THEN {_D(1.25)} WHEN clay >= 35 THEN {_D(1)} WHEN clay >= 15 THEN {_D(0.8)} ELSE {_D(0.6)} END AS f_texture,
-           {_ladder("prem", [b for b, _ in mg.P_BANDS[:-1]], mg.PREM_FACTORS)} AS f_prem,
-           CASE {_BANDS} {" ".join(f"WHEN '{c}' THEN {_D(x)}" for c, x in zip(mg.CLASSES, mg.FIELD_FACTORS, strict=True))} END AS f_class FROM b"""
+           {_ladder("prem", [b for b, _ in _P_BY_PREM[:-1]], _F_PREM)} AS f_prem,
+           CASE {_BANDS} {" ".join(f"WHEN '{c}' THEN {_D(x)}" for c, x in zip(_CLASSES, _F_CLASS, strict=True))} END AS f_class FROM b"""
 
 
 def mg_liming(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +149,7 @@ SP_ANALYSIS = f"""{_S}, b AS (SELECT *, ca + mg + k + {_D(0)} AS b0 FROM s), c A
     d AS (SELECT *, {_num("big * (70.0 - v0) / (10.0 * 80.0)")} AS need, greatest({_num("big * (60.0 - v0) / (10.0 * 80.0)")}, {_D(0)}) AS cane FROM c),
     e AS (SELECT *, CASE WHEN cane > 0 THEN least(greatest(cane, {_D(1)}), {_D(5)}) ELSE {_D(0)} END AS nc0 FROM d)
     SELECT {_K}, {_r("b0", 2)} AS sb, {_r("big", 2)} AS cec, {_r("b0 + al", 2)} AS t_eff, {_r("v0", 1)} AS v,
-           CASE WHEN b0 + al > 0 THEN {_r(_num("100.0 * al / (b0 + al)"), 1)} ELSE {_D(0)} END AS m, {_ladder("ph", *sp.ACIDITY)} AS acidity, {_ladder("v0", *sp.SATURATION)} AS saturation,
+           CASE WHEN b0 + al > 0 THEN {_r(_num("100.0 * al / (b0 + al)"), 1)} ELSE {_D(0)} END AS m, {_ladder("ph", *_ACIDITY)} AS acidity, {_ladder("v0", *_SATURATION)} AS saturation,
            CASE WHEN need <= 0 THEN {_D(0)} ELSE greatest(ceil(need), {_D(1)}) END AS lime, {_r(f"greatest({_num('2.0 * big * (70.0 - v0) / (100.0 * 9.0)')}, {_D(0)})", 2)} AS lime_si,
            {_r(_num("6.0 * clay"), 1)} AS gypsum, ca < 4 OR p > 40 AS gypsum_needed, {_num("(dose * 1.79 + mg * 2.48) * (0.2 * dose + 0.6 * p + clay) / 100.0")} AS prnt,
            CASE WHEN mg < 5 THEN greatest(nc0, {_D(1)}) ELSE nc0 END AS nc, mg < 5 AS dolomitic,
@@ -187,7 +195,8 @@ def dose_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.decide(rows, table, ["crop", "level"], {"goal": ("lo", "hi")})
 
 
-DOSE_TABLE = f"""WITH t(crop, lo, hi, level, dose) AS (VALUES {", ".join(f"('{c}', {_D(lo if lo is not None else -1e9)}, {_D(hi if hi is not None else 1e9)}, '{cl}', {_D(d)})" for c, lo, hi, cl, d in DOSES)})
+DOSE_TABLE = f"""WITH y(lo, hi, y) AS (VALUES ({_D(-1e9)}, {_D(20)}, {_D(40)}), ({_D(20)}, {_D(40)}, {_D(60)}), ({_D(40)}, {_D(1e9)}, {_D(80)})), c(crop, f) AS (VALUES ('A', {_D(1)}), ('N', {_D(1.5)}), ('R', {_D(2)})), l(level, share) AS (VALUES ('Baixo', {_D(1)}), ('Alto', {_D(0.5)})),
+    t AS (SELECT crop, lo, hi, level, y * f * share AS dose FROM y, c, l)
     SELECT {_K}, l_returnflag AS crop, l_quantity AS goal, CASE WHEN l_discount < {_D(0.05)} THEN 'Baixo' ELSE 'Alto' END AS level, dose
     FROM lineitem LEFT JOIN t ON l_returnflag = crop AND (CASE WHEN l_discount < {_D(0.05)} THEN 'Baixo' ELSE 'Alto' END) = level AND l_quantity > lo AND l_quantity <= hi"""
 
@@ -222,7 +231,7 @@ def depth_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUM = lambda t: f"list_transform({t}, lambda x: CASE WHEN regexp_full_match(x, '\\d+') THEN CAST(CAST(x AS HUGEINT) AS VARCHAR) ELSE x END)"
 _TOK = lambda c: _NUM(f"regexp_extract_all(upper(trim({c})), '[A-Z]+|\\d+')")
-_NOISE = ", ".join(f"'{w}'" for w in text.NOISE)
+_NOISE = ", ".join(f"'{w}'" for w in _EMPTY_WORDS)
 _LAY = [
     (lambda c: f"array_to_string({_TOK(c)}, '-')", "canonico", 1.0),
     (lambda c: f"array_to_string(list_filter({_TOK(c)}, lambda x: x NOT IN ({_NOISE})), '-')", "sem-ruido", 0.95),
