@@ -17,9 +17,11 @@ def match_report(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("point_id").alias("ponto"), F.col("lab_id").alias("laudo"), F.col("confidence").alias("confianca"), F.col("method").alias("metodo")).orderBy(F.desc("confianca"), "ponto", "laudo")
 
 
-def write_csv(rows: DataFrame, path: str, sep: str = ";") -> None:
-    """``rows`` as CSV files with headers; a byte order mark can't stand in each part file and is left out."""
-    rows.write.mode("overwrite").csv(path, header=True, sep=sep)
+def write_csv(rows: DataFrame, path: str, sep: str = ";", mark: bool = True) -> None:
+    """``rows`` as CSV files, each with a header and, with ``mark``, a byte order mark before it: every part file opens as a sheet by itself."""
+    first, *rest = rows.columns
+    marked = rows.toDF("\ufeff" + first, *rest) if mark else rows
+    marked.write.mode("overwrite").csv(path, header=True, sep=sep, encoding="UTF-8")
 
 
 def run_summary(points: DataFrame, lab: DataFrame, pairs: DataFrame, zone: int, epsg: int, approximate: float = 1.0) -> DataFrame:
@@ -95,3 +97,10 @@ def geojson_features(vertices: DataFrame, properties: DataFrame) -> DataFrame:
     rest = [c for c in properties.columns if c != "geom_id"]
     props = F.coalesce(F.to_json(F.struct(*rest)) if rest else F.lit("{}"), F.lit("{}"))
     return whole.join(properties, "geom_id", "left").select("geom_id", F.format_string('{"type":"Feature","properties":%s,"geometry":%s}', props, shape).alias("geojson"))
+
+
+def geojson_collections(features: DataFrame, key: str, epsg: int = 4674) -> DataFrame:
+    """(key, geojson): a FeatureCollection with its reference system for each value of ``key`` (a property's code), of the features (key, geom_id, geojson) that have it, by geom_id. A property's features are few; null keys have no collection."""
+    one = features.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("geom_id", "geojson"))), lambda f: f["geojson"]), ",").alias("all"))
+    head = f'{{"type":"FeatureCollection","crs":{{"type":"name","properties":{{"name":"urn:ogc:def:crs:EPSG::{epsg}"}}}},"features":['
+    return one.select(key, F.concat(F.lit(head), "all", F.lit("]}")).alias("geojson"))
