@@ -26,11 +26,16 @@ def write_csv(rows: DataFrame, path: str, sep: str = ";", mark: bool = True) ->
 
 def run_summary(points: DataFrame, lab: DataFrame, pairs: DataFrame, zone: int, epsg: int, approximate: float = 1.0) -> DataFrame:
     """One row: (zone, epsg, n_points, n_lab, n_pairs, n_approximate, n_point_orphans, n_lab_orphans)."""
-    p, b = points.select("point_id").where("point_id is not null").distinct(), lab.select("lab_id").where("lab_id is not null").distinct()
-    counted = {"n_points": p, "n_lab": b, "n_pairs": pairs, "n_approximate": pairs.where(F.col("confidence") < approximate), "n_point_orphans": p.join(pairs, "point_id", "left_anti"), "n_lab_orphans": b.join(pairs, "lab_id", "left_anti")}
-    parts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit(name)) for name, df in counted.items()]
-    total = lambda name: F.sum(F.when(F.col("of") == name, F.col("n")).otherwise(0)).alias(name)
-    return reduce(DataFrame.unionByName, parts).agg(*map(total, counted)).select(F.lit(zone).alias("zone"), F.lit(epsg).alias("epsg"), *counted)
+    side = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().join(pairs.select(c, F.lit(True).alias("paired")), c, "left")
+    # each table is read once, for all that is counted of it
+    counted = [
+        side(points, "point_id").agg(F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("paired").isNull()).alias("n_point_orphans")),
+        side(lab, "lab_id").agg(F.count(F.lit(1)).alias("n_lab"), F.count_if(F.col("paired").isNull()).alias("n_lab_orphans")),
+        pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("confidence") < approximate).alias("n_approximate")),
+    ]
+    names = ["n_points", "n_lab", "n_pairs", "n_approximate", "n_point_orphans", "n_lab_orphans"]
+    together = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), counted).agg(*[F.sum(n).alias(n) for n in names])
+    return together.select(F.lit(zone).alias("zone"), F.lit(epsg).alias("epsg"), *names)
 
 
 def run_record(points: DataFrame, lab: DataFrame, pairs: DataFrame, zone: int, epsg: int, point_field: str, lab_field: str) -> DataFrame:
