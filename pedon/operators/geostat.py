@@ -22,6 +22,8 @@ BINS, CANDIDATES = 12, 80
 TILE_CELLS, MOST_POINTS, FEW_POINTS, FILL_POINTS = 64, 96, 8, 16
 # Points up to which all predict every cell; points that an element needs, and that make a variogram robust.
 GLOBAL_POINTS, LEAST_POINTS, ROBUST_POINTS = 120, 8, 25
+#: Pairs of blocks that one task of a variogram takes.
+BLOCK_PAIRS = 16
 #: Points that each one is predicted from when it is left out; systems solved together, and by one task.
 LEFT_OUT_POINTS, SOLVED, PLACES = 64, 128, 20_000
 
@@ -88,6 +90,9 @@ def variogram(points: DataFrame, bins: int = BINS, block: int = 2000) -> DataFra
     p = p.withColumn("own", F.pmod(F.xxhash64("x", "y", "z"), F.col("blocks")))
     p = p.select("element", "x", "y", "z", (F.col("widest") / 2).alias("cut"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     p = p.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    # rows are few for what they cost: as many tasks as pairs of blocks bear, not as few as their bytes do
+    pairs = n.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()[0] or 0
+    p = p.repartition(spatial.spread(points, int(pairs) // BLOCK_PAIRS), "element", "i", "j")
 
     def one(key, g):
         cut, own = float(g["cut"].iloc[0]), (g["own"] == key[1]).to_numpy()
