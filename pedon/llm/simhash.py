@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,7 +135,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 32-bit segments, and the differing bits up to which two texts are compared. Texts at a similarity of 0.8 differ in 39 of 256 on average, with a deviation of 6.
+#: Wide fingerprints: 32-bit segments, and the differing bits up to which two candidates of their tables are compared. Texts at a similarity of 0.8 differ in 39 of 256 on average, with a deviation of 6.
 SEGMENTS, NEAR_BITS = 8, 64
 _LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
 #: Rows that meet under one key and are linked pairwise; of more, each is linked to the commonest, and what that misses is found by prefixes.
@@ -143,8 +144,14 @@ FEW = 8
 COUNTED, COMMON = 16, 1e-6
 #: Ids of at most so many rows (counted) are broadcast, so that texts needn't travel; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Texts under one shingle of whose groups all pairs are looked at; of more, one text of each group is compared with NEXT ones of like size.
-MANY, NEXT = 32, 16
+#: Texts under one key that are compared pairwise by a join; of more, by bands and then in blocks.
+MANY = 32
+#: Bands of ROWS smallest hashes: texts at a similarity of 0.8 share none with a chance of 4e-8, at 0.5 one with 0.6, at 0.25 one with 0.014.
+BANDS, ROWS = 56, 6
+#: Smallest hashes compared inside blocks of BLOCK texts, one byte each, and the share that must agree: six deviations below 0.8.
+AGREE, SHARE, BLOCK = 256, 0.65, 1024
+#: Parts into which the texts of a common shingle are dealt where they are counted.
+SALTS = 64
 
 
 def _plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +273,7 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, n, pos, key): the first shingles of each row of (id, text) in an order of all shingles, as many as make any text of that similarity share one; n: the row's shingles.
+    """(id, n, pos, key, late): the first shingles of each row of (id, text) in an order of all shingles, as many as make any text of that similarity share one; n: the row's shingles, late: a common one.
 
     Common shingles are last in the order and the others stand by their hash.
     Which are common is counted on every COUNTED-th document: the order
@@ -290,40 +297,110 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         for batch in batches:
             for _, part in tk.row_slices(batch, "text"):
                 h, row = _sets(*tk.buffers(part.column(1)), shingle)
+                late = np.zeros(len(h), bool)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                     order = np.lexsort((h, late, row))
-                    h = h[order]  # rows are in order already
+                    h, late = h[order], late[order]  # rows are in order already
                 bounds = tk.rows_of(row, part.num_rows)
                 n = np.diff(bounds)
                 pos = np.arange(len(h)) - bounds[row]
                 use = pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row[use])), pa.array(n[row[use]], pa.int32()), pa.array(pos[use], pa.int32()), pa.array(h[use].view(np.int64))], names=["id", "n", "pos", "key"]
+                    [part.column(0).take(pa.array(row[use])), pa.array(n[row[use]], pa.int32()), pa.array(pos[use], pa.int32()), pa.array(h[use].view(np.int64)), pa.array(late[use])], names=["id", "n", "pos", "key", "late"]
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, pos int, key long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, pos int, key long, late boolean")
 
 
-def _left_apart(rows: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of ids in different groups that can have the similarity: they share a shingle of their prefixes, and their sizes and what follows it allow it."""
-    met = _prefixes(rows, shingle, similarity).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("met > 1")
+def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, bands array<long>, sig binary) of each row of (id, text) with words: its bands of smallest hashes, tagged with their number, and one byte of each of the first AGREE."""
+    rng = np.random.default_rng(SEED)
+    flips, odds = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+
+    def run(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, row = _sets(*tk.buffers(part.column(1)), shingle)
+                bounds = tk.rows_of(row, part.num_rows)
+                full = np.flatnonzero(np.diff(bounds))
+                low = np.zeros((BANDS * ROWS, len(full)), np.uint64)
+                for i in range(BANDS * ROWS if len(full) else 0):
+                    low[i] = np.minimum.reduceat((h ^ flips[i]) * (odds[i] | np.uint64(1)), bounds[full])
+                bands = np.zeros((len(full), BANDS), np.uint64)
+                for i in range(BANDS):
+                    key = np.full(len(full), np.uint64(i))
+                    for j in range(ROWS):
+                        key = tk.mix(key * np.uint64(0xD1342543DE82EF95) + low[i * ROWS + j])
+                    bands[:, i] = key
+                sig = np.ascontiguousarray(tk.mix(low[:AGREE]).astype(np.uint8).T)
+                offs = np.arange(len(full) + 1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(full)), pa.ListArray.from_arrays(pa.array(offs * BANDS), pa.array(bands.view(np.int64).ravel())), pa.array([x.tobytes() for x in sig], pa.binary())],
+                    names=["id", "bands", "sig"],
+                )
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bands array<long>, sig binary")
+
+
+def _agreeing(group: pa.Table) -> pa.Table:
+    """(a, b) of the rows of side 0 and side 1 of a block, of different groups, whose signatures agree in SHARE."""
+    out = []
+    left, right = (group.filter(pa.compute.equal(group["side"], x)) for x in (0, 1))
+    ids, of = right["id"], right["component"].to_numpy()
+    sigs = [np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint8).reshape(-1, AGREE) for x in (left, right)]
+    for i, (own, comp) in enumerate(zip(left["id"], left["component"].to_numpy(), strict=True)):
+        hit = np.flatnonzero((np.count_nonzero(sigs[1] == sigs[0][i], axis=1) >= SHARE * AGREE) & (of != comp))
+        if len(hit):
+            out.append(pa.table({"a": pa.repeat(own, len(hit)), "b": ids.take(pa.array(hit))}))
+    empty = pa.table({"a": left["id"].slice(0, 0), "b": ids.slice(0, 0)})
+    return pa.concat_tables([empty, *out]).combine_chunks()
+
+
+def _by_bands(rows: DataFrame) -> DataFrame:
+    """(a, b) of candidates among rows (id, component, bands, sig) of different groups that share a band.
+
+    Under a band of MANY texts or fewer all of them meet by a join. Under more,
+    those outside the band's largest group meet all, in blocks of BLOCK by BLOCK
+    that are a task's group each, and only pairs whose signatures agree come out.
+    """
+    keys = rows.select("id", "component", F.explode("bands").alias("key"))
+    each = keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    stats = durable(each.groupBy("key").agg(F.sum("k").alias("texts"), F.max(F.struct("k", "component")).alias("main")).where("texts > main.k"))
+    few = durable(keys.join(stats.where(F.col("texts") <= MANY).select("key"), "key"))
+    pairs = few.toDF("key", "a", "ca").join(few.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b")
+    many = stats.where(F.col("texts") > MANY).select("key", "main", F.ceil((F.col("texts") - F.col("main.k")) / BLOCK).cast("int").alias("n0"), F.ceil(F.col("texts") / BLOCK).cast("int").alias("n1"))
+    held = rows.select("id", "component", "sig", F.explode("bands").alias("key")).join(many, "key")
+    dealt = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = held.where("component <> main.component").select("key", "id", "component", "sig", F.lit(0).alias("side"), dealt("n0").alias("i"), to("n1").alias("j"))
+    right = held.select("key", "id", "component", "sig", F.lit(1).alias("side"), to("n0").alias("i"), dealt("n1").alias("j"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return _once(pairs.unionByName(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_agreeing, f"a {kind}, b {kind}")))
+
+
+def _left_apart(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of ids in different groups that can have the similarity: they share a shingle of their prefixes, and their sizes and what follows it allow it.
+
+    Texts under a shingle of more than MANY meet by bands of smallest hashes
+    instead. Equal texts in different groups are a pair like others; repeated
+    ids count as one text.
+    """
+    salt = F.when(F.col("late"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
+    met = _prefixes(texts, shingle, similarity).withColumn("salt", salt).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).where("met > 1 or late").drop("salt", "met", "late")
     met = durable(met.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     # a key whose texts are in one group has nothing to say
-    mixed = met.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    met = durable(met.join(mixed, "key", "left_semi"))
+    stats = durable(met.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key", "texts"))
     t = F.lit(similarity)
     most = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
     fits = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (most * (1 + t) >= t * (F.col("na") + F.col("nb")) - 1e-6)
-    side = lambda df, x: df.select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "pos", "component", "nth") if c in df.columns])
-    few = met.where(F.col("met") <= MANY)
-    pairs = side(few, "a").join(side(few, "b"), "key").where(fits & (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb")))
-    # by one text of each group, another one under each key
-    one = met.where(F.col("met") > MANY).groupBy("key", "component").agg(F.min_by(F.struct("id", "n", "pos"), F.xxhash64("id", "key")).alias("one")).select("key", "component", "one.*")
-    one = durable(one.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("n", "id"))))
-    ahead = side(one, "a").withColumn("nthb", F.explode(F.sequence(F.col("ntha") + 1, F.col("ntha") + NEXT)))
-    more = ahead.join(side(one, "b"), ["key", "nthb"]).where(fits)
-    return _once(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b")).unionByName(more.select(F.col("ida").alias("a"), F.col("idb").alias("b"))))
+    few = durable(met.join(stats.where(F.col("texts") <= MANY).select("key"), "key"))
+    side = lambda x: few.select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "pos", "component")])
+    pairs = side("a").join(side("b"), "key").where(fits & (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb")))
+    pairs = durable(_once(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"))))
+    hot = durable(met.join(stats.where(F.col("texts") > MANY).select("key"), "key", "left_semi").select("id", "component").distinct())
+    signed = _signatures(texts.join(_small(hot.select("id")), "id", "left_semi"), shingle)
+    return pairs.unionByName(_by_bands(durable(signed.join(hot, "id")))).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -331,24 +408,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates of the segment tables are joined first. What is still apart then
     meets by prefixes of shingles, of which any two such texts share one, and
-    the same distance and sets decide. A pair can be missed only if each
-    shingle that its prefixes share stands in more than MANY texts.
+    under common shingles by bands of smallest hashes; the sets alone decide.
+    A pair can be missed only if all shingles that its prefixes share stand in
+    more than MANY texts and it shares no band (a chance of 4e-8 at 0.8).
     """
     rows = durable(wide_fingerprints(docs, id_col, text_col))
     texts = _named(docs, id_col, text_col)
     one = lambda side, col: rows.select(F.col("id").alias(side), F.col("segments").alias(col))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
+    def near_bits(pairs: DataFrame) -> DataFrame:
+        return durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
+
+    def verified(near: DataFrame) -> DataFrame:
         ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
         sets = durable(_shingle_sets(texts.join(_small(ids), "id", "left_semi"), shingle))
         both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
-    groups = durable(components(verified(_candidates(rows))))
-    found = verified(_left_apart(texts, groups, shingle, similarity))
+    groups = durable(components(verified(near_bits(_candidates(rows)))))
+    found = verified(durable(_left_apart(texts, groups, shingle, similarity)))
     if found.isEmpty():
         return groups
     return components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))

@@ -49,6 +49,35 @@ def test_near_copies_against_all_pairs(spark):
     assert [comp.get(i, i) for i in ids] == groups(texts, ids)
 
 
+def test_near_copies_of_templates(spark):
+    """Forms: 16 of 40 blocks with a common heading between, each text and one that differs in a block; every shingle stands in hundreds of texts."""
+    rng = np.random.default_rng(3)
+    blocks, heading = [prose(9000 + i, 20) for i in range(40)], prose(8999, 5)
+    texts = []
+    for _ in range(700):
+        use = rng.permutation(40)[:17]
+        other = use[:16].copy()
+        other[rng.integers(16)] = use[16]
+        texts += [f" {heading} ".join(blocks[i] for i in part) for part in (use[:16], other)]
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    comp = {r["node"]: r["component"] for r in simhash.similar_groups(docs).collect()}
+    assert [comp.get(i, i) for i in ids] == groups(texts, ids)
+
+
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    """Small blocks and no join of few: what agrees in blocks is what agrees among all pairs that share a band."""
+    monkeypatch.setattr(simhash, "MANY", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    base = prose(77, 60).split()
+    texts = [" ".join(base[: 60 - k % 9] + prose(700 + k, k % 9).split()) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = simhash._signatures(docs, 5).withColumn("component", F.col("id") % 7).cache()
+    held = [(r["id"], r["component"], set(r["bands"]), np.frombuffer(r["sig"], np.uint8)) for r in rows.collect()]
+    want = {(a[0], b[0]) for a in held for b in held if a[0] < b[0] and a[1] != b[1] and a[2] & b[2] and (a[3] == b[3]).mean() >= simhash.SHARE}
+    assert want and {(r["a"], r["b"]) for r in simhash._by_bands(rows).collect()} == want
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("corpus"))
