@@ -150,6 +150,8 @@ MANY = 32
 BANDS, ROWS = 56, 6
 #: Smallest hashes compared inside blocks of BLOCK texts, one byte each, and the share that must agree: six deviations below 0.8.
 AGREE, SHARE, BLOCK = 256, 0.65, 1024
+#: Bits of a shingle set's parities.
+PARITY = 2048
 #: Parts into which the texts of a common shingle are dealt where they are counted.
 SALTS = 64
 
@@ -272,6 +274,30 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
+def _parities(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, n, odd array<long>) of each row of (id, text): n distinct shingles, dealt by hash into PARITY bits that are 1 where an odd number fell.
+
+    Each shingle that only one of two texts has flips one bit of one of them, so
+    the texts differ in as many shingles as bits or more.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, row = _sets(*tk.buffers(part.column(1)), shingle)
+                n = part.num_rows
+                at, times = np.unique(row * PARITY + (h % np.uint64(PARITY)).astype(np.int64), return_counts=True)
+                bits = np.zeros(n * PARITY, np.uint8)
+                bits[at] = times & 1
+                odd = np.packbits(bits.reshape(n, PARITY), axis=1).view(np.int64)
+                offs = np.arange(n + 1, dtype=np.int32) * odd.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(tk.rows_of(row, n)), pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(odd.ravel()))], names=["id", "n", "odd"]
+                )
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, odd array<long>")
+
+
 def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(id, n, pos, key, late): the first shingles of each row of (id, text) in an order of all shingles, as many as make any text of that similarity share one; n: the row's shingles, late: a common one.
 
@@ -420,15 +446,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def near_bits(pairs: DataFrame) -> DataFrame:
         return durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
 
+    def of(near: DataFrame) -> DataFrame:
+        ids = durable(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        return texts.join(_small(ids), "id", "left_semi")
+
+    def possible(near: DataFrame) -> DataFrame:
+        odd = durable(_parities(of(near), shingle))
+        both = near.join(odd.toDF("a", "na", "sa"), "a").join(odd.toDF("b", "nb", "sb"), "b")
+        return durable(both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b").distinct())
+
     def verified(near: DataFrame) -> DataFrame:
-        ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-        sets = durable(_shingle_sets(texts.join(_small(ids), "id", "left_semi"), shingle))
+        sets = durable(_shingle_sets(of(near), shingle))
         both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
     groups = durable(components(verified(near_bits(_candidates(rows)))))
-    found = verified(durable(_left_apart(texts, groups, shingle, similarity)))
+    found = verified(possible(durable(_left_apart(texts, groups, shingle, similarity))))
     if found.isEmpty():
         return groups
     return components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
