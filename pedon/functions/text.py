@@ -37,11 +37,14 @@ MISSING = ["", "ND", "NA", "N/A", "-", "--"]
 
 
 def plain(x: X) -> Column:
-    """Compatibility form without combining marks: accents go, wide letters and superscript digits become plain ones."""
+    """Compatibility form without combining marks: accents go, wide letters and superscript digits become plain ones.
+
+    A text of ASCII is its own, so only others are taken apart sign by sign.
+    """
     out = F.regexp_replace(F.translate(col(x), _MARKED, _PLAIN), r"[\u0300-\u036F]", "")
     forms = F.create_map(*[F.lit(x) for pair in _LONG.items() for x in pair])
     long = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(forms[c], c)), "")
-    return F.when(out.rlike("[" + "".join(_LONG) + "]"), long).otherwise(out)
+    return F.when(col(x).rlike(r"[^\x00-\x7F]"), F.when(out.rlike("[" + "".join(_LONG) + "]"), long).otherwise(out)).otherwise(col(x))
 
 
 def unaccented(x: X) -> Column:
