@@ -297,6 +297,18 @@ def test_mined_url_rules_block(spark):
     assert all(r["verdict"] == ("block" if "casino" in host(r["page_id"]) or r["rule"] == "example.com/de/" or "blog.fine" in host(r["page_id"]) else "allow") for r in got)
 
 
+def test_url_rules_of_many_tokens(spark):
+    """Two tokens that block only together, behind sixteen others that speak more for it alone."""
+    many = "&".join(f"k{i}=1" for i in range(16))
+    urls = [(f"http://h/{i}?x=1&y=1&{many}", "block") for i in range(60)] + [(f"http://h/a/{i}?{many}", "allow") for i in range(40)]
+    urls += [(f"http://h/b/{i}?{k}=1", "allow") for i in range(100) for k in "xy"]
+    rules = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in url_filter.mine(spark.createDataFrame(urls, "url string, label string"), 0.05, 0.9).collect()}
+    assert rules[("query:x", "query:y")] == (1.0, 0.2)
+    # each of the sixteen goes with x or y as well
+    assert all(rules[(f"query:k{i}", f"query:{k}")] == (1.0, 0.2) for i in range(16) for k in "xy")
+    assert not any(len({t for t in tokens if t.startswith("query:k")}) > 1 for tokens in rules)
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
 def test_long_licences_by_digest(spark):
     texts = {n: open(f"/usr/share/common-licenses/{f}").read() for f, n in (("GPL-3", "GPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"))}
