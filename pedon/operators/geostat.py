@@ -85,8 +85,10 @@ def variogram(points: DataFrame, bins: int = BINS, block: int = 2000) -> DataFra
     two blocks (or one with itself) and gives its sums for each lag, so that no
     row stands for a pair of points and every task has as much to do.
     """
-    n = points.groupBy("element").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    p = points.join(widest(points), "element").where("widest > 0").join(n, "element")
+    points = durable(points.select("element", "x", "y", "z"))
+    n = durable(points.groupBy("element").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    # an element's numbers go to its points: points dealt by element would be one task's
+    p = points.join(F.broadcast(widest(points)), "element").where("widest > 0").join(F.broadcast(n), "element")
     p = p.withColumn("own", F.pmod(F.xxhash64("x", "y", "z"), F.col("blocks")))
     p = p.select("element", "x", "y", "z", (F.col("widest") / 2).alias("cut"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     p = p.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -219,7 +221,7 @@ def leave_one_out(points: DataFrame, models: DataFrame, k: int = LEFT_OUT_POINTS
     others = F.expr(f"slice(filter(near, p -> p.id <> id), 1, {k})")
     sets = durable(near.select("element", others.alias("near"), F.element_at(F.expr("filter(near, p -> p.id = id)"), 1).alias("own")).where("size(near) >= 2 AND own IS NOT NULL"))
     few = models.groupBy("element").agg(F.collect_list(F.struct("model", "nugget", "partial_sill", "range_m")).alias("models"))  # one for each kind of model
-    together = sets.join(few, "element").repartition(spatial.spread(sets, sets.count() // PLACES))
+    together = sets.join(F.broadcast(few), "element").repartition(spatial.spread(sets, sets.count() // PLACES))
     schema = pa.schema([("element", pa.string()), ("model", pa.string()), ("sq", pa.float64()), ("sum", pa.float64()), ("n", pa.int64())])
 
     def run(batches):
@@ -287,10 +289,10 @@ def krige(points: DataFrame, cells: DataFrame, chosen: DataFrame, pixel: float,
     area = F.greatest((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), F.lit(1.0))
     spread = points.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.sqrt(area / F.count(F.lit(1))).alias("spacing"))
     local = F.when(F.col("n") > global_points, F.greatest(0.75 * F.col("range_m"), 3 * F.col("spacing")))
-    model = chosen.select("element", "model", "nugget", "partial_sill", "range_m").join(spread, "element").withColumn("buffer", local)
+    model = chosen.select("element", "model", "nugget", "partial_sill", "range_m").join(F.broadcast(spread), "element").withColumn("buffer", local)
     c = cells.select("element", "row", "col", "xc", "yc", F.floor(F.col("row") / tile_cells).alias("ti"), F.floor(F.col("col") / tile_cells).alias("tj"))
     ends = c.groupBy("element").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
-    at = c.groupBy("element", "ti", "tj").agg(F.min(F.col("xc") - F.col("col") * pixel).alias("xa"), F.max(F.col("yc") + F.col("row") * pixel).alias("ya")).join(ends, "element").join(model, "element")
+    at = c.groupBy("element", "ti", "tj").agg(F.min(F.col("xc") - F.col("col") * pixel).alias("xa"), F.max(F.col("yc") + F.col("row") * pixel).alias("ya")).join(F.broadcast(ends), "element").join(F.broadcast(model), "element")
     first, last = (lambda t: F.col(t) * tile_cells), (lambda t, end: F.least(F.col(t) * tile_cells + tile_cells - 1, F.col(end)))
     tiles = at.select(
         "element", "ti", "tj", "buffer", F.lit(pixel * tile_cells).alias("side"),
@@ -307,7 +309,7 @@ def krige(points: DataFrame, cells: DataFrame, chosen: DataFrame, pixel: float,
         return pd.DataFrame({"element": np.full(len(c), key[0], object), "row": c["row"].to_numpy(), "col": c["col"].to_numpy(), "pred": pred, "var": var})
 
     keys = ["element", "ti", "tj"]
-    places = c.join(model.drop("n", "spacing", "buffer"), "element")
+    places = c.join(F.broadcast(model.drop("n", "spacing", "buffer")), "element")
     places = places.toDF(*places.columns)  # columns of its own
     return near.groupBy(*keys).cogroup(places.groupBy(*keys)).applyInPandas(one, "element string, row long, col long, pred double, var double")
 

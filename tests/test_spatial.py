@@ -81,3 +81,14 @@ def test_kriging_leaves_out_what_is_not_finite(spark):
     got = geostat.krige(spark.createDataFrame(pd.concat([good, odd])), cells, model, 10.0).orderBy("row", "col").collect()
     assert len(got) == 100 and got == want
     assert geostat.unusable(spark.createDataFrame(pd.concat([good, odd]))).collect() == [("P", 2)]
+
+
+def test_points_are_not_dealt_by_element(spark):
+    """Two elements would be two tasks, however many points they have."""
+    points = spark.createDataFrame([(f"e{i % 2}", float(i % 31), float(i % 37), float(i % 7)) for i in range(500)], "element string, x double, y double, z double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = geostat.variogram(points)._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
