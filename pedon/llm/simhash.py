@@ -17,6 +17,8 @@ there are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -135,97 +137,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(by_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 32-bit segments, and the differing bits up to which two candidates of their tables are compared. Texts at a similarity of 0.8 differ in 39 of 256 on average, with a deviation of 6.
-SEGMENTS, NEAR_BITS = 8, 64
-_LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
-#: Rows that meet under one key and are linked pairwise; of more, each is linked to the commonest, and what that misses is found by prefixes.
-FEW = 8
-#: Every so manieth document is counted for the order of shingles, and the share of all shingles that puts one last in it; at most 1 / COMMON are.
-COUNTED, COMMON = 16, 1e-6
-#: Ids of at most so many rows (counted) are broadcast, so that texts needn't travel; more are joined by shuffle.
+#: Ids or keys of at most so many rows (counted) are broadcast, so that texts needn't travel; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Texts under one key that are compared pairwise by a join; of more, by bands and then in blocks.
+#: Texts under one band that are compared pairwise by a join; of more, in blocks.
 MANY = 32
-#: Bands of ROWS smallest hashes: texts at a similarity of 0.8 share none with a chance of 4e-8, at 0.5 one with 0.6, at 0.25 one with 0.014.
-BANDS, ROWS = 56, 6
+#: Bands of ROWS smallest hashes: texts at a similarity of 0.8 share none with a chance of 4e-9, at 0.85 with 7e-14; at 0.5 they share one with 0.63, at 0.25 with 0.016.
+BANDS, ROWS = 64, 6
 #: Smallest hashes compared inside blocks of BLOCK texts, one byte each, and the share that must agree: six deviations below 0.8.
 AGREE, SHARE, BLOCK = 256, 0.65, 1024
 #: Bits of a shingle set's parities.
 PARITY = 2048
-#: Parts into which the texts of a common shingle are dealt where they are counted.
-SALTS = 64
-
-
-def _plain_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each row's words without punctuation; a row of nothing but punctuation has its runs between white space."""
-    data = tk.FOLD[data]
-    s, e, row = tk.words(data, offs, tk.ALNUM)
-    bare = np.diff(tk.rows_of(row, len(offs) - 1)) == 0
-    if bare.any():
-        s2, e2, row2 = tk.words(data, offs, tk.NOT_SPACE)
-        own = bare[row2]
-        order = np.argsort(np.concatenate([s, s2[own]]), kind="stable")
-        s, e, row = (np.concatenate([x, y[own]])[order] for x, y in ((s, s2), (e, e2), (row, row2)))
-    return tk.span_hashes(data, s, e), row
-
-
-def wide_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, segments array<long>) of each row with words: a 256-bit fingerprint of its distinct word pairs, in segments tagged with their number.
-
-    Word pairs without punctuation, because an edit spoils two of them at most but five shingles of five words.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for _, part in tk.row_slices(batch, "text"):
-                h, row = _plain_words(*tk.buffers(part.column(1)))
-                n = part.num_rows
-                pair = h.copy()
-                same = row[1:] == row[:-1]
-                pair[:-1] = np.where(same, tk.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]), h[:-1])
-                # a row's last word stands alone only if the row has no other
-                use = np.append(same, False)[: len(row)] | (np.diff(tk.rows_of(row, n))[row] == 1)
-                pair, row = pair[use], row[use]
-                order = np.lexsort((pair, row))
-                pair, row = pair[order], row[order]
-                if len(pair):
-                    first = np.append(True, (pair[1:] != pair[:-1]) | (row[1:] != row[:-1]))
-                    pair, row = pair[first], row[first]
-                prints = np.stack([majority(tk.mix(pair ^ np.uint64(x)), row, n) for x in _LANES], axis=1)
-                segs = prints.view(np.uint32).reshape(n, SEGMENTS).astype(np.int64) | (np.arange(SEGMENTS) << 32)
-                full = np.flatnonzero(np.diff(tk.rows_of(row, n)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(full)), pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * SEGMENTS, pa.array(segs[full].ravel()))], names=["id", "segments"]
-                )
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, segments array<long>")
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) of ids whose fingerprints have segments one bit or less apart; not all of them, where many meet.
-
-    Rows that share a segment's value are linked to the row whose segments are
-    the most common (the text that near copies were made from), and that row
-    enters the segment's table under the value and those of its ball that have
-    one bit more, so that neighbours meet and a key has 33 rows at most; FEW or
-    fewer are linked pairwise, more to the commonest.
-    """
-    values = rows.select("id", F.explode("segments").alias("v"))
-    shared = durable(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    common = durable(values.join(shared, "v").groupBy("id").agg(F.sum(F.log("n")).alias("common")))
-    weighed = values.join(common, "id", "left").withColumn("common", F.coalesce("common", F.lit(0.0)))
-    rep = durable(weighed.groupBy("v").agg(F.max_by("id", F.struct("common", F.xxhash64("id"))).alias("rep"), F.max("common").alias("common")))
-    to_rep = values.join(rep, "v").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    balls = F.concat(F.array("v"), F.expr("filter(transform(sequence(0, 31), i -> v ^ shiftleft(1L, i)), x -> x > v)"))
-    keys = rep.select("rep", "common", F.explode(balls).alias("key"))
-    # what meets is little; kept, so that all keys are dealt out once
-    met = durable(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
-    few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_set("rep").alias("ids"))
-    pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"))
-    many = met.where(F.col("n") > FEW)
-    star = many.select(F.col("rep").alias("a"), F.max_by("rep", F.struct("common", F.xxhash64("rep"))).over(Window.partitionBy("key")).alias("b"))
-    return _once(to_rep.unionByName(pairs).unionByName(star))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -274,73 +195,20 @@ def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
-def _parities(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, n, odd array<long>) of each row of (id, text): n distinct shingles, dealt by hash into PARITY bits that are 1 where an odd number fell.
+def _parities(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """The shingles of each of n rows, dealt by hash into PARITY bits that are 1 where an odd number fell; as int64 words.
 
     Each shingle that only one of two texts has flips one bit of one of them, so
     the texts differ in as many shingles as bits or more.
     """
+    at, times = np.unique(row * PARITY + (h % np.uint64(PARITY)).astype(np.int64), return_counts=True)
+    bits = np.zeros(n * PARITY, np.uint8)
+    bits[at] = times & 1
+    return np.packbits(bits.reshape(n, PARITY), axis=1).view(np.int64)
 
-    def run(batches):
-        for batch in batches:
-            for _, part in tk.row_slices(batch, "text"):
-                h, row = _sets(*tk.buffers(part.column(1)), shingle)
-                n = part.num_rows
-                at, times = np.unique(row * PARITY + (h % np.uint64(PARITY)).astype(np.int64), return_counts=True)
-                bits = np.zeros(n * PARITY, np.uint8)
-                bits[at] = times & 1
-                odd = np.packbits(bits.reshape(n, PARITY), axis=1).view(np.int64)
-                offs = np.arange(n + 1, dtype=np.int32) * odd.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(tk.rows_of(row, n)), pa.int32()), pa.ListArray.from_arrays(pa.array(offs), pa.array(odd.ravel()))], names=["id", "n", "odd"]
-                )
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, odd array<long>")
-
-
-def _prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, n, pos, key, late): the first shingles of each row of (id, text) in an order of all shingles, as many as make any text of that similarity share one; n: the row's shingles, late: a common one.
-
-    Common shingles are last in the order and the others stand by their hash.
-    Which are common is counted on every COUNTED-th document: the order
-    decides how many texts meet under a key, never which links are found.
-    """
-
-    def count(batches):
-        for batch in batches:
-            for _, part in tk.row_slices(batch, "text"):
-                h, c = np.unique(_sets(*tk.buffers(part.column(0)), shingle)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], names=["key", "n"])
-
-    counted = rows.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = durable(counted)
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    common = counted.where((F.col("n") > 1) & (F.col("n") >= COMMON * total)).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
-    held = rows.sparkSession.sparkContext.broadcast(np.sort(common))
 
-    def run(batches):
-        last = held.value
-        for batch in batches:
-            for _, part in tk.row_slices(batch, "text"):
-                h, row = _sets(*tk.buffers(part.column(1)), shingle)
-                late = np.zeros(len(h), bool)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-                    order = np.lexsort((h, late, row))
-                    h, late = h[order], late[order]  # rows are in order already
-                bounds = tk.rows_of(row, part.num_rows)
-                n = np.diff(bounds)
-                pos = np.arange(len(h)) - bounds[row]
-                use = pos < (n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1)[row]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row[use])), pa.array(n[row[use]], pa.int32()), pa.array(pos[use], pa.int32()), pa.array(h[use].view(np.int64)), pa.array(late[use])], names=["id", "n", "pos", "key", "late"]
-                )
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, pos int, key long, late boolean")
-
-
-def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, bands array<long>, sig binary) of each row of (id, text) with words: its bands of smallest hashes, tagged with their number, and one byte of each of the first AGREE."""
+def _signatures(rows: DataFrame, shingle: int, parities: bool = False) -> DataFrame:
+    """(id, bands array<long>, sig binary[, n, odd array<long>]) of each row of (id, text) with words: its bands of smallest hashes, tagged with their number, and one byte of each of the first AGREE; its number of shingles and their parities."""
     rng = np.random.default_rng(SEED)
     flips, odds = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
 
@@ -360,109 +228,107 @@ def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
                         key = tk.mix(key * np.uint64(0xD1342543DE82EF95) + low[i * ROWS + j])
                     bands[:, i] = key
                 sig = np.ascontiguousarray(tk.mix(low[:AGREE]).astype(np.uint8).T)
-                offs = np.arange(len(full) + 1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(full)), pa.ListArray.from_arrays(pa.array(offs * BANDS), pa.array(bands.view(np.int64).ravel())), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["id", "bands", "sig"],
-                )
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bands array<long>, sig binary")
-
-
-def _agreeing(group: pa.Table) -> pa.Table:
-    """(a, b) of the rows of side 0 and side 1 of a block, of different groups, whose signatures agree in SHARE."""
-    out = []
-    left, right = (group.filter(pa.compute.equal(group["side"], x)) for x in (0, 1))
-    ids, of = right["id"], right["component"].to_numpy()
-    sigs = [np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint8).reshape(-1, AGREE) for x in (left, right)]
-    for i, (own, comp) in enumerate(zip(left["id"], left["component"].to_numpy(), strict=True)):
-        hit = np.flatnonzero((np.count_nonzero(sigs[1] == sigs[0][i], axis=1) >= SHARE * AGREE) & (of != comp))
-        if len(hit):
-            out.append(pa.table({"a": pa.repeat(own, len(hit)), "b": ids.take(pa.array(hit))}))
-    empty = pa.table({"a": left["id"].slice(0, 0), "b": ids.slice(0, 0)})
-    return pa.concat_tables([empty, *out]).combine_chunks()
-
-
-def _by_bands(rows: DataFrame) -> DataFrame:
+                lists = lambda x: pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * x.shape[1], pa.array(x.view(np.int64).ravel()))
+                out = {"id": part.column(0).take(pa.array(full)), "bands": lists(bands), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
+                if parities:
+                    out |= {"n": pa.array(np.diff(bounds)[full], pa.int32()), "odd": lists(_parities(h, row, part.num_rows)[full])}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bands array<long>, sig binary" + ", n int, odd array<long>" * parities)
+
+
+def _agreeing(similarity: float | None) -> Callable[[pa.Table], pa.Table]:
+    """For a block: (a, b) of its rows of side 0 and side 1, of different groups, whose signatures agree in SHARE and, with a similarity, whose parities allow it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = []
+        left, right = (group.filter(pa.compute.equal(group["side"], x)).combine_chunks() for x in (0, 1))
+        ids, of = right["id"], right["component"].to_numpy()
+        sigs = [np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint8).reshape(-1, AGREE) for x in (left, right)]
+        if similarity is not None:
+            n = [x["n"].to_numpy() for x in (left, right)]
+            odd = [pa.compute.list_flatten(x["odd"]).to_numpy().reshape(-1, PARITY // 64) for x in (left, right)]
+        for i, (own, comp) in enumerate(zip(left["id"], left["component"].to_numpy(), strict=True)):
+            hit = np.flatnonzero((np.count_nonzero(sigs[1] == sigs[0][i], axis=1) >= SHARE * AGREE) & (of != comp))
+            if similarity is not None and len(hit):
+                apart = np.bitwise_count(odd[1][hit] ^ odd[0][i]).sum(axis=1, dtype=np.int64)
+                hit = hit[apart <= (1 - similarity) / (1 + similarity) * (n[0][i] + n[1][hit]) + 1e-6]
+            if len(hit):
+                out.append(pa.table({"a": pa.repeat(own, len(hit)), "b": ids.take(pa.array(hit))}))
+        empty = pa.table({"a": left["id"].slice(0, 0), "b": ids.slice(0, 0)})
+        return pa.concat_tables([empty, *out]).combine_chunks()
+
+    return run
+
+
+def _by_bands(rows: DataFrame, keys: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
     """(a, b) of candidates among rows (id, component, bands, sig) of different groups that share a band.
 
     Under a band of MANY texts or fewer all of them meet by a join. Under more,
     those outside the band's largest group meet all, in blocks of BLOCK by BLOCK
     that are a task's group each, and only pairs whose signatures agree come out.
+    With (id, component, key, n) of the bands given, rows need only (id, sig, n,
+    odd), and pairs whose sizes or parities exclude the similarity don't come out.
     """
-    keys = rows.select("id", "component", F.explode("bands").alias("key"))
+    bounded = similarity is not None
+    if keys is None:
+        keys = rows.select("id", "component", F.explode("bands").alias("key"), F.lit(1).alias("n"))
     each = keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     stats = durable(each.groupBy("key").agg(F.sum("k").alias("texts"), F.max(F.struct("k", "component")).alias("main")).where("texts > main.k"))
-    few = durable(keys.join(stats.where(F.col("texts") <= MANY).select("key"), "key"))
-    pairs = few.toDF("key", "a", "ca").join(few.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b")
+    few = durable(keys.join(stats.where(F.col("texts") <= MANY).select("key"), "key").select("key", "id", "component", "n"))
+    t = F.lit(similarity if bounded else 0.0)
+    pairs = few.toDF("key", "a", "ca", "na").join(few.toDF("key", "b", "cb", "nb"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).select("a", "b")
     many = stats.where(F.col("texts") > MANY).select("key", "main", F.ceil((F.col("texts") - F.col("main.k")) / BLOCK).cast("int").alias("n0"), F.ceil(F.col("texts") / BLOCK).cast("int").alias("n1"))
-    held = rows.select("id", "component", "sig", F.explode("bands").alias("key")).join(many, "key")
+    hot = durable(keys.select("id", "component", "key").join(many, "key"))
+    cols = ["sig", "n", "odd"] if bounded else ["sig"]
+    held = hot.join(rows.select("id", *cols).join(_small(hot.select("id").distinct()), "id", "left_semi"), "id")
     dealt = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = held.where("component <> main.component").select("key", "id", "component", "sig", F.lit(0).alias("side"), dealt("n0").alias("i"), to("n1").alias("j"))
-    right = held.select("key", "id", "component", "sig", F.lit(1).alias("side"), to("n0").alias("i"), dealt("n1").alias("j"))
+    left = held.where("component <> main.component").select("key", "id", "component", *cols, F.lit(0).alias("side"), dealt("n0").alias("i"), to("n1").alias("j"))
+    right = held.select("key", "id", "component", *cols, F.lit(1).alias("side"), to("n0").alias("i"), dealt("n1").alias("j"))
     kind = rows.schema["id"].dataType.simpleString()
-    return _once(pairs.unionByName(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_agreeing, f"a {kind}, b {kind}")))
+    return _once(pairs.unionByName(left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_agreeing(similarity), f"a {kind}, b {kind}")))
 
 
-def _left_apart(texts: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of ids in different groups that can have the similarity: they share a shingle of their prefixes, and their sizes and what follows it allow it.
-
-    Texts under a shingle of more than MANY meet by bands of smallest hashes
-    instead. Equal texts in different groups are a pair like others; repeated
-    ids count as one text.
-    """
-    salt = F.when(F.col("late"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)
-    met = _prefixes(texts, shingle, similarity).withColumn("salt", salt).withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))).where("met > 1 or late").drop("salt", "met", "late")
-    met = durable(met.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    # a key whose texts are in one group has nothing to say
-    stats = durable(met.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key", "texts"))
-    t = F.lit(similarity)
-    most = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
-    fits = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (most * (1 + t) >= t * (F.col("na") + F.col("nb")) - 1e-6)
-    few = durable(met.join(stats.where(F.col("texts") <= MANY).select("key"), "key"))
-    side = lambda x: few.select("key", *[F.col(c).alias(c + x) for c in ("id", "n", "pos", "component")])
-    pairs = side("a").join(side("b"), "key").where(fits & (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb")))
-    pairs = durable(_once(pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"))))
-    hot = durable(met.join(stats.where(F.col("texts") > MANY).select("key"), "key", "left_semi").select("id", "component").distinct())
-    signed = _signatures(texts.join(_small(hot.select("id")), "id", "left_semi"), shingle)
-    return pairs.unionByName(_by_bands(durable(signed.join(hot, "id")))).distinct()
+def _to_commonest(met: DataFrame) -> DataFrame:
+    """(a, b): each text of ``met`` (id, key, texts) and the commonest text under each of its bands: the one with the most company in all its bands (what near copies were made from)."""
+    common = durable(met.groupBy("id").agg(F.sum(F.log("texts")).alias("common")))
+    first = met.join(common, "id").groupBy("key").agg(F.max_by("id", F.struct("common", F.xxhash64("id"))).alias("b"))
+    return _once(met.select(F.col("id").alias("a"), "key").join(first, "key"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the ids that have a link: texts whose sets of shingles have that Jaccard similarity or more.
 
-    Candidates of the segment tables are joined first. What is still apart then
-    meets by prefixes of shingles, of which any two such texts share one, and
-    under common shingles by bands of smallest hashes; the sets alone decide.
-    A pair can be missed only if all shingles that its prefixes share stand in
-    more than MANY texts and it shares no band (a chance of 4e-8 at 0.8).
+    All texts meet by bands of smallest hashes. Each is compared with the
+    commonest text under its bands first; what is still apart then meets all
+    others under its bands. The sets alone decide. A pair can be missed only if
+    it shares no band (a chance of 4e-9 at 0.8). Equal texts in different groups
+    are a pair like others; repeated ids count as one text.
     """
-    rows = durable(wide_fingerprints(docs, id_col, text_col))
     texts = _named(docs, id_col, text_col)
-    one = lambda side, col: rows.select(F.col("id").alias(side), F.col("segments").alias(col))
+    signed = durable(_signatures(texts, shingle, parities=True))
+    bands = signed.select("id", "n", F.explode("bands").alias("key"))
+    shared = durable(bands.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
+    met = durable(bands.join(_small(shared), "key"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
-    def near_bits(pairs: DataFrame) -> DataFrame:
-        return durable(pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(apart <= NEAR_BITS).select("a", "b").distinct())
-
-    def of(near: DataFrame) -> DataFrame:
-        ids = durable(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
-        return texts.join(_small(ids), "id", "left_semi")
-
-    def possible(near: DataFrame) -> DataFrame:
-        odd = durable(_parities(of(near), shingle))
-        both = near.join(odd.toDF("a", "na", "sa"), "a").join(odd.toDF("b", "nb", "sb"), "b")
-        return durable(both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b").distinct())
+    def ids_of(pairs: DataFrame) -> DataFrame:
+        return _small(durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
 
-    def verified(near: DataFrame) -> DataFrame:
-        sets = durable(_shingle_sets(of(near), shingle))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = durable(pairs)
+        odd = signed.select("id", "n", "odd").join(ids_of(pairs), "id", "left_semi")
+        both = pairs.join(odd.toDF("a", "na", "sa"), "a").join(odd.toDF("b", "nb", "sb"), "b")
+        near = durable(both.where(apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b").distinct())
+        sets = durable(_shingle_sets(texts.join(ids_of(near), "id", "left_semi"), shingle))
         both = near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
         common = F.size(F.array_intersect("ha", "hb"))
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
-    groups = durable(components(verified(near_bits(_candidates(rows)))))
-    found = verified(possible(durable(_left_apart(texts, groups, shingle, similarity))))
+    groups = durable(components(verified(_to_commonest(met))))
+    keys = durable(met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "key", "n"))
+    found = verified(_by_bands(signed, keys, similarity))
     if found.isEmpty():
         return groups
     return components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))

@@ -78,6 +78,23 @@ def test_blocks_equal_all_pairs(spark, monkeypatch):
     assert want and {(r["a"], r["b"]) for r in simhash._by_bands(rows).collect()} == want
 
 
+def test_alike_but_apart_makes_no_row_for_each_pair(spark, monkeypatch):
+    """500 texts at a similarity of 0.72 with each other and no link: what a step holds grows with the texts, not with their pairs (124,750)."""
+    base, held = prose(4242, 220).split(), []
+    texts = [" ".join(base[:100] + prose(20000 + i, 31).split() + base[131:]) for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    real = simhash.durable
+
+    def counted(df):
+        out = real(df)
+        held.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "durable", counted)
+    assert simhash.similar_groups(docs).count() == 0
+    assert max(held) <= 70 * len(texts)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("corpus"))
