@@ -139,14 +139,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Ids or keys of at most so many rows (counted) are broadcast, so that texts needn't travel; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Texts under one band that are compared pairwise by a join; of more, in blocks.
-MANY = 32
-#: Bands of ROWS smallest hashes: texts at a similarity of 0.8 share none with a chance of 4e-9, at 0.85 with 7e-14; at 0.5 they share one with 0.63, at 0.25 with 0.016.
+#: Texts under one key that are compared pairwise by a join; of more, in blocks of BLOCK.
+MANY, BLOCK = 32, 1024
+#: Bands of ROWS smallest hashes that near copies first meet by: texts at a similarity of 0.8 share none with a chance of 4e-9, at 0.5 they share one with 0.63, at 0.25 with 0.016.
 BANDS, ROWS = 64, 6
-#: Smallest hashes compared inside blocks of BLOCK texts, one byte each, and the share that must agree: six deviations below 0.8.
-AGREE, SHARE, BLOCK = 256, 0.65, 1024
-#: Bits of a shingle set's parities.
-PARITY = 2048
+#: Smallest hashes of a signature, one byte each, and the share that must agree in blocks without a similarity.
+AGREE, SHARE = 256, 0.65
+#: Bits of a shingle set's parities, and places that shingles are counted in to order them.
+PARITY, PLACES = 2048, 1 << 20
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -207,8 +207,49 @@ def _parities(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(bits.reshape(n, PARITY), axis=1).view(np.int64)
 
 
-def _signatures(rows: DataFrame, shingle: int, parities: bool = False) -> DataFrame:
-    """(id, bands array<long>, sig binary[, n, odd array<long>]) of each row of (id, text) with words: its bands of smallest hashes, tagged with their number, and one byte of each of the first AGREE; its number of shingles and their parities."""
+def _commonness(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How common the shingles of each of PLACES places are in all texts of (id, text): four steps for each doubling of their number."""
+    parts = 256
+
+    def count(batches):
+        n = None
+        for batch in batches:
+            for _, part in tk.row_slices(batch, "text"):
+                h, _ = _sets(*tk.buffers(part.column(1)), shingle)
+                n = np.zeros(PLACES, np.int64) if n is None else n
+                n += np.bincount((h % np.uint64(PLACES)).astype(np.int64), minlength=PLACES)
+        if n is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(parts), pa.int32()), "n": pa.array([x.tobytes() for x in n.reshape(parts, -1)], pa.binary())})
+
+    def total(group: pa.Table) -> pa.Table:
+        n = sum(np.frombuffer(x, np.int64) for x in group["n"].to_pylist())
+        return pa.table({"part": group["part"].slice(0, 1), "n": pa.array([np.floor(4 * np.log2(n + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, n binary").collect()
+    return np.frombuffer(b"".join(bytes(x["n"]) for x in sorted(found, key=lambda x: x["part"])) or bytes(PLACES), np.uint8)
+
+
+def _prefixes(h: np.ndarray, row: np.ndarray, n: int, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, hashes): the first shingles of each of n rows' sets in one order for all texts, one more than a similar text may lack.
+
+    So two texts of the similarity share one of them, whatever the order; rare
+    ones come first, that few others do.
+    """
+    bounds = tk.rows_of(row, n)
+    size = np.diff(bounds)
+    order = np.lexsort((h, common[(h % np.uint64(PLACES)).astype(np.int64)], row))
+    first = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + (size > 0)
+    held = np.arange(len(h)) - bounds[row] < first[row]
+    return np.append(0, np.cumsum(first)), h[order][held]
+
+
+def _signatures(rows: DataFrame, shingle: int, similarity: float | None = None) -> DataFrame:
+    """(id, bands array<long>, sig binary) of each row of (id, text) with words: its bands of smallest hashes, tagged with their number, and one byte of each of the first AGREE.
+
+    With a similarity, in place of the signature: (n, odd array<long>, first
+    array<long>), its number of shingles, their parities, and its prefix.
+    """
+    held = None if similarity is None else rows.sparkSession.sparkContext.broadcast(_commonness(rows, shingle))
     rng = np.random.default_rng(SEED)
     flips, odds = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
 
@@ -227,30 +268,38 @@ def _signatures(rows: DataFrame, shingle: int, parities: bool = False) -> DataFr
                     for j in range(ROWS):
                         key = tk.mix(key * np.uint64(0xD1342543DE82EF95) + low[i * ROWS + j])
                     bands[:, i] = key
-                sig = np.ascontiguousarray(tk.mix(low[:AGREE]).astype(np.uint8).T)
                 lists = lambda x: pa.ListArray.from_arrays(np.arange(len(full) + 1, dtype=np.int32) * x.shape[1], pa.array(x.view(np.int64).ravel()))
-                out = {"id": part.column(0).take(pa.array(full)), "bands": lists(bands), "sig": pa.array([x.tobytes() for x in sig], pa.binary())}
-                if parities:
-                    out |= {"n": pa.array(np.diff(bounds)[full], pa.int32()), "odd": lists(_parities(h, row, part.num_rows)[full])}
+                out = {"id": part.column(0).take(pa.array(full)), "bands": lists(bands)}
+                if held is None:
+                    sig = np.ascontiguousarray(tk.mix(low[:AGREE]).astype(np.uint8).T)
+                    out["sig"] = pa.array([x.tobytes() for x in sig], pa.binary())
+                else:
+                    offs, first = _prefixes(h, row, part.num_rows, similarity, held.value)
+                    first = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(first.view(np.int64))).take(pa.array(full))
+                    out |= {"n": pa.array(np.diff(bounds)[full], pa.int32()), "odd": lists(_parities(h, row, part.num_rows)[full]), "first": first}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bands array<long>, sig binary" + ", n int, odd array<long>" * parities)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bands array<long>, " + ("sig binary" if held is None else "n int, odd array<long>, first array<long>"))
 
 
 def _agreeing(similarity: float | None) -> Callable[[pa.Table], pa.Table]:
-    """For a block: (a, b) of its rows of side 0 and side 1, of different groups, whose signatures agree in SHARE and, with a similarity, whose parities allow it."""
+    """For a block: (a, b) of its rows of side 0 and side 1, of different groups, whose parities allow the similarity; without one, whose signatures agree in SHARE."""
 
     def run(group: pa.Table) -> pa.Table:
         out = []
         left, right = (group.filter(pa.compute.equal(group["side"], x)).combine_chunks() for x in (0, 1))
         ids, of = right["id"], right["component"].to_numpy()
-        sigs = [np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint8).reshape(-1, AGREE) for x in (left, right)]
-        if similarity is not None:
+        if similarity is None:
+            sigs = [np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint8).reshape(-1, AGREE) for x in (left, right)]
+        else:
             n = [x["n"].to_numpy() for x in (left, right)]
-            odd = [pa.compute.list_flatten(x["odd"]).to_numpy().reshape(-1, PARITY // 64) for x in (left, right)]
+            odd = [pa.compute.list_flatten(x["odd"]).to_numpy().view(np.uint64).reshape(-1, PARITY // 64) for x in (left, right)]  # of signed words, numpy counts the bits of the absolute value
         for i, (own, comp) in enumerate(zip(left["id"], left["component"].to_numpy(), strict=True)):
-            hit = np.flatnonzero((np.count_nonzero(sigs[1] == sigs[0][i], axis=1) >= SHARE * AGREE) & (of != comp))
-            if similarity is not None and len(hit):
+            hit = np.flatnonzero(of != comp)
+            if similarity is None:
+                hit = hit[np.count_nonzero(sigs[1][hit] == sigs[0][i], axis=1) >= SHARE * AGREE]
+            else:
+                hit = hit[np.minimum(n[0][i], n[1][hit]) >= similarity * np.maximum(n[0][i], n[1][hit]) - 1e-9]
                 apart = np.bitwise_count(odd[1][hit] ^ odd[0][i]).sum(axis=1, dtype=np.int64)
                 hit = hit[apart <= (1 - similarity) / (1 + similarity) * (n[0][i] + n[1][hit]) + 1e-6]
             if len(hit):
@@ -264,11 +313,11 @@ def _agreeing(similarity: float | None) -> Callable[[pa.Table], pa.Table]:
 def _by_bands(rows: DataFrame, keys: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
     """(a, b) of candidates among rows (id, component, bands, sig) of different groups that share a band.
 
-    Under a band of MANY texts or fewer all of them meet by a join. Under more,
-    those outside the band's largest group meet all, in blocks of BLOCK by BLOCK
+    Under a key of MANY texts or fewer all of them meet by a join. Under more,
+    those outside the key's largest group meet all, in blocks of BLOCK by BLOCK
     that are a task's group each, and only pairs whose signatures agree come out.
-    With (id, component, key, n) of the bands given, rows need only (id, sig, n,
-    odd), and pairs whose sizes or parities exclude the similarity don't come out.
+    With other keys (id, component, key, n) and a similarity, rows need only (id,
+    n, odd), and all pairs come out but those whose sizes or parities exclude it.
     """
     bounded = similarity is not None
     if keys is None:
@@ -280,7 +329,7 @@ def _by_bands(rows: DataFrame, keys: DataFrame | None = None, similarity: float
     pairs = few.toDF("key", "a", "ca", "na").join(few.toDF("key", "b", "cb", "nb"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).select("a", "b")
     many = stats.where(F.col("texts") > MANY).select("key", "main", F.ceil((F.col("texts") - F.col("main.k")) / BLOCK).cast("int").alias("n0"), F.ceil(F.col("texts") / BLOCK).cast("int").alias("n1"))
     hot = durable(keys.select("id", "component", "key").join(many, "key"))
-    cols = ["sig", "n", "odd"] if bounded else ["sig"]
+    cols = ["n", "odd"] if bounded else ["sig"]
     held = hot.join(rows.select("id", *cols).join(_small(hot.select("id").distinct()), "id", "left_semi"), "id")
     dealt = lambda n: F.pmod(F.xxhash64("id", "key"), F.col(n)).cast("int")
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -300,17 +349,17 @@ def _to_commonest(met: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the ids that have a link: texts whose sets of shingles have that Jaccard similarity or more.
 
-    All texts meet by bands of smallest hashes. Each is compared with the
-    commonest text under its bands first; what is still apart then meets all
-    others under its bands. The sets alone decide. A pair can be missed only if
-    it shares no band (a chance of 4e-9 at 0.8). Equal texts in different groups
-    are a pair like others; repeated ids count as one text.
+    Each text is compared with the commonest text under its bands of smallest
+    hashes first, which joins most copies. All texts then meet those of other
+    groups with which they share a shingle of their prefixes, and every pair of
+    the similarity does, so none is missed. The sets alone decide. Equal texts
+    in different groups are a pair like others; repeated ids count as one text.
     """
     texts = _named(docs, id_col, text_col)
-    signed = durable(_signatures(texts, shingle, parities=True))
+    signed = durable(_signatures(texts, shingle, similarity))
     bands = signed.select("id", "n", F.explode("bands").alias("key"))
     shared = durable(bands.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"))
-    met = durable(bands.join(_small(shared), "key"))
+    met = bands.join(_small(shared), "key")
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
     def ids_of(pairs: DataFrame) -> DataFrame:
@@ -326,21 +375,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         common = F.size(F.array_intersect("ha", "hb"))
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
-    groups = durable(components(verified(_to_commonest(met))))
-    keys = durable(met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "key", "n"))
+    groups = durable(components(verified(_to_commonest(durable(met)))))
+    grouped = signed.select("id", "n", "first").join(_small(groups.withColumnRenamed("node", "id")), "id", "left")
+    prefixes = grouped.select("id", F.coalesce("component", "id").alias("component"), "n", F.explode("first").alias("key"))
+    # shingles under which groups meet; most are of one text or one group
+    mixed = durable(prefixes.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
+    keys = durable(prefixes.join(_small(mixed), "key"))
     found = verified(_by_bands(signed, keys, similarity))
     if found.isEmpty():
         return groups
     return components(found.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a column _near_row: a number for each id and text, in order of ids, null ids last."""
+    names = ["_near_null", "_near_id", "_near_text"]
+    own = docs.withColumns(dict(zip(names, [F.col(id_col).isNull(), F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)], strict=True)))
+    order = durable(own.select(*names).distinct().orderBy(*names).withColumn("_near_row", F.monotonically_increasing_id()))
+    known = _small(order.toDF("_a", "_b", "_c", "_near_row"))
+    same = own["_near_null"].eqNullSafe(known["_a"]) & own["_near_id"].eqNullSafe(known["_b"]) & own["_near_text"].eqNullSafe(known["_c"])
+    return own.join(known, same).select(*docs.columns, "_near_row")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with all its columns, without the rows that have a smaller id in their group of near copies.
 
     Rows whose shingles have the similarity link, and groups are closed over
-    links. Rows without words and rows with a null id stay. Rows that share an
-    id stay or go together.
+    links. Null ids are compared like others and go last. Of one id or of null,
+    the row stays whose text has the smallest SHA-256; rows that repeat both id
+    and text stay or go together. Rows without words stay.
     """
-    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
+    rows = docs
+    if not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull()).isEmpty():
+        rows, id_col = _numbered(docs, id_col, text_col), "_near_row"
+    groups = similar_groups(rows, id_col, text_col, shingle, similarity)
     gone = groups.where("node <> component").select(F.col("node").alias("_gone"))
-    return docs.join(_small(gone), docs[id_col] == gone["_gone"], "left_anti")
+    return rows.join(_small(gone), rows[id_col] == gone["_gone"], "left_anti").select(*docs.columns)

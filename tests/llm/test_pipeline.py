@@ -1,9 +1,11 @@
 """The corpus pipeline against brute force, and its stages on odd tables."""
 
+import hashlib
 import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -95,6 +97,47 @@ def test_alike_but_apart_makes_no_row_for_each_pair(spark, monkeypatch):
     assert max(held) <= 70 * len(texts)
 
 
+@pytest.mark.parametrize("many", [1, 32])
+def test_pairs_that_share_no_band_link(spark, monkeypatch, many):
+    """Bands only come first: with bands that near copies hardly share, groups are still those of all pairs, by joins and in blocks."""
+    for name, value in (("BANDS", 6), ("ROWS", 60), ("MANY", many), ("BLOCK", 20)):
+        monkeypatch.setattr(simhash, name, value)
+    rng, line, texts = np.random.default_rng(21), prose(31, 15), []
+    for k in range(40):
+        w = prose(4000 + k, int(rng.integers(20, 200))).split()
+        cut = int(len(w) * rng.uniform(0.02, 0.14))
+        texts += [" ".join([line, *w]), " ".join([line, *w[cut:], *prose(6000 + k, cut).split()]), " ".join([line, *w, *prose(7000 + k, cut).split()])]
+    ids = list(range(len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    comp = {r["node"]: r["component"] for r in simhash.similar_groups(docs).collect()}
+    want = groups(texts, ids)
+    assert [comp.get(i, i) for i in ids] == want and len(set(want)) < 100
+
+
+def test_blocks_keep_every_pair_of_the_similarity():
+    """Parities are a bound: of 100 pairs of sets at a similarity of 0.8 or more none is dropped in a block."""
+    rng, sets = np.random.default_rng(41), []
+    for k in range(100):
+        own = rng.integers(0, 1 << 64, 100 + 3 * k, dtype=np.uint64)
+        lacks = int(rng.integers(1, len(own) // 9))
+        sets += [own, np.append(own[lacks:], rng.integers(0, 1 << 64, lacks, dtype=np.uint64))]
+    odd = np.concatenate([simhash._parities(np.sort(x), np.zeros(len(x), np.int64), 1) for x in sets])
+    side, n = np.arange(200) % 2, [len(x) for x in sets]
+    block = pa.table({"side": side, "id": np.arange(200), "component": np.arange(200), "n": pa.array(n, pa.int32()), "odd": list(odd), "sig": [bytes(256)] * 200})
+    got = simhash._agreeing(0.8)(block)
+    assert {(2 * k, 2 * k + 1) for k in range(100)} <= set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+
+
+def test_null_and_repeated_ids_are_compared(spark):
+    w = [prose(8100 + k, 100).split() for k in range(4)]
+    near = lambda k, *at: " ".join("changed" if i in at else x for i, x in enumerate(w[k]))
+    rows = [(1, near(0)), (None, near(0, 3)), (None, near(1)), (None, near(1, 5)), (2, near(2)), (2, near(2, 7)), (2, near(3)), (2, near(3)), (3, None), (None, ""), (None, "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup_filter(spark, docs, "").collect()]
+    low = lambda k, *at: min(near(k), near(k, *at), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(got, key=str) == sorted([(1, near(0)), (None, low(1, 5)), (2, low(2, 7)), (2, near(3)), (2, near(3)), (3, None), (None, ""), (None, "!")], key=str)
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("corpus"))
