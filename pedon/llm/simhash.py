@@ -376,11 +376,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return durable(both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b").distinct())
 
     groups = durable(components(verified(_to_commonest(durable(met)))))
-    grouped = signed.select("id", "n", "first").join(_small(groups.withColumnRenamed("node", "id")), "id", "left")
-    prefixes = grouped.select("id", F.coalesce("component", "id").alias("component"), "n", F.explode("first").alias("key"))
+    grouped = signed.select("id", "first").join(_small(groups.withColumnRenamed("node", "id")), "id", "left")
+    prefixes = grouped.select("id", F.coalesce("component", "id").alias("component"), F.explode("first").alias("key"))
     # shingles under which groups meet; most are of one text or one group
-    mixed = durable(prefixes.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"))
-    keys = durable(prefixes.join(_small(mixed), "key"))
+    of_key = Window.partitionBy("key")
+    mixed = prefixes.withColumns({"low": F.min("component").over(of_key), "high": F.max("component").over(of_key)}).where("low < high")
+    keys = durable(mixed.select("id", "component", "key").join(signed.select("id", "n"), "id"))
     found = verified(_by_bands(signed, keys, similarity))
     if found.isEmpty():
         return groups
